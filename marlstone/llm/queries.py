@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import decontaminate
 from .exact_dedup import exact_dedup
+from .html_main import extract_main_text
+from .langid import identify_languages
+from .licenses import scan_licenses
+from .line_dedup import clean_lines
+from .near_dup import near_duplicates
 from .packing import pack_tokens
 from .sharding import shard_by_bytes
 from .token_counts import token_counts
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,16 +33,37 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = clean_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_token_counts, op6_packing, op8_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_token_counts, op4_language_id, op5_license_scan, op6_packing, op7_html_extraction, op8_sharding, op9_line_dedup, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -40,4 +72,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER copies AS keep_id, count(*) OVER copies AS group_size,
                    doc_id = max(doc_id) OVER copies AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW copies AS (PARTITION BY coalesce(text, ''))""",
+        "op9_line_dedup": """
+            WITH lines AS (
+                SELECT doc_id, source, n, line, md5(trim(line, ' ')) AS key, trim(line, ' ') <> '' AS solid
+                FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents)
+            ), spread AS (
+                SELECT key FROM lines WHERE solid GROUP BY key HAVING count(DISTINCT source) >= 8
+            )
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+                   md5(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS text_md5
+            FROM (SELECT *, solid AND key IN (SELECT key FROM spread) AS gone FROM lines)
+            GROUP BY doc_id""",
     }
