@@ -126,6 +126,14 @@ class Matcher:
         return self.myers[k].search(window)
 
 
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ITEM_BLOCK_BYTES; one empty block if there are none."""
+    total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    blocks = 1 + int(total) // ITEM_BLOCK_BYTES
+    for block in range(blocks):
+        yield [(r["item_id"], r["item"]) for r in items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block).collect()]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and test item that occurs in it: doc_id, item_id, distance, item_chars, end_char.
 
@@ -143,12 +151,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("item_id"), whole_text(item_text_col).alias("item")).distinct()
-    total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
-    blocks = 1 + int(total) // ITEM_BLOCK_BYTES
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"))
     found: DataFrame | None = None
-    for block in range(blocks):
-        part = [(r["item_id"], r["item"]) for r in items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block).collect()]
+    for part in item_blocks(items):
         one = rows.mapInArrow(_search(part, error_rate), f"doc_id {kind}, item_id {item_kind}, distance long, item_chars long, end_char long")
         found = one if found is None else found.unionByName(one)
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "item_chars", "end_char")).alias("best"))
@@ -172,7 +177,17 @@ def _search(items: list[tuple[int, str]], error_rate: float):
     return search
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` in which no test item occurs, with all their columns."""
-    leaks = decontaminate(docs, benchmark, error_rate, id_col, text_col).select(F.col("doc_id").alias(id_col))
-    return docs.join(leaks.distinct(), id_col, "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` in which no test item occurs, with all their columns; nothing is shuffled."""
+
+    def clean(items: list[tuple[int, str]]):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(items, error_rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.matches(x.as_py() or "") for x in batch.column(text_col)], pa.bool_()))
+
+        return keep
+
+    for part in item_blocks(benchmark.select(F.col("item_id"), whole_text("text").alias("item")).distinct()):
+        docs = docs.mapInArrow(clean(part), docs.schema)
+    return docs

@@ -47,5 +47,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept.distinct(), id_col, "left_semi")
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), "text_sha256").distinct()
+    same = docs[id_col].eqNullSafe(gone["gone_id"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256) == gone["text_sha256"])
+    return docs.join(gone, same, "left_anti")

@@ -131,6 +131,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return KernelClassifier([normal(x) for _, _, x in sample], [x for x, _, _ in sample])
 
 
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that are scored together: bounded rows and bytes."""
+    for low, high in by_bytes(sizes, 1 << 20):
+        for a in range(low, high, BATCH_ROWS):
+            yield a, min(high, a + BATCH_ROWS)
+
+
+def predicted(classifier: KernelClassifier | None, texts: pa.Array) -> tuple[list[str], list[float]]:
+    own = [x or "" for x in texts.to_pylist()]
+    return classifier.predict(own) if classifier else ([UNKNOWN] * len(own), [0.0] * len(own))
+
+
 def identify_languages(docs: DataFrame, model: KernelClassifier | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, lang_pred, score.
 
@@ -145,12 +157,9 @@ def identify_languages(docs: DataFrame, model: KernelClassifier | None = None, i
         classifier = shared.value
         for batch in batches:
             texts = batch.column("body")
-            for low, high in by_bytes(batch.column("size").to_pylist(), 1 << 20):
-                for a in range(low, high, BATCH_ROWS):
-                    b = min(high, a + BATCH_ROWS)
-                    own = texts.slice(a, b - a).to_pylist()
-                    langs, scores = classifier.predict(own) if classifier else ([UNKNOWN] * len(own), [0.0] * len(own))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            for a, b in slices(batch.column("size").to_pylist()):
+                langs, scores = predicted(classifier, texts.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     body = whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), body.alias("body"), F.octet_length(body).alias("size"))
@@ -158,6 +167,19 @@ def identify_languages(docs: DataFrame, model: KernelClassifier | None = None, i
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` in some language, with all their columns: those without a letter are rejected."""
-    rejected = identify_languages(docs, None, id_col, text_col, lang_col).where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias(id_col))
-    return docs.join(rejected.distinct(), id_col, "left_anti")
+    """The rows of `docs` in some language, with all their columns: those without a letter are rejected.
+
+    Nothing is shuffled but the training rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier = shared.value
+        for batch in batches:
+            texts = batch.column(text_col)
+            langs: list[str] = []
+            for a, b in slices([len(x.as_py() or "") for x in texts]):
+                langs += predicted(classifier, texts.slice(a, b - a))[0]
+            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

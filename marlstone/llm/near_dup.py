@@ -288,4 +288,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that near_duplicates keeps, with all their columns: one document of each component."""
     gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone.distinct(), id_col, "left_anti")
+    return docs.join(gone.distinct(), id_col, "left_anti").select(*docs.columns)
