@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words after which a class phrase is a place rather than the subject.
 PLACE_WORDS = ("beside", "by", "near", "next to", "under", "underneath", "on", "on top of", "with", "behind", "in front of", "above", "below", "opposite", "across from", "closest to", "nearest", "nearest to", "around", "against", "between", "over", "atop")
@@ -94,7 +95,7 @@ def _balanced(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def answer_json(replies: pd.Series) -> pd.Series:
     """parse_answer as JSON text."""
     return replies.map(lambda x: None if (a := parse_answer(x)) is None else json.dumps(a))
