@@ -45,6 +45,20 @@ def same_room(left: DataFrame, right: DataFrame, also: Column | None = None) ->
     return a.join(b, on if also is None else on & also)
 
 
+def footprint_join(left: DataFrame, right: DataFrame, also: Column, cell: float = 1.0) -> DataFrame:
+    """Pairs a, b of different objects of a room whose footprints overlap, as an equi-join on the cells they cover.
+
+    A pair meets in every cell both cover and counts in the one that holds its overlap's lower corner.
+    """
+    def covered(side: DataFrame, name: str) -> DataFrame:
+        span = lambda axis: F.explode(F.sequence(F.floor(F.col(f"{axis}0") / cell), F.floor(F.col(f"{axis}1") / cell)))
+        return side.select("*", span("x").alias("gx")).select("*", span("y").alias("gy")).alias(name)
+
+    corner = [F.floor(F.greatest(F.col(f"a.{x}0"), F.col(f"b.{x}0")) / cell) == F.col(f"a.g{x}") for x in "xy"]
+    on = (F.col("a.room") == F.col("b.room")) & (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy"))
+    return covered(left, "a").join(covered(right, "b"), on & (F.col("a.object_id") != F.col("b.object_id")) & corner[0] & corner[1] & also)
+
+
 def near_pairs(objects: DataFrame, radius: float = NEAR_RADIUS) -> DataFrame:
     """Ordered pairs of objects with centroids within the radius: room, a_id, b_id, distance."""
     pairs = spatial_join(objects, objects, radius, ["room"]).where("a.object_id <> b.object_id")
@@ -74,13 +88,16 @@ def closer_than(candidates: DataFrame, objects: DataFrame, label: str, first: st
 def iou_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """room, a_id, b_id, iou: pairs whose boxes intersect."""
     inside = (overlap("a", "b", "x") > 0) & (overlap("a", "b", "y") > 0) & (overlap("a", "b", "z") > 0)
-    return same_room(left, right, inside).select(F.col("a.room").alias("room"), F.col("a.object_id").alias("a_id"), F.col("b.object_id").alias("b_id"), box_iou("a", "b").alias("iou")).where("iou > 0")
+    return footprint_join(left, right, inside).select(F.col("a.room").alias("room"), F.col("a.object_id").alias("a_id"), F.col("b.object_id").alias("b_id"), box_iou("a", "b").alias("iou")).where("iou > 0")
 
 
 def iou_or_distance(left: DataFrame, right: DataFrame, radius: float = ASSIGN_RADIUS) -> DataFrame:
     """room, a_id, b_id, iou, distance: pairs whose boxes intersect or whose centroids are within the radius."""
-    pairs = same_room(left, right).select(F.col("a.room").alias("room"), F.col("a.object_id").alias("a_id"), F.col("b.object_id").alias("b_id"), box_iou("a", "b").alias("iou"), distance("a", "b").alias("distance"))
-    return pairs.where((F.col("iou") > 0) | (F.col("distance") <= radius))
+    columns = [F.col("a.room").alias("room"), F.col("a.object_id").alias("a_id"), F.col("b.object_id").alias("b_id"), box_iou("a", "b").alias("iou"), distance("a", "b").alias("distance")]
+    inside = (overlap("a", "b", "x") > 0) & (overlap("a", "b", "y") > 0) & (overlap("a", "b", "z") > 0)
+    touching = footprint_join(left, right, inside).select(*columns).where("iou > 0")
+    near = spatial_join(left, right, radius, ["room"]).where("a.object_id <> b.object_id").select(*columns).where("not iou > 0")
+    return touching.unionByName(near)
 
 
 def smaller_than(objects: DataFrame, references: DataFrame) -> DataFrame:
@@ -91,13 +108,13 @@ def smaller_than(objects: DataFrame, references: DataFrame) -> DataFrame:
 def on_surface(objects: DataFrame, holding: tuple[str, ...] = HOLDING_CLASSES) -> DataFrame:
     """room, object_id, surface_id: half the footprint over a holding class, bottom at its top."""
     close = (footprint_overlap("a", "b") >= ON_SHARE) & (F.abs(F.col("a.z0") - F.col("b.z1")) <= CONTACT_GAP)
-    return same_room(objects, objects.where(F.col("label").isin(*holding)), close).select(F.col("a.room").alias("room"), F.col("a.object_id").alias("object_id"), F.col("b.object_id").alias("surface_id"))
+    return footprint_join(objects, objects.where(F.col("label").isin(*holding)), close).select(F.col("a.room").alias("room"), F.col("a.object_id").alias("object_id"), F.col("b.object_id").alias("surface_id"))
 
 
 def above(objects: DataFrame) -> DataFrame:
     """room, upper_id, lower_id: a quarter of the upper footprint over the lower one, with a gap."""
     over = (footprint_overlap("a", "b") >= ABOVE_SHARE) & (F.col("a.z0") - F.col("b.z1") > CONTACT_GAP)
-    return same_room(objects, objects, over).select(F.col("a.room").alias("room"), F.col("a.object_id").alias("upper_id"), F.col("b.object_id").alias("lower_id"))
+    return footprint_join(objects, objects, over).select(F.col("a.room").alias("room"), F.col("a.object_id").alias("upper_id"), F.col("b.object_id").alias("lower_id"))
 
 
 def chained(objects: DataFrame, label: str, inner: DataFrame) -> DataFrame:
