@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import by_bytes, whole_text
 
 #: Labelled rows of a language that train the classifier, at most; chosen by a hash of the id.
-ROWS_PER_LANGUAGE = 300
-#: Characters of a training row that are read; predictions read whole texts.
-TRAINING_CHARS = 8000
+ROWS_PER_LANGUAGE = 250
+#: Rows of longer texts do not train; every text is read whole, in training as in prediction.
+TRAINING_BYTES = 16_000
 #: Landmarks of the Nyström approximation for a language.
 LANDMARKS_PER_LANGUAGE = 32
 #: Languages that can be learned, at most; more are an error.
@@ -111,11 +111,12 @@ def held_out(doc_id: str):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> KernelClassifier | None:
     """Learn from at most `rows` labelled rows of each language that are not held out; None if there are none.
 
-    A language's rows are those of least hash of the id. Counts of languages come first, so that only about
+    Only texts of up to TRAINING_BYTES train, so the sample is bounded; a language of longer texts alone is not
+    learned. A language's rows are those of greatest hash of the id. Counts of languages come first, so that only about
     twice the rows wanted of a language are dealt by it, however common it is.
     """
-    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    keyed = usable.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, TRAINING_CHARS).alias("body"), F.xxhash64(F.col(id_col)).alias("order"))
+    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= TRAINING_BYTES) & F.col(text_col).rlike(r"\p{L}"))
+    keyed = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col)).alias("order"))
     counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
