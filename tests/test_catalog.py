@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from marlstone.plans import catalog
+from marlstone.plans import catalog, details  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
