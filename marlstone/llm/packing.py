@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,17 +24,24 @@ SMALL_GAP = 16
 #: Partitions whose leftovers are merged in one task.
 MERGED_TOGETHER = 64
 #: Token ids of known words a worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 1_200_000
 LONGEST_REMEMBERED = 64
+#: A word whose ids are those of its letters in lower case and those of its last comma or full stop: a pre-tokenizer
+#: that parts letters from punctuation never joins them, and these letters have no other forms.
+PLAIN_WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]?$"
+TAILS = ("", ",", ".")
+#: Text bytes encoded at once.
+SLICE_BYTES = 8 << 20
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Token ids as little-endian unsigned 32-bit bytes, each new word encoded once, in batches.
+    """Token ids of texts, each new word encoded once, in batches.
 
-    For tokenizers that turn white space into one space and drop it, so that no token crosses a space or line
-    feed. Words are cut at these two alone; any other white space is left to the tokenizer.
+    For tokenizers that turn letters into lower case, drop white space and part letters from punctuation, so that no
+    token crosses a space or line feed. Words are cut at these two alone; any other white space is left to the tokenizer. A slice's words are
+    first made distinct by Arrow, so that Python sees each of them once, and put together again by numpy.
     """
 
     def __init__(self, path: str):
@@ -41,22 +51,63 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        self.forget()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
-        fresh = list(set().union(*split) - self.known.keys())
+    def forget(self) -> None:
+        """Known words by number; word k has ids[ends[k]:ends[k + 1]]."""
+        self.known: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, "<u4")
+        self.ends = np.zeros((1 << 14) + 1, np.int64)
+        self.words = 0
+
+    def learn(self, fresh: list[str]) -> None:
         for a, b in by_bytes([4 * len(x) for x in fresh], 1 << 20):
-            encoded = self.tokenizer.encode_batch_fast(fresh[a:b], add_special_tokens=False)
-            self.known.update((w, b"".join([i.to_bytes(4, "little") for i in e.ids])) for w, e in zip(fresh[a:b], encoded))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for w in fresh:
-            if len(w) > LONGEST_REMEMBERED:
-                del self.known[w]
-        return out
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[a:b], add_special_tokens=False)]
+            ends = self.ends[self.words] + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+            while ends[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            while self.words + len(encoded) >= len(self.ends):
+                self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
+            self.ids[self.ends[self.words] : ends[-1]] = np.fromiter(chain.from_iterable(encoded), "<u4", int(ends[-1] - self.ends[self.words]))
+            self.ends[self.words + 1 : self.words + 1 + len(encoded)] = ends
+            self.known.update(zip(fresh[a:b], range(self.words, self.words + len(encoded))))
+            self.words += len(encoded)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, `end_id` after each text, and the offsets between texts."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        bounds = 2 * (np.asarray(split.offsets) - split.offsets[0].as_py())
+        if self.words > REMEMBERED_WORDS:
+            self.forget()
+        shape = words.dictionary
+        plain = pc.match_substring_regex(shape, PLAIN_WORD)
+        stems = pc.if_else(plain, pc.ascii_lower(pc.utf8_rtrim(shape, ",.")), shape).dictionary_encode()
+        distinct = stems.dictionary.to_pylist()
+        numbers = list(map(self.known.get, distinct))
+        short, fresh = self.words, [w for w, k in zip(distinct, numbers) if k is None]
+        fresh += [w for w in TAILS if w not in self.known and w not in fresh]
+        if fresh:
+            fresh.sort(key=lambda w: len(w) > LONGEST_REMEMBERED)
+            self.learn(fresh)
+            short += sum(len(w) <= LONGEST_REMEMBERED for w in fresh)
+            numbers = list(map(self.known.__getitem__, distinct))
+        none, comma, stop = (self.known[w] for w in TAILS)
+        tail = np.where(plain, np.where(pc.ends_with(shape, ","), comma, np.where(pc.ends_with(shape, "."), stop, none)), none)
+        both = np.column_stack([np.array(numbers, np.int64)[np.asarray(stems.indices)], tail])
+        number = both[np.asarray(words.indices)].ravel()
+        start, length = self.ends[number], self.ends[number + 1] - self.ends[number]
+        before = np.concatenate(([0], np.cumsum(length)))
+        ids = self.ids[np.repeat(start - before[:-1], length) + np.arange(before[-1])]
+        offsets = before[bounds] + np.arange(len(bounds))
+        out = np.full(offsets[-1], end_id, "<u4")
+        inner = np.ones(len(out), bool)
+        inner[offsets[1:] - 1] = False
+        out[inner] = ids
+        for w in fresh[len(fresh) - (self.words - short) :] if self.words > short else ():
+            del self.known[w]
+        self.words = short
+        return out, offsets
 
 
 def encoder(path: str) -> WordEncoder:
@@ -88,9 +139,8 @@ class Packer:
         self.open.append([0, []])
         return self.open[-1]
 
-    def add(self, doc_id, ids: bytes) -> None:
-        total, start = len(ids) // 4, 0
-        view = memoryview(ids)
+    def add(self, doc_id, view: memoryview) -> None:
+        total, start = len(view) // 4, 0
         piece = lambda length: (doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), total)
         while total - start >= self.capacity:
             self.done.append([self.capacity, [piece(self.capacity)]])
@@ -129,7 +179,6 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "left_by"]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, left_by long"
-    end = end_id.to_bytes(4, "little")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
@@ -152,9 +201,11 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
             id_type = batch.column("doc_id").type
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("body")
             sizes = batch.column("size").to_pylist()
-            for a, b in by_bytes(sizes):
-                for doc_id, encoded in zip(ids[a:b], words.encode(texts.slice(a, b - a).to_pylist())):
-                    packer.add(doc_id, encoded + end)
+            for a, b in by_bytes(sizes, SLICE_BYTES):
+                encoded, at = words.encode(texts.slice(a, b - a), end_id)
+                data, at = memoryview(encoded).cast("B"), (4 * at).tolist()
+                for doc_id, low, high in zip(ids[a:b], at, at[1:]):
+                    packer.add(doc_id, data[low:high])
                 yield taken(packer.done, None)
                 packer.done = []
         if packer.open:
