@@ -58,7 +58,7 @@ class Node:
 
 
 class Page:
-    """Blocks of text in page order, each with the hashes of the subtrees it lies in, and all subtrees' hashes.
+    """Blocks of text in page order, each with the hashes of the subtrees it lies in.
 
     Only blocks outside structural boilerplate are kept. If the page marks its main text (article or main), only
     blocks in it are. Subtrees within marked main text that hold running text are no template candidates, as
@@ -67,7 +67,6 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[list] = []
-        self.hashes: set[int] = set()
         self.stack = [Node("", False, False)]
         self.text: list[str] = []
         at = 0
@@ -156,7 +155,6 @@ class Page:
         if running:
             return
         h = int.from_bytes(digest, "little", signed=True)
-        self.hashes.add(h)
         for k in node.children:
             self.blocks[k][1].append(h)
 
@@ -183,7 +181,7 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sh
     empty table gives an empty result.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    names = ["page_id", "url", "host", "texts", "inside", "hashes", "page"]
+    names = ["page_id", "url", "host", "texts", "inside", "page"]
     block_type = pa.list_(pa.list_(pa.int64()))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,20 +192,21 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sh
                 texts = [[b[0] for b in p.blocks] for p in parsed]
                 columns = [
                     own.column("page_id"), own.column("url"), pa.array([host_of(u) for u in own.column("url").to_pylist()], pa.string()),
-                    pa.array(texts, pa.list_(pa.string())), pa.array([[b[1] for b in p.blocks] for p in parsed], block_type), pa.array([sorted(p.hashes) for p in parsed], pa.list_(pa.int64())),
+                    pa.array(texts, pa.list_(pa.string())), pa.array([[b[1] for b in p.blocks] for p in parsed], block_type),
                     pa.array([int.from_bytes(hashlib.blake2b("\n".join(t).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for t in texts], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = stored(source.mapInArrow(parse, f"page_id {kind}, url string, host string, texts array<string>, inside array<array<long>>, hashes array<long>, page long").withColumn("row", F.monotonically_increasing_id()))
+    parsed = stored(source.mapInArrow(parse, f"page_id {kind}, url string, host string, texts array<string>, inside array<array<long>>, page long").withColumn("row", F.monotonically_increasing_id()))
 
+    # Only subtrees that hold text that would be kept matter.
+    held = parsed.select("row", "host", "page", F.explode(F.array_distinct(F.flatten("inside"))).alias("hash"))
     totals = parsed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    on = parsed.select("host", "page", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("seen"))
+    on = held.select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count("*").alias("seen"))
     template = on.where(F.col("seen") >= least_pages).join(totals, "host").where(F.col("seen") >= least_share * F.col("pages")).select("host", "hash")
-    # Only subtrees that hold text that would be kept matter.
-    held = parsed.select("row", "host", F.explode(F.array_distinct(F.flatten("inside"))).alias("hash"))
-    drops = held.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("drop"))
+    # Written first, so that its size is known when Spark chooses whether to deal the texts or to broadcast this.
+    drops = stored(held.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("drop")))
     rest = parsed.select("page_id", "url", "texts", "inside", "row").join(drops, "row", "left")
     kept = F.when(F.col("drop").isNull(), F.col("texts")).otherwise(
         F.transform(F.filter(F.arrays_zip("texts", "inside"), lambda b: ~F.arrays_overlap(b["inside"], F.col("drop"))), lambda b: b["texts"])
