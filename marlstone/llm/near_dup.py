@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ BAND_ROWS, BAND_MISS = 4, 1e-6
 SKETCH_SIGMAS = 5.0
 #: Members of a bucket that one task compares among themselves or with as many others.
 BLOCK = 2048
+#: Shingles of the members that a task compares among themselves or with as many others.
+BLOCK_SHINGLES = 1 << 21
 #: Text bytes whose signatures are computed at once.
 SIGNATURE_BYTES = 1 << 20
 
@@ -105,102 +108,224 @@ def signatures(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, same binary, bands array<long>, sketch binary")
 
 
-def chosen_pairs(sketch: np.ndarray, size: np.ndarray, group: np.ndarray, block: np.ndarray, crossing: bool, percent: int, every: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket's members whose sketches allow the threshold and whose groups differ.
+def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of every sketch of one side and every one of the other."""
+    x, y = (s.view(np.uint64).reshape(len(s), -1) for s in (left, right))
+    bits = np.empty((len(x), len(y)), np.uint16)
+    step = max(1, (1 << 21) // max(1, y.size))
+    for a in range(0, len(x), step):
+        bits[a : a + step] = np.bitwise_count(x[a : a + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.uint16)
+    return bits
 
-    All of them if `every`; else a few that connect whatever they all would connect: stars about the members
-    with the most near neighbours, and the closest pair between any two stars. If `crossing`, only pairs of
-    different blocks count.
-    """
-    m = len(sketch)
-    limit, near = most_bits(percent), differing_bits(SAMPLES * (1 - percent / 100))
-    words = sketch.view(np.uint64).reshape(m, -1)
-    bits = np.empty((m, m), np.uint16)
-    step = max(1, (1 << 21) // (m * words.shape[1]))
-    for a in range(0, m, step):
-        bits[a : a + step] = np.bitwise_count(words[a : a + step, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.uint16)
-    ok = (bits <= limit) & (group[:, None] != group[None, :]) & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
-    if crossing:
-        ok &= block[:, None] != block[None, :]
-    if every:
-        yield from zip(*(x.tolist() for x in np.nonzero(np.triu(ok, 1))))
-        return
-    star = np.full(m, -1)
-    alone = ok.any(axis=1)
-    while alone.any():
-        gain = (ok & alone[None, :] & (bits <= near)).sum(axis=1)
-        if not gain.any():
-            gain = (ok & alone[None, :]).sum(axis=1)
-        hub = int(gain.argmax())
-        reached = ok[hub] & alone
-        if star[hub] < 0:
-            star[hub], alone[hub] = hub, False
-        for i in np.flatnonzero(reached).tolist():
-            yield hub, i
-        star[reached] = star[hub]
-        alone &= ~reached
-    i, j = np.nonzero(np.triu(ok & (star[:, None] != star[None, :]), 1))
-    if len(i):
-        low, high = np.minimum(star[i], star[j]), np.maximum(star[i], star[j])
-        order = np.lexsort((bits[i, j], high, low))
-        first = order[np.flatnonzero(np.diff(low[order] * m + high[order], prepend=-1))]
-        yield from zip(i[first].tolist(), j[first].tolist())
 
+def possible(bits: np.ndarray, size: np.ndarray, rows: np.ndarray, cols: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of these rows and columns the sketches and set sizes allow."""
+    x, y = size[rows][:, None], size[cols][None, :]
+    return (bits <= most_bits(percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
 
-def proposed(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Distinct pairs a < b from buckets: members has key, members (of the bucket), doc, size, sketch, group.
 
-    A bucket of more than BLOCK members is dealt into blocks, and each task compares two of them, so that no
-    task holds a whole bucket.
+def stars(sketch: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """For each member the hub of its star, or itself: hubs are those with the most near neighbours not yet reached."""
+    every = np.arange(len(sketch))
+    bits = differing(sketch, sketch)
+    ok = possible(bits, size, every, every, percent)
+    np.fill_diagonal(ok, False)
+    near = ok & (bits <= differing_bits(SAMPLES * (1 - percent / 100)))
+    hub, alone = every.copy(), ok.any(axis=1)
+    while alone.any():
+        gain = near[:, alone].sum(axis=1)
+        gain = gain if gain.any() else ok[:, alone].sum(axis=1)
+        if not gain.any():
+            break
+        h = int(gain.argmax())
+        reached = ok[h] & alone
+        hub[reached] = h
+        alone &= ~reached
+        alone[h] = False
+    return hub
+
+
+def connecting_pairs(sketch: np.ndarray, size: np.ndarray, block: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """A few pairs that connect a block, or the hubs of two blocks: each member with its hub, and hubs with hubs."""
+    hubs: list[np.ndarray] = []
+    blocks = np.unique(block)
+    for b in blocks:
+        own = np.flatnonzero(block == b)
+        hub = stars(sketch[own], size[own], percent)
+        moved = np.flatnonzero(hub != np.arange(len(own)))
+        if len(blocks) == 1:
+            yield from zip(own[hub[moved]].tolist(), own[moved].tolist())
+        hubs.append(own[np.setdiff1d(np.unique(hub), moved)] if len(own) else own)
+    left, right = hubs[0], hubs[-1]
+    ok = possible(differing(sketch[left], sketch[right]), size, left, right, percent)
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(ok, 1) if len(blocks) == 1 else ok))):
+        yield int(left[i]), int(right[j])
+
+
+def joining_links(sketch: np.ndarray, size: np.ndarray, group: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join different groups of a bucket, or of two of its blocks; a group is joined to another once.
+
+    Sketches say which members may have a partner outside their group; the common shingles of such a member with
+    all others are counted at once, from lists of the members that have each shingle.
+    """
+    m, top = len(sets), {g: g for g in group.tolist()}
+
+    def root(g: int) -> int:
+        while top[g] != g:
+            top[g] = g = top[top[g]]
+        return g
+
+    every, lengths = np.arange(m), np.fromiter(map(len, sets), np.int64, m)
+    shingles = np.concatenate(sets)
+    order = np.argsort(shingles, kind="stable")
+    owner = np.repeat(every, lengths)[order]
+    known, first = np.unique(shingles[order], return_index=True)
+    last = np.append(first[1:], len(shingles))
+    names, counts = np.unique(group, return_counts=True)
+    rows = np.flatnonzero(group != names[counts.argmax()])
+    two = bool((block != block[0]).any())
+    for a in range(0, len(rows), 256):
+        own = rows[a : a + 256]
+        ok = possible(differing(sketch[own], sketch), size, own, every, percent) & (group[own][:, None] != group[None, :])
+        if two:
+            ok &= block[own][:, None] != block[None, :]
+        for k in np.flatnonzero(ok.any(axis=1)).tolist():
+            r = int(own[k])
+            at = np.searchsorted(known, sets[r])
+            low, many = first[at], last[at] - first[at]
+            ends = np.cumsum(many)
+            common = np.bincount(owner[np.repeat(low - (ends - many), many) + np.arange(ends[-1])], minlength=m)
+            for c in np.flatnonzero(ok[k] & (100 * common >= percent * (size[r] + size - common))).tolist():
+                p, q = root(int(group[r])), root(int(group[c]))
+                if p != q:
+                    top[max(p, q)] = min(p, q)
+                    yield r, c
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The sorted rows in runs of equal keys, several runs at a time, none of them cut."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        at = [rows.column(c).to_numpy() for c in keys]
+        other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in at]))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        if whole:
+            yield rows.slice(0, whole)
+        held = rows.slice(whole)
+    if held is not None:
+        yield held
+
+
+def pair_batches(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Pairs a < b in batches."""
+    while rows := list(islice(found, 100_000)):
+        both = np.sort(np.array(rows, np.int64).reshape(-1, 2), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
+def compared(members: DataFrame, every: bool) -> DataFrame:
+    """Bucket members (key, members, total, doc, size, sketch, group, ...) dealt to the tasks (key, i, j) that compare them.
+
+    A bucket of more than BLOCK members, or of more than BLOCK_SHINGLES shingles, is dealt into blocks, and each
+    task compares two of them, so that no task holds a whole bucket: all pairs of blocks if `every`, else each
+    block with itself and with the first.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "size", "sketch", "group")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = [rows.column(c).to_numpy() for c in ("key", "i", "j", "doc", "size", "group", "block")]
-            key, i, j, doc, size, group, block = cols
-            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
-            cut = np.flatnonzero(np.concatenate(([True], (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0), [True])))
-            found: list[tuple[int, int]] = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                if b - a > 1:
-                    own = doc[a:b]
-                    for x, y in chosen_pairs(sketch[a:b], size[a:b], group[a:b], block[a:b], bool(i[a] != j[a]), percent, every):
-                        found.append((own[x], own[y]) if own[x] < own[y] else (own[y], own[x]))
-                        if len(found) >= 100_000:
-                            yield batch_of(found)
-                            found = []
-            yield batch_of(found)
-
-        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            both = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        held: pa.Table | None = None
+    whole = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = F.when(F.col("block") == 0, whole).otherwise(F.array(F.lit(0), F.col("block")))
+    dealt = dealt.withColumn("other", F.explode(whole if every else first)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return dealt.drop("blocks", "other", "members", "total").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def runs(rows: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, list[tuple[int, int]]]:
+    """The columns, the sketches, and the ranges of rows of one task (key, i, j) each that have something to compare."""
+    cols = {c: rows.column(c).to_numpy() for c in ("key", "i", "j", "doc", "size", "group", "block")}
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    cut = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([np.diff(cols[c]) != 0 for c in ("key", "i", "j")]), [True])))
+    block = cols["block"]
+    spans = [(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()) if b - a > 1 and (cols["i"][a] == cols["j"][a] or (block[a:b] != block[a]).any())]
+    return cols, sketch, spans
+
+
+def proposed(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a < b that connect each bucket: few for each member."""
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_group(batches, ["key", "i", "j"]):
+            cols, sketch, spans = runs(rows)
+            doc = cols["doc"]
+            yield from pair_batches((doc[a + x], doc[a + y]) for a, b in spans for x, y in connecting_pairs(sketch[a:b], cols["size"][a:b], cols["block"][a:b], percent))
+
+    return compared(members, every=False).mapInArrow(propose, "a long, b long").distinct()
+
+
+def suspects(members: DataFrame, percent: int) -> DataFrame:
+    """key, doc: members that by their sketches may have a partner of another group in their bucket."""
+
+    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_group(batches, ["key", "i", "j"]):
+            cols, sketch, spans = runs(rows)
+            found = np.zeros(rows.num_rows, bool)
+            for a, b in spans:
+                group, block, size = (cols[c][a:b] for c in ("group", "block", "size"))
+                if (group == group[0]).all():
+                    continue
+                every, two = np.arange(b - a), (block != block[0]).any()
+                names, counts = np.unique(group, return_counts=True)
+                few = np.flatnonzero(group != names[counts.argmax()])
+                for x in range(0, len(few), 256):
+                    own = few[x : x + 256]
+                    ok = possible(differing(sketch[a:b][own], sketch[a:b]), size, own, every, percent) & (group[own][:, None] != group[None, :])
+                    if two:
+                        ok &= block[own][:, None] != block[None, :]
+                    found[a + own[ok.any(axis=1)]] = True
+                    found[a:b] |= ok.any(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(cols["key"][found]), pa.array(cols["doc"][found])], ["key", "doc"])
+
+    return compared(members, every=True).mapInArrow(suspect, "key long, doc long").distinct()
+
+
+def joined(members: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links a < b that join different groups within a bucket, confirmed on full sets where the bucket is compared.
+
+    Only members that the sketches do not rule out take their sets along.
+    """
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            at = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
-            last = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in at]))
-            whole = int(last[-1]) + 1 if len(last) else 0
-            if whole:
-                yield from of(rows.slice(0, whole))
-            held = rows.slice(whole)
-        if held is not None:
-            yield from of(held)
-
-    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+            for a, b in by_bytes(batch.column("bytes").to_pylist(), SIGNATURE_BYTES):
+                sets = shingle_sets(batch.column("body").slice(a, b - a), words)
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc", "shingles"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_group(batches, ["key", "i", "j"]):
+            cols, sketch, spans = runs(rows)
+            doc, group = cols["doc"], cols["group"]
+            sets = lambda a, b: [np.frombuffer(x, np.uint64) for x in rows.column("shingles").slice(a, b - a).to_pylist()]
+            yield from pair_batches(
+                (doc[a + x], doc[a + y]) for a, b in spans if (group[a:b] != group[a]).any()
+                for x, y in joining_links(sketch[a:b], cols["size"][a:b], group[a:b], cols["block"][a:b], sets(a, b), percent)
+            )
+
+    members = stored(members.join(suspects(members, percent), ["key", "doc"], "left_semi"))
+    sets = texts_of(members.select("doc"), docs, id_col, text_col).dropDuplicates(["doc"]).withColumn("bytes", F.octet_length("body")).mapInArrow(with_sets, "doc long, shingles binary")
+    return compared(members.join(sets, "doc"), every=True).mapInArrow(join, "a long, b long").distinct()
+
+
+def texts_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, body of the documents wanted (doc). These are written first, so that few of them can be broadcast by size."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), whole_text(text_col).alias("body"))
+    return texts.join(stored(wanted.distinct()), "doc", "left_semi")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full shingle sets meet the threshold."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), whole_text(text_col).alias("body"))
+    """The pairs (a written table) whose full shingle sets meet the threshold."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")), docs, id_col, text_col)
     both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("body").alias("left")), "a").join(texts.select(F.col("doc").alias("b"), F.col("body").alias("right")), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,9 +377,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Two documents are linked when 100 * common shingles >= percent * shingles of either; a component is what
     links reach, named by its smallest id. Equal shingle sets form classes, of which only the smallest id goes
     on. MinHash bands put these into buckets; within a bucket odd sketches rule out what cannot meet the
-    threshold and choose a few pairs that connect it, which full shingle sets confirm. Buckets that still hold
-    several components then give all pairs across components that the sketches allow, so no link is lost to the
-    choice (the bands miss a pair at the threshold with a chance of BAND_MISS).
+    threshold and choose a few pairs that connect it, which full shingle sets confirm. In buckets that still hold
+    several components, every member that may have a partner in another one is compared with all of them on full
+    sets, so no link is lost to the choice (the bands miss a pair at the threshold with a chance of BAND_MISS);
+    only links that join two components leave the task.
 
     Words are what white space separates, A-Z as a-z. A text of fewer words than a shingle is one shingle; null
     and empty texts have none and are linked with nothing, nor are rows without an id (component_id null, kept).
@@ -263,23 +389,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     signed = stored(signatures(docs, words, percent, id_col, text_col))
     classes = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
     linked = signed.where("doc_id is not null and same is not null")
-    reps = stored(linked.join(classes, "same").where("doc_id = rep").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "bands", "sketch"))
+    reps = stored(linked.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "bands", "sketch"))
 
-    spread = reps.select("doc", F.explode("bands").alias("key"))
-    crowded = spread.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = spread.join(crowded, "key")
+    spread = reps.select("doc", "size", F.explode("bands").alias("key"))
+    crowded = spread.groupBy("key").agg(F.count("*").alias("members"), F.sum("size").alias("total")).where("members > 1")
+    buckets = spread.drop("size").join(crowded, "key")
     members = stored(buckets.join(reps.select("doc", "size", "sketch"), "doc"))
 
-    first = stored(confirmed(proposed(members.withColumn("group", F.col("doc")), percent, every=False), docs, words, percent, id_col, text_col))
+    chosen = stored(proposed(members.withColumn("group", F.col("doc")), percent))
+    first = stored(confirmed(chosen, docs, words, percent, id_col, text_col))
     roots = components(first)
 
     grouped = members.join(roots, members["doc"] == roots["node"], "left").withColumn("group", F.coalesce("root", "doc")).drop("node", "root")
     open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    rest = proposed(grouped.join(open_keys, "key", "left_semi"), percent, every=True)
-    second = confirmed(stored(rest), docs, words, percent, id_col, text_col)
-    roots = components(stored(second).unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    second = stored(joined(stored(grouped.join(open_keys, "key", "left_semi")), docs, words, percent, id_col, text_col))
+    roots = components(second.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("same", F.coalesce("root", "rep").alias("component"))
+    # Written, so that a class of very many copies is dealt by an exchange that Spark may split.
+    named = stored(classes.join(roots, classes["rep"] == roots["node"], "left").select("same", F.coalesce("root", "rep").alias("component")))
     out = signed.select("doc_id", "n_shingles", "same").join(named, "same", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
