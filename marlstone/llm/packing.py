@@ -24,7 +24,7 @@ SMALL_GAP = 16
 #: Partitions whose leftovers are merged in one task.
 MERGED_TOGETHER = 64
 #: Token ids of known words a worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 1_200_000
+REMEMBERED_WORDS = 1_000_000
 LONGEST_REMEMBERED = 64
 #: A word whose ids are those of its letters in lower case and those of its last comma or full stop: a pre-tokenizer
 #: that parts letters from punctuation never joins them, and these letters have no other forms.
