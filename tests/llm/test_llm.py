@@ -231,6 +231,26 @@ def test_near_duplicates_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
 
 
+def test_members_near_but_not_linked(spark, monkeypatch):
+    """A large group below the threshold, with one late member that links two components, is settled inside its buckets."""
+    generator = random.Random(9)
+    word = lambda: "".join(generator.choices("abcdefghij", k=6))
+    base = [word() for _ in range(100)]
+    rows = []
+    for i in range(60):
+        edit = list(base)
+        for k in generator.sample(range(100), 4):
+            edit[k] = word()
+        rows.append((i, " ".join(edit)))
+    rows.append((999, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 90):
+        expected = components_by_force(dict(rows), 3, percent)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 3, percent).collect()} == expected
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 1000)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 3, 90).collect()} == expected
+
+
 def test_near_duplicates_edges(edges, empty):
     got = {r.doc_id: (r.component_id, r.kept) for r in near_dup.near_duplicates(edges).collect()}
     assert got[2] == (1, False) and got[1] == (1, True) and got[3] == (3, True) and got[None] == (None, True)
@@ -396,12 +416,13 @@ def test_html_rules(spark):
 
 def test_pipeline(spark, sf, texts):
     import corpus_pipeline
+    from marlstone.llm.common import stored
 
     bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
+        docs = stored(stage(spark, docs, sf))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
     left = {d: t for d, t in texts.items() if re.search(r"[^\W\d_]", t)}
@@ -414,4 +435,4 @@ def test_pipeline(spark, sf, texts):
     plain = [decontam.plain(x) for x in bench]
     clean = {d for d in kept["near_dedup"] if not any(p in decontam.plain(texts[d]) for p in plain)}
     assert kept["decontamination"] == clean
-    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == clean
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").collect()} == clean
