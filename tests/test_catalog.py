@@ -1,6 +1,7 @@
 """Every query of the engine runs on the smallest tables; those with SQL give the same rows as DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from marlstone.plans import catalog, details  # noqa: F401
@@ -9,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return None
     if isinstance(value, (bool, str)):
         return value
