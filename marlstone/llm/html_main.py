@@ -19,6 +19,7 @@ LEAST_PAGES, LEAST_SHARE = 5, 0.2
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BOILERPLATE = frozenset("nav header footer aside form script style noscript template iframe button select textarea option svg canvas object embed audio video map dialog menu head title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -27,6 +28,7 @@ BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising a
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_raw_end = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _attribute = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _words = re.compile(r"[a-z]+")
 
@@ -70,27 +72,22 @@ class Page:
         self.stack = [Node("", False, False)]
         self.text: list[str] = []
         at = 0
-        raw: str | None = None
-        for m in _token.finditer(source):
-            tag = (m[2] or "").lower()
-            if raw:
-                if not (m[1] and tag == raw):
-                    continue
-                if not self.stack[-1].dropped:
-                    self.data(source[at : m.start()])
-                raw = None
-            else:
-                self.data(source[at : m.start()])
+        while m := _token.search(source, at):
+            self.data(source[at : m.start()])
             at = m.end()
-            if not tag:
-                continue
+            tag = (m[2] or "").lower()
             if m[1]:
                 self.close(tag)
-            else:
+            elif tag:
                 self.open(tag, m[3])
-                raw = tag if tag in RAW and not m[3].endswith("/") else None
-        if not raw:
-            self.data(source[at:])
+                if tag in RAW and self.stack[-1].tag == tag and not (m[3].endswith("/") and any(n.tag in FOREIGN for n in self.stack)):
+                    # Text up to the element's own end tag, or to the end of the page; no other markup counts in it.
+                    end = _raw_end[tag].search(source, at)
+                    stop = end.start() if end else len(source)
+                    if not self.stack[-1].dropped:
+                        self.data(source[at:stop])
+                    at = stop
+        self.data(source[at:])
         while len(self.stack) > 1:
             self.pop()
         self.flush()

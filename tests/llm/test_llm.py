@@ -436,3 +436,15 @@ def test_pipeline(spark, sf, texts):
     clean = {d for d in kept["near_dedup"] if not any(p in decontam.plain(texts[d]) for p in plain)}
     assert kept["decontamination"] == clean
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").collect()} == clean
+
+
+def main_text(source):
+    return " ".join(b[0] for b in html_main.Page(source).blocks)
+
+
+def test_html_raw_elements():
+    assert main_text("<script>for(i=0;i<n;i++){f(i)}</script><p>Text</p>") == "Text"
+    assert main_text("<style>a<b{c:d}</STYLE ><p>one</p><textarea>x<y</textarea><script src=/a/>1<c</script\n><p>two</p>") == "one two"
+    assert main_text("<script>'</scripted>' <p>no</script><p>yes</p>") == "yes"
+    assert main_text("<svg><title/><style/></svg><p>after</p><script>if(a<b) no") == "after"
+    assert main_text("<p>a</p><xmp>if (a <b) c</xmp><p>d</p><xmp>e <f") == "a if (a <b) c d e <f"
