@@ -34,27 +34,43 @@ _words = re.compile(r"[a-z]+")
 
 
 def is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element is not main text by its name, role, class or id. An article's own header is."""
+    """Whether an element is not main text by its name or role, or hidden. An article's own header is."""
     if tag in BOILERPLATE and not (tag == "header" and in_main):
         return True
-    if tag in ("html", "body", "article", "main") and tag != "article":
+    if tag in ("html", "body", "main"):
         return False
     for name, a, b, c in _attribute.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value in BOILERPLATE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(_words.findall(value)):
-            return True
+    return False
+
+
+def is_classed(tag: str, attributes: str) -> bool:
+    """Whether a whole token of an element's class or id names boilerplate, in all its words: `cookie-notice`, but not `no-sidebar`."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    for name, a, b, c in _attribute.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in (a or b or c).lower().split():
+                words = _words.findall(token)
+                if words and BOILERPLATE_WORDS.issuperset(words):
+                    return True
     return False
 
 
 class Node:
-    """An open element: its digest so far, and whether it is boilerplate or main text."""
+    """An open element: its digest so far, and whether it is boilerplate or main text.
 
-    __slots__ = ("tag", "digest", "dropped", "main", "children")
+    One that is `classed` is boilerplate by its class unless it `holds` an article, main or h1; its text that is
+    not yet in a block begins at `mark`. `within` tells whether it or an element about it is classed.
+    """
+
+    __slots__ = ("tag", "digest", "dropped", "main", "children", "classed", "within", "holds", "mark")
 
-    def __init__(self, tag: str, dropped: bool, main: bool):
+    def __init__(self, tag: str, dropped: bool, main: bool, classed: bool = False, within: bool = False, mark: int = 0):
         self.tag, self.dropped, self.main = tag, dropped, main
+        self.classed, self.within, self.holds, self.mark = classed, within, False, mark
         self.digest = hashlib.blake2b(tag.encode(), digest_size=8)
         self.children: list[int] = []
 
@@ -62,8 +78,9 @@ class Node:
 class Page:
     """Blocks of text in page order, each with the hashes of the subtrees it lies in.
 
-    Only blocks outside structural boilerplate are kept. If the page marks its main text (article or main), only
-    blocks in it are. Subtrees within marked main text that hold running text are no template candidates, as
+    Only blocks outside structural boilerplate are kept. An element is never dropped by its class or id if it is
+    or holds an article, main or h1. If the page marks its main text (article or main), only blocks in it are kept,
+    unless all such marks lie in elements with a boilerplate class and there is text outside of those. Subtrees within marked main text that hold running text are no template candidates, as
     copies and quotations recur there rightly.
     """
 
@@ -91,7 +108,8 @@ class Page:
         while len(self.stack) > 1:
             self.pop()
         self.flush()
-        if any(b[2] for b in self.blocks):
+        self.blocks = [b for b in self.blocks if not b[4]]
+        if any(b[2] and not b[3] for b in self.blocks) or any(b[2] for b in self.blocks) and all(b[3] for b in self.blocks):
             self.blocks = [b for b in self.blocks if b[2]]
 
     def data(self, piece: str) -> None:
@@ -103,13 +121,21 @@ class Page:
             self.text.append(html.unescape(piece))
 
     def flush(self) -> None:
-        """End a block."""
-        text = " ".join("".join(self.text).split())
+        """End a block; text before a classed inline element that is still open is a block of its own."""
+        done = 0
+        for i, node in enumerate(self.stack):
+            if node.mark:
+                self.block(self.text[done : node.mark], self.stack[:i])
+                done, node.mark = node.mark, 0
+        self.block(self.text[done:], self.stack)
         self.text = []
+
+    def block(self, pieces: list[str], about: list[Node]) -> None:
+        """Add a block: its text, the subtrees it lies in, whether it is main text or in a classed element, whether it goes."""
+        text = " ".join("".join(pieces).split())
         if text:
-            block = [text, [], self.stack[-1].main]
-            self.blocks.append(block)
-            for node in self.stack:
+            self.blocks.append([text, [], about[-1].main, about[-1].within, False])
+            for node in about:
                 node.children.append(len(self.blocks) - 1)
 
     def open(self, tag: str, attributes: str) -> None:
@@ -127,7 +153,14 @@ class Page:
         if tag not in INLINE and not parent.dropped:
             self.flush()
         main = parent.main or tag in ("article", "main")
-        self.stack.append(Node(tag, parent.dropped or is_boilerplate(tag, attributes, parent.main), main))
+        dropped = parent.dropped or is_boilerplate(tag, attributes, parent.main)
+        if tag in ("article", "main", "h1") and not dropped and parent.within:
+            for node in self.stack:
+                node.holds = True
+        classed = not dropped and is_classed(tag, attributes)
+        node = Node(tag, dropped, main, classed, parent.within or classed, len(self.text) if classed else 0)
+        node.holds = tag == "h1"
+        self.stack.append(node)
 
     def close(self, tag: str, barrier: frozenset | set = frozenset()) -> None:
         """Close the nearest open element of this name, and what is open in it; nothing if there is none before a barrier."""
@@ -143,6 +176,10 @@ class Page:
         node = self.stack[-1]
         if node.tag not in INLINE and not node.dropped:
             self.flush()
+        if node.classed and not node.holds:
+            del self.text[node.mark :]
+            for k in node.children:
+                self.blocks[k][4] = True
         self.stack.pop()
         digest = node.digest.digest()
         self.stack[-1].digest.update(digest)

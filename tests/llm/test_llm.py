@@ -448,3 +448,19 @@ def test_html_raw_elements():
     assert main_text("<script>'</scripted>' <p>no</script><p>yes</p>") == "yes"
     assert main_text("<svg><title/><style/></svg><p>after</p><script>if(a<b) no") == "after"
     assert main_text("<p>a</p><xmp>if (a <b) c</xmp><p>d</p><xmp>e <f") == "a if (a <b) c d e <f"
+
+
+@pytest.mark.parametrize("wrapper", ['div class="content no-sidebar"', 'article class="post comments-open"', 'section id="side-effects"', 'div class="content sidebar"', 'div id="comments"'])
+def test_html_classes_lose_no_article(wrapper):
+    tag = wrapper.split()[0]
+    title = "<h1>Title</h1>" if tag != "article" else ""
+    assert main_text(f"<body><{wrapper}>{title}<p>The text.</p></{tag}></body>") == ("Title " if title else "") + "The text."
+    assert main_text(f"<body><div class='sidebar'>x</div><{wrapper}><article><p>The text.</p></article></{tag}></body>") == "The text."
+
+
+def test_html_classes_that_go():
+    assert main_text("<p>a<span class='ad x'>b</span>c</p><div id=nav-menu>d<p>e</div><div class='x related'>f</div><p>g") == "ac g"
+    assert main_text("<div>a<a class=promo>b<div>c</div>d</a>e</div>") == "a e"
+    assert main_text("<div id=x><h1>T</h1><p>text</p></div><div class=comments><article>c</article></div>") == "T text c"
+    assert main_text("<nav><h1>n</h1></nav><div class=menu><nav><h1>m</h1></nav>k</div><main>t<div class=share>s</div></main>") == "t"
+    assert main_text("<h1 class=banner>T</h1><p>a") == "T a"
