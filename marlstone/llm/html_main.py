@@ -15,6 +15,10 @@ from .common import stored
 
 #: A subtree is template where it is on so many differing pages of a host, and on so large a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: On so many differing pages of a host it is template whatever the share.
+MANY_PAGES = 100
+#: List items, and running text within marked main text, are template on so large a share of a host's pages only.
+RUNNING_SHARE = 0.5
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,8 +84,9 @@ class Page:
 
     Only blocks outside structural boilerplate are kept. An element is never dropped by its class or id if it is
     or holds an article, main or h1. If the page marks its main text (article or main), only blocks in it are kept,
-    unless all such marks lie in elements with a boilerplate class and there is text outside of those. Subtrees within marked main text that hold running text are no template candidates, as
-    copies and quotations recur there rightly.
+    unless all such marks lie in elements with a boilerplate class and there is text outside of those. The lowest bit
+    of a subtree's hash tells list items, and running text within marked main text: copies and quotations recur there
+    rightly, so these are template on a high share of the pages only.
     """
 
     def __init__(self, source: str):
@@ -183,12 +188,10 @@ class Page:
         self.stack.pop()
         digest = node.digest.digest()
         self.stack[-1].digest.update(digest)
-        if node.tag in INLINE or node.tag in ("html", "body", "li"):
+        if node.tag in INLINE or node.tag in ("html", "body"):
             return
-        running = node.main and (node.tag in ("article", "main", "p", "blockquote", "pre", "table") or node.tag in HEADINGS)
-        if running:
-            return
-        h = int.from_bytes(digest, "little", signed=True)
+        running = node.tag == "li" or node.main and (node.tag in ("article", "main", "p", "blockquote", "pre", "table") or node.tag in HEADINGS)
+        h = int.from_bytes(digest, "little", signed=True) & ~1 | running
         for k in node.children:
             self.blocks[k][1].append(h)
 
@@ -199,13 +202,16 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES, running_share: float = RUNNING_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of `pages`: page_id, url, text, n_chars (code points).
 
     Each page is parsed once, and its element subtrees are hashed. A subtree is template if it is on at least
-    `least_pages` pages of a host that differ in their other main text, and on at least `least_share` of them;
-    its text is deleted. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-    also go by their element, role, class or id. Where a page marks its main text by article or main, the rest
+    `least_pages` pages of a host that differ in their other main text, and on at least `least_share` of them or on
+    `many_pages`. List items everywhere, and running text (paragraphs, headings, quotations, preformatted text,
+    tables, the article itself) within article or main, are template on at least `running_share` of the host's
+    pages. The whole page and inline elements are none. A template's text is deleted. Menus, headers, footers,
+    sidebars, notices, adverts, forms, scripts, styles and comments also go by their element, role, class or id.
+    Where a page marks its main text by article or main (see Page), the rest
     goes. Character references are decoded, white space in a block becomes one space, and the trimmed blocks are
     joined by one space in page order.
 
@@ -237,8 +243,14 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sh
     # Only subtrees that hold text that would be kept matter.
     held = parsed.select("row", "host", "page", F.explode(F.array_distinct(F.flatten("inside"))).alias("hash"))
     totals = parsed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    on = held.select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count("*").alias("seen"))
-    template = on.where(F.col("seen") >= least_pages).join(totals, "host").where(F.col("seen") >= least_share * F.col("pages")).select("host", "hash")
+    subtree = F.shiftright("hash", 1)
+    on = held.select("host", subtree.alias("subtree"), "page").distinct().groupBy("host", "subtree").agg(F.count("*").alias("seen"))
+    often = F.col("seen") >= running_share * F.col("pages")
+    enough = (F.col("seen") >= least_share * F.col("pages")) | (F.col("seen") >= many_pages)
+    counted = on.where(F.col("seen") >= least_pages).join(totals, "host").where(often | enough)
+    # Each kind by its own share; a subtree is counted over both.
+    kinds = F.filter(F.array(F.when(enough, F.lit(0)), F.when(often, F.lit(1))), lambda k: k.isNotNull())
+    template = counted.select("host", "subtree", F.explode(kinds).alias("kind")).select("host", (F.shiftleft("subtree", 1) + F.col("kind")).alias("hash"))
     # Written first, so that its size is known when Spark chooses whether to deal the texts or to broadcast this.
     drops = stored(held.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("drop")))
     rest = parsed.select("page_id", "url", "texts", "inside", "row").join(drops, "row", "left")

@@ -464,3 +464,24 @@ def test_html_classes_that_go():
     assert main_text("<div id=x><h1>T</h1><p>text</p></div><div class=comments><article>c</article></div>") == "T text c"
     assert main_text("<nav><h1>n</h1></nav><div class=menu><nav><h1>m</h1></nav>k</div><main>t<div class=share>s</div></main>") == "t"
     assert main_text("<h1 class=banner>T</h1><p>a") == "T a"
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://{host}/{i}", source) for i, (host, source) in enumerate(pages)]
+    return [r.text for r in html_main.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_template_of_one_section(spark):
+    """On a host of 1,000 pages a sidebar of 150 goes; a passage of 99, too rare for both bars, stays."""
+    story = lambda i: f"<p>story {i}</p>" + ("<div>section box</div>" if i < 150 else "") + ("<div>quoted box</div>" if i < 99 else "")
+    got = extracted(spark, [("h", story(i)) for i in range(1000)])
+    assert got == [f"story {i}" + (" quoted box" if i < 99 else "") for i in range(1000)]
+
+
+def test_html_template_in_main(spark):
+    """A notice in main on all pages of a host goes, as do list items; a passage on less than half of them stays."""
+    page = lambda i: f"<main><p>Notice.</p><p>story {i}</p><ul><li>Share<li>item {i}</ul>" + ("<p>quoted</p>" if i < 9 else "") + "</main>"
+    got = extracted(spark, [("h", page(i)) for i in range(20)] + [("few", page(i)) for i in range(4)])
+    quoted = lambda i: " quoted" if i < 9 else ""
+    assert got[:20] == [f"story {i} item {i}{quoted(i)}" for i in range(20)]
+    assert got[20:] == [f"Notice. story {i} Share item {i} quoted" for i in range(4)]
