@@ -15,7 +15,7 @@ from .common import by_bytes, whole_text
 
 #: Labelled rows of a language that train the classifier, at most; chosen by a hash of the id.
 ROWS_PER_LANGUAGE = 250
-#: Rows of longer texts do not train; every text is read whole, in training as in prediction.
+#: Rows of longer texts train only where a language has too few others; every text is read whole, in training as in prediction.
 TRAINING_BYTES = 16_000
 #: Landmarks of the Nyström approximation for a language.
 LANDMARKS_PER_LANGUAGE = 32
@@ -41,6 +41,12 @@ def grams(text: bytes) -> np.ndarray:
 GRAM_CODES = 256 + 65536 + (1 << 24)
 
 
+def parts(text: bytes) -> Iterator[bytes]:
+    """The text in pieces that bound the arrays of its n-grams; they overlap so that no n-gram is lost."""
+    for a in range(0, max(1, len(text)), 1 << 20):
+        yield text[a : a + (1 << 20) + LONGEST_GRAM - 1]
+
+
 def normal(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
@@ -59,7 +65,11 @@ class KernelClassifier:
         for i, x in enumerate(labels):
             each[x].append(i)
         marks = [i for x in self.languages for i in each[x][:LANDMARKS_PER_LANGUAGE]]
-        self.codes = np.unique(np.concatenate([np.unique(grams(texts[i])) for i in marks])) if marks else np.zeros(0, np.int32)
+        seen = np.zeros(GRAM_CODES, bool)
+        for i in marks:
+            for part in parts(texts[i]):
+                seen[grams(part)] = True
+        self.codes = np.flatnonzero(seen).astype(np.int32)
         self._place: np.ndarray | None = None
         presence = self.presence([texts[i] for i in marks])
         self.landmarks = np.ascontiguousarray((presence / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))).T)
@@ -85,8 +95,8 @@ class KernelClassifier:
             self._place[self.codes] = np.arange(len(self.codes), dtype=np.int32)
         out = np.zeros((len(texts), len(self.codes) + 1), np.float32)
         for row, text in zip(out, texts):
-            for a in range(0, max(1, len(text)), 1 << 20):
-                row[self._place[grams(text[a : a + (1 << 20) + LONGEST_GRAM - 1])]] = 1
+            for part in parts(text):
+                row[self._place[grams(part)]] = 1
         return out[:, :-1]
 
     def kernel(self, texts: list[bytes]) -> np.ndarray:
@@ -111,27 +121,50 @@ def held_out(doc_id: str):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> KernelClassifier | None:
     """Learn from at most `rows` labelled rows of each language that are not held out; None if there are none.
 
-    Only texts of up to TRAINING_BYTES train, so the sample is bounded; a language of longer texts alone is not
-    learned. A language's rows are those of greatest hash of the id. Counts of languages come first, so that only about
-    twice the rows wanted of a language are dealt by it, however common it is.
+    A language's rows are those of up to TRAINING_BYTES of greatest hash of the id. If they are fewer than `rows`, its
+    shortest longer texts fill up the rest, whole, as long as they stay within TRAINING_BYTES on average; one trains in
+    any case. So the sample is bounded, and a language of longer texts alone is learned. Counts of languages come first,
+    so that only about twice the rows wanted of a language are dealt by it, however common it is; longer texts are
+    chosen by their sizes before any is read.
     """
-    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= TRAINING_BYTES) & F.col(text_col).rlike(r"\p{L}"))
-    keyed = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col)).alias("order"))
-    counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    keyed = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"), F.xxhash64(F.col(id_col)).alias("order"), F.octet_length(text_col).cast("long").alias("size"))
+    short = F.col("size") <= TRAINING_BYTES
+    counts = {r["lang"]: (r["n"], r["longer"]) for r in keyed.groupBy("lang").agg(F.count(F.when(short, 1)).alias("n"), F.count(F.when(~short, 1)).alias("longer")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    few = None
-    for lang, n in sorted(counts.items()):
-        least = F.lit(-(2**63)) if n <= 4 * rows else F.lit(2**63 - 1 - int(2**64 * min(1.0, 2.5 * rows / n)))
-        one = (F.col("lang") == lang) & ((F.col("order") >= least) if n > 4 * rows else F.lit(True))
-        few = one if few is None else few | one
-    if few is None:
+    if not counts:
         return None
-    ranked = keyed.where(few).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("order"), "body")))
+    few = F.lit(False)
+    for lang, (n, _) in sorted(counts.items()):
+        least = F.lit(-(2**63)) if n <= 4 * rows else F.lit(2**63 - 1 - int(2**64 * min(1.0, 2.5 * rows / n)))
+        few = few | (F.col("lang") == lang) & ((F.col("order") >= least) if n > 4 * rows else F.lit(True))
+    ranked = keyed.where(short & few).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("order"), "body")))
     sample = sorted((r["lang"], r["rank"], r["body"]) for r in ranked.where(F.col("rank") <= rows).collect())
+    sample += longer_rows(keyed.where(~short), {lang: rows - n for lang, (n, longer) in counts.items() if n < rows and longer}, rows)
+    sample.sort(key=lambda r: r[0])  # stable: a language's longer texts come after its others
     return KernelClassifier([normal(x) for _, _, x in sample], [x for x, _, _ in sample])
 
 
+def longer_rows(keyed: DataFrame, wanted: dict[str, int], rows: int) -> list[tuple[str, int, str]]:
+    """lang, rank, body of the shortest texts of each wanted language: at most so many, of TRAINING_BYTES each on average, but one at least."""
+    if not wanted:
+        return []
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("size", F.desc("order")))
+    sizes = keyed.where(F.col("lang").isin(list(wanted))).select("lang", "size", "order").withColumn("rank", rank).where(F.col("rank") <= rows).collect()
+    keys: dict[str, list[tuple[str, int, int]]] = {}
+    left = {lang: n * TRAINING_BYTES for lang, n in wanted.items()}
+    for r in sorted(sizes, key=lambda r: (r["lang"], r["rank"])):
+        own = keys.setdefault(r["lang"], [])
+        left[r["lang"]] -= r["size"]
+        if not own or left[r["lang"]] >= 0 and len(own) < wanted[r["lang"]]:
+            own.append((r["lang"], r["size"], r["order"]))
+    chosen = keyed.sparkSession.createDataFrame([k for own in keys.values() for k in own], "lang string, size long, order long")
+    again = F.row_number().over(W.partitionBy("lang").orderBy("size", F.desc("order"), "body"))  # equal ids are chosen together
+    found = keyed.join(F.broadcast(chosen), ["lang", "size", "order"], "left_semi").withColumn("rank", again).where(F.col("rank") <= rows).collect()
+    return sorted((r["lang"], r["rank"], r["body"]) for r in found if r["rank"] <= len(keys[r["lang"]]))
+
+
 def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Ranges of rows that are scored together: bounded rows and bytes."""
     for low, high in by_bytes(sizes, 1 << 20):
@@ -168,7 +201,9 @@ def identify_languages(docs: DataFrame, model: KernelClassifier | None = None, i
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` in some language, with all their columns: those without a letter are rejected.
+    """The rows of `docs` in some language, with all their columns: null texts and those without a letter are rejected.
+
+    So it is too where nothing could be learned.
 
     Nothing is shuffled but the training rows.
     """
@@ -178,6 +213,9 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         classifier = shared.value
         for batch in batches:
             texts = batch.column(text_col)
+            if classifier is None:
+                yield batch.filter(pa.array([bool(_letter.search(x.as_py() or "")) for x in texts], pa.bool_()))
+                continue
             langs: list[str] = []
             for a, b in slices([len(x.as_py() or "") for x in texts]):
                 langs += predicted(classifier, texts.slice(a, b - a))[0]

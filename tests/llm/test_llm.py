@@ -485,3 +485,26 @@ def test_html_template_in_main(spark):
     quoted = lambda i: " quoted" if i < 9 else ""
     assert got[:20] == [f"story {i} item {i}{quoted(i)}" for i in range(20)]
     assert got[20:] == [f"Notice. story {i} Share item {i} quoted" for i in range(4)]
+
+
+def test_language_of_long_texts_is_learned(spark):
+    """Language bb has texts of more than TRAINING_BYTES only, cc one such text besides a short one."""
+    rng = random.Random(3)
+    words = {x: ["".join(rng.choice(abc) for _ in range(5)) for _ in range(60)] for x, abc in (("aa", "abcdefg"), ("bb", "mnopqrs"), ("cc", "tuvwxyz"))}
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    rows = [(i, say(x, n), x) for i, (x, n) in enumerate([("aa", 50)] * 40 + [("bb", 3000 + 50 * k) for k in range(40)] + [("cc", 50)] + [("cc", 3000)] * 4)]
+    assert all(len(t) > langid.TRAINING_BYTES for _, t, x in rows if x == "bb")
+    rows += [(1000 + i, say(x, 30), None) for i, x in enumerate(["aa", "bb", "cc"] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify_languages(docs).collect()}
+    assert all(got[i] == x for i, _, x in rows if x) and all(got[1000 + i] == x for i, x in enumerate(["aa", "bb", "cc"] * 5))
+    keyed = docs.where("lang is not null").selectExpr("lang", "text as body", "xxhash64(doc_id) as order", "cast(octet_length(text) as long) as size")
+    texts = [t for _, t, x in rows if x == "bb"]
+    assert langid.longer_rows(keyed, {"bb": 4}, 250) == [("bb", k + 1, texts[k]) for k in range(3)]  # a fourth is beyond 4 x TRAINING_BYTES
+
+
+def test_nothing_learned_keeps_texts(spark, edges):
+    want = {1, 2, 6, 8, 9, None, 10}
+    assert {r.doc_id for r in langid.drop_unidentified(edges.withColumn("lang", F.lit(None).cast("string"))).collect()} == want
+    long = spark.createDataFrame([(i, "word " * 5000, "en") for i in range(8)], "doc_id long, text string, lang string")
+    assert langid.drop_unidentified(long).count() == 8
