@@ -621,7 +621,7 @@ def associate_frames(spark, sf_dir):
 def merge_fragments(spark, sf_dir):
     c = clouds(spark, sf_dir)
     looks = bridge.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("observation_id"), F.transform("embedding", lambda v: v.cast("double")).alias("look"))
-    rows = c.join(looks, "observation_id").select("scene", F.col("observation_id").alias("object_id"), "label", F.transform(F.filter("points", lambda p, i: i % 16 == 0), lambda p: p).alias("points"), F.array("position").alias("frames"), F.array((F.col("observation_id") % 3).cast("string")).alias("hints"), "look")
+    rows = c.join(looks, "observation_id").select("scene", F.col("observation_id").alias("object_id"), "label", "points", F.array("position").alias("frames"), F.array((F.col("observation_id") % 3).cast("string")).alias("hints"), "look")
     return objects.merge_fragments(rows)
 
 

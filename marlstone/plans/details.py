@@ -82,8 +82,14 @@ def chunk_gaps(spark, sf_dir):
 @query("""WITH m AS (SELECT label AS object_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i), n AS (SELECT object_id, sqrt(sum(m * m)) + 1e-9 AS n FROM m GROUP BY object_id)
 SELECT object_id, i, CAST(floor(1e5 * m / n + 0.5) AS BIGINT) AS d FROM m JOIN n USING (object_id) WHERE i <= 4""")
 def mean_direction(spark, sf_dir):
+    return mean_direction_all(spark, sf_dir).where("i <= 4")
+
+
+@query("""WITH m AS (SELECT label AS object_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i), n AS (SELECT object_id, sqrt(sum(m * m)) + 1e-9 AS n FROM m GROUP BY object_id)
+SELECT object_id, i, CAST(floor(1e5 * m / n + 0.5) AS BIGINT) AS d FROM m JOIN n USING (object_id)""")
+def mean_direction_all(spark, sf_dir):
     v = bridge.table(spark, sf_dir, "embeddings").select(F.col("label").alias("object_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    rows = evidence.mean_directions(v).select("object_id", F.posexplode(F.slice("direction", 1, 4)).alias("i", "d"))
+    rows = evidence.mean_directions(v).select("object_id", F.posexplode("direction").alias("i", "d"))
     return rows.select("object_id", (F.col("i") + 1).cast("long").alias("i"), F.floor(F.col("d") * 1e5 + 0.5).cast("long").alias("d"))
 
 

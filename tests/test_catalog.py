@@ -49,3 +49,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["room", "n"]
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.SQL) <= set(entry.oracle_sql())
+
+
+def test_merge_fragments_reads_all_points(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog.objects, "merge_fragments", lambda rows: seen.append(rows) or rows)
+    catalog.QUERIES["merge_fragments"](spark, sf)
+    assert {len(r.points) for r in seen[0].select("points").collect()} == {512}
+
+
+def test_mean_direction_has_all_components(spark, sf):
+    got = catalog.QUERIES["mean_direction_all"](spark, sf)
+    assert {r["count"] for r in got.groupBy("object_id").count().collect()} == {64}

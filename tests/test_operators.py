@@ -350,3 +350,11 @@ def test_streaming(spark, sf, tmp_path):
     batch = temporal.first_in_bins(bridge.frames(spark, sf), "sequence_id", "micros", 6 * 3600 * 10**6, ["micros", "frame_id"]).select("sequence_id", "frame_id").toPandas()
     assert set(zip(got.user_id, got.event_id)) == set(zip(batch.sequence_id, batch.frame_id))
     assert streams.drained(streams.sampled(source), "by_window", str(tmp_path / "b"), "complete").count() > 0
+
+
+@pytest.mark.parametrize("n, m", [(30, 40), (900, 800)])
+def test_near_fraction(n, m):
+    rng = np.random.default_rng(n)
+    p, q = rng.uniform(-1, 1, (n, 3)), rng.uniform(-0.5, 1.5, (m, 3))
+    assert objects.near_fraction(p, q, 0.1) == pytest.approx(np.mean([min(((x - y) ** 2).sum() for y in q) <= 0.1**2 for x in p]))
+    assert objects.near_fraction(p, q + 3, 0.1) == 0
