@@ -638,7 +638,7 @@ def carve_points(spark, sf_dir):
 
 def mask_cells(spark, sf_dir) -> DataFrame:
     """A 20 x 20 mask of each part size, with holes and two depths."""
-    frames = bridge.table(spark, sf_dir, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("frame_id"), "p_size")
+    frames = bridge.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("frame_id"), "p_size")
     cells = frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("col"))
     return cells.where((F.col("row") * 7 + F.col("col") * 3 + F.col("p_size")) % 23 != 0).select("frame_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), (F.lit(1.0) + F.col("row") * 0.01 + F.when((F.col("row") + F.col("col")) % 19 == 0, 3.0).otherwise(0.0)).alias("depth"))
 
@@ -648,6 +648,11 @@ _CELLS = "cells AS (SELECT p_partkey AS frame_id, r AS row, c AS col, 1.0::DOUBL
 
 @query(f"WITH {_CELLS} SELECT frame_id, row, col, CAST(floor(share * 1e6 + 0.5) AS BIGINT) AS share_ppm FROM (SELECT frame_id, R.i AS row, C.i AS col, sum(greatest(0.0, least((R.i + 1) * (20/7::DOUBLE), row + 1.0) - greatest(R.i * (20/7::DOUBLE), row * 1.0)) / (20/7::DOUBLE) * (greatest(0.0, least((C.i + 1) * (20/6::DOUBLE), col + 1.0) - greatest(C.i * (20/6::DOUBLE), col * 1.0)) / (20/6::DOUBLE))) AS share FROM cells, range(7) R(i), range(6) C(i) GROUP BY ALL) WHERE share >= 0.5")
 def coverage_fraction(spark, sf_dir):
+    return coverage_fraction_all(spark, sf_dir).where("frame_id <= 40")
+
+
+@query()
+def coverage_fraction_all(spark, sf_dir):
     return evidence.coverage(mask_cells(spark, sf_dir), 20, 20, 7, 6).select("frame_id", "row", "col", micro("share").alias("share_ppm"))
 
 
@@ -655,9 +660,18 @@ def coverage_fraction(spark, sf_dir):
 core AS (SELECT frame_id, quantile_cont(depth, 0.05) AS lo, quantile_cont(depth, 0.95) AS hi FROM er GROUP BY frame_id HAVING count(*) >= 20), al AS (SELECT frame_id, quantile_cont(depth, 0.05) AS lo, quantile_cont(depth, 0.95) AS hi FROM cells GROUP BY frame_id)
 SELECT frame_id, row, col FROM cells JOIN al USING (frame_id) LEFT JOIN core USING (frame_id) WHERE depth >= coalesce(core.lo, al.lo) - 0.1 AND depth <= coalesce(core.hi, al.hi) + 0.1""")
 def depth_core(spark, sf_dir):
+    return depth_core_all(spark, sf_dir).where("frame_id <= 40")
+
+
+@query()
+def depth_core_all(spark, sf_dir):
     return evidence.depth_core(mask_cells(spark, sf_dir), radius=1).select("frame_id", "row", "col")
 
 
+# The same over all parts.
+SQL |= {f"{q}_all": SQL[q].replace("p_partkey <= 40 AND ", "") for q in ("coverage_fraction", "depth_core")}
+
+
 @query("""WITH p AS (SELECT *, object_id % 4 AS room FROM b_points), cam AS (SELECT room, room * 10 + k AS frame_id, k * 0.1 AS shift FROM range(4) r(room), range(3) c(k)),
 pr AS (SELECT p.object_id, cam.frame_id, 20 * (x + shift) / (z + 1.2) + 20 AS u, 20 * y / (z + 1.2) + 20 AS v, z + 1.2 AS d FROM p JOIN cam USING (room)),
 s AS (SELECT *, d > 0 AND u >= 0 AND u < 39.5 AND v >= 0 AND v < 39.5 AND NOT (CASE WHEN d > 0 AND u >= 0 AND u < 39.5 AND v >= 0 AND v < 39.5 THEN 1.0 + CAST(round_even(u, 0) AS INT) % 5 * 0.1 ELSE 1e9 END < d - 0.1) AS ok FROM pr)

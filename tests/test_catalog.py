@@ -61,3 +61,12 @@ def test_merge_fragments_reads_all_points(spark, sf, monkeypatch):
 def test_mean_direction_has_all_components(spark, sf):
     got = catalog.QUERIES["mean_direction_all"](spark, sf)
     assert {r["count"] for r in got.groupBy("object_id").count().collect()} == {64}
+
+
+def test_masks_of_all_parts(spark, sf):
+    parts = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    share = lambda size, i, j: sum(max(0, min((i + 1) * 20 / 7, r + 1) - max(i * 20 / 7, r)) * max(0, min((j + 1) * 20 / 6, c + 1) - max(j * 20 / 6, c)) for r in range(20) for c in range(20) if (r * 7 + c * 3 + size) % 23) / (400 / 42)
+    by_size = {n: {(i, j): round(share(n, i, j), 5) for i in range(7) for j in range(6) if share(n, i, j) >= 0.5} for n in set(parts.values())}
+    got = {(r.frame_id, r.row, r.col): round(r.share_ppm / 1e6, 5) for r in catalog.QUERIES["coverage_fraction_all"](spark, sf).collect()}
+    assert got == pytest.approx({(p, *cell): v for p, n in parts.items() for cell, v in by_size[n].items()}, abs=2e-5)
+    assert {r.frame_id for r in catalog.QUERIES["depth_core_all"](spark, sf).select("frame_id").distinct().collect()} == set(parts)
