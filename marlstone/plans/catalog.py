@@ -394,6 +394,22 @@ def rule_links(spark, sf_dir):
     return links.rule_links(bridge.turns(spark, sf_dir), named_objects(spark, sf_dir))
 
 
+# The same over all objects, whose classes are words of the whole dialogue.
+_ALL_NAMED = "named AS (SELECT object_id, room, words[CAST(object_id % 1000003 * 7919 % greatest(len(words), 1) AS INT) + 1] AS label FROM b_objects, (SELECT list_sort(list(DISTINCT word)) AS words FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM b_turns) WHERE regexp_full_match(word, '[a-z]{2,}')))"
+
+
+def all_named_objects(spark, sf_dir) -> DataFrame:
+    words = bridge.turns(spark, sf_dir).select(F.explode(F.split(F.lower("text"), " ")).alias("word")).where(F.col("word").rlike("^[a-z]{2,}\\z"))
+    vocabulary = words.agg(F.sort_array(F.collect_set("word")).alias("words"))
+    at = F.col("object_id") % 1000003 * 7919 % F.greatest(F.size("words"), F.lit(1))
+    return bridge.objects(spark, sf_dir).join(F.broadcast(vocabulary)).select("object_id", "room", F.get("words", at.cast("int")).alias("label"))
+
+
+@query()
+def rule_links_all(spark, sf_dir):
+    return links.rule_links(bridge.turns(spark, sf_dir), all_named_objects(spark, sf_dir))
+
+
 @query(f"SELECT episode, turn, regexp_matches(lower(text), {_PLACE[:-2]}') AS has_place FROM b_turns")
 def locator_subject(spark, sf_dir):
     return bridge.turns(spark, sf_dir).select("episode", "turn", F.lower("text").rlike(T.PLACE_PREFIX[:-1]).alias("has_place"))
@@ -410,6 +426,14 @@ def uncovered_turns(spark, sf_dir):
     return links.uncovered_turns(bridge.turns(spark, sf_dir), named_objects(spark, sf_dir), bridge.links(spark, sf_dir, gold=False))
 
 
+@query()
+def uncovered_turns_all(spark, sf_dir):
+    return links.uncovered_turns(bridge.turns(spark, sf_dir), all_named_objects(spark, sf_dir), bridge.links(spark, sf_dir, gold=False))
+
+
+SQL |= {f"{q}_all": SQL[q].replace(_NAMED, _ALL_NAMED) for q in ("rule_links", "uncovered_turns")}
+
+
 _ORDER = "list_position(['log', 'compiled', 'evidence', 'llm', 'rule', 'llm-verify'], source)"
 
 

@@ -70,3 +70,13 @@ def test_masks_of_all_parts(spark, sf):
     got = {(r.frame_id, r.row, r.col): round(r.share_ppm / 1e6, 5) for r in catalog.QUERIES["coverage_fraction_all"](spark, sf).collect()}
     assert got == pytest.approx({(p, *cell): v for p, n in parts.items() for cell, v in by_size[n].items()}, abs=2e-5)
     assert {r.frame_id for r in catalog.QUERIES["depth_core_all"](spark, sf).select("frame_id").distinct().collect()} == set(parts)
+
+
+def test_links_to_all_objects(spark, sf):
+    everything = {r.object_id for r in catalog.bridge.objects(spark, sf).collect()}
+    named = {r.object_id: r.label for r in catalog.all_named_objects(spark, sf).collect()}
+    assert set(named) == everything and max(everything) >= 160 and all(named.values())
+    linked = {r.object_id for r in catalog.QUERIES["rule_links_all"](spark, sf).collect()}
+    assert any(i >= 160 for i in linked)
+    beyond = {named[i] for i in everything if i >= 160} - {named[i] for i in everything if i < 160}
+    assert beyond & {r.label for r in catalog.QUERIES["uncovered_turns_all"](spark, sf).collect()}
