@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stored, whole_text
+from .common import by_bytes, give_back, stored, tidy, whole_text
 
 #: Windows a partition holds open at once.
 OPEN_WINDOWS = 16
@@ -23,15 +24,16 @@ OPEN_WINDOWS = 16
 SMALL_GAP = 16
 #: Partitions whose leftovers are merged in one task.
 MERGED_TOGETHER = 64
-#: Token ids of known words a worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 1_000_000
+#: Bytes of known words and their token ids that a worker remembers; beyond it the memory starts anew.
+REMEMBERED_BYTES = 40 << 20
 LONGEST_REMEMBERED = 64
 #: A word whose ids are those of its letters in lower case and those of its last comma or full stop: a pre-tokenizer
 #: that parts letters from punctuation never joins them, and these letters have no other forms.
 PLAIN_WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]?$"
 TAILS = ("", ",", ".")
-#: Text bytes encoded at once.
-SLICE_BYTES = 8 << 20
+#: Text bytes encoded at once, and words whose ids are gathered at once.
+SLICE_BYTES = 4 << 20
+GATHERED = 1 << 18
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -40,8 +42,9 @@ class WordEncoder:
     """Token ids of texts, each new word encoded once, in batches.
 
     For tokenizers that turn letters into lower case, drop white space and part letters from punctuation, so that no
-    token crosses a space or line feed. Words are cut at these two alone; any other white space is left to the tokenizer. A slice's words are
-    first made distinct by Arrow, so that Python sees each of them once, and put together again by numpy.
+    token crosses a space or line feed. Words are cut at these two alone; any other white space is left to the
+    tokenizer. A slice's words are first made distinct by Arrow and looked up in Arrow's array of known words, so that
+    Python sees new words only; numpy puts the ids together again.
     """
 
     def __init__(self, path: str):
@@ -54,61 +57,86 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """Known words by number; word k has ids[ends[k]:ends[k + 1]]."""
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, "<u4")
-        self.ends = np.zeros((1 << 14) + 1, np.int64)
-        self.words = 0
-
-    def learn(self, fresh: list[str]) -> None:
+        """Known words in an array, the TAILS first; word k has ids[ends[k]:ends[k + 1]]."""
+        self.known = pa.array([], pa.string())
+        self.ids, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int32)
+        self.learn(list(TAILS), len(TAILS))
+
+    def learn(self, fresh: list[str], remembered: int) -> tuple[np.ndarray, np.ndarray]:
+        """All known words' ids and ends with those of `fresh` after them; the first of these are remembered."""
+        parts, lengths = [self.ids], [self.ends[-1:]]
         for a, b in by_bytes([4 * len(x) for x in fresh], 1 << 20):
             encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[a:b], add_special_tokens=False)]
-            ends = self.ends[self.words] + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
-            while ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while self.words + len(encoded) >= len(self.ends):
-                self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
-            self.ids[self.ends[self.words] : ends[-1]] = np.fromiter(chain.from_iterable(encoded), "<u4", int(ends[-1] - self.ends[self.words]))
-            self.ends[self.words + 1 : self.words + 1 + len(encoded)] = ends
-            self.known.update(zip(fresh[a:b], range(self.words, self.words + len(encoded))))
-            self.words += len(encoded)
+            lengths.append(np.fromiter(map(len, encoded), np.int32, len(encoded)))
+            parts.append(np.fromiter(chain.from_iterable(encoded), "<u4", int(lengths[-1].sum())))
+        ids, ends = np.concatenate(parts), np.concatenate([self.ends[:-1], np.cumsum(np.concatenate(lengths), dtype=np.int32)])
+        if remembered:
+            self.known = pa.concat_arrays([self.known, pa.array(fresh[:remembered], pa.string())])
+            self.ends = ends[: len(self.known) + 1].copy()
+            self.ids = ids[: self.ends[-1]].copy()
+        return ids, ends
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, `end_id` after each text, and the offsets between texts."""
+        if self.known.nbytes + self.ids.nbytes + self.ends.nbytes > REMEMBERED_BYTES:
+            self.forget()
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = split.flatten().dictionary_encode()
         bounds = 2 * (np.asarray(split.offsets) - split.offsets[0].as_py())
-        if self.words > REMEMBERED_WORDS:
-            self.forget()
         shape = words.dictionary
         plain = pc.match_substring_regex(shape, PLAIN_WORD)
         stems = pc.if_else(plain, pc.ascii_lower(pc.utf8_rtrim(shape, ",.")), shape).dictionary_encode()
-        distinct = stems.dictionary.to_pylist()
-        numbers = list(map(self.known.get, distinct))
-        short, fresh = self.words, [w for w, k in zip(distinct, numbers) if k is None]
-        fresh += [w for w in TAILS if w not in self.known and w not in fresh]
-        if fresh:
-            fresh.sort(key=lambda w: len(w) > LONGEST_REMEMBERED)
-            self.learn(fresh)
-            short += sum(len(w) <= LONGEST_REMEMBERED for w in fresh)
-            numbers = list(map(self.known.__getitem__, distinct))
-        none, comma, stop = (self.known[w] for w in TAILS)
-        tail = np.where(plain, np.where(pc.ends_with(shape, ","), comma, np.where(pc.ends_with(shape, "."), stop, none)), none)
-        both = np.column_stack([np.array(numbers, np.int64)[np.asarray(stems.indices)], tail])
+        at = pc.index_in(stems.dictionary, value_set=self.known)
+        new = np.asarray(at.is_null())
+        of_stem = np.asarray(at.fill_null(0), np.int32).copy()
+        ids, ends = self.ids, self.ends
+        if new.any():
+            unknown = stems.dictionary.filter(pa.array(new))
+            longer = np.asarray(pc.greater(pc.utf8_length(unknown), LONGEST_REMEMBERED))
+            order = np.argsort(longer, kind="stable")
+            of_stem[np.flatnonzero(new)[order]] = len(self.known) + np.arange(len(order), dtype=np.int32)
+            ids, ends = self.learn(unknown.take(pa.array(order)).to_pylist(), int(len(order) - longer.sum()))
+        tail = np.where(plain, np.where(pc.ends_with(shape, ","), 1, np.where(pc.ends_with(shape, "."), 2, 0)), 0).astype(np.int32)
+        both = np.column_stack([of_stem[np.asarray(stems.indices)], tail])
         number = both[np.asarray(words.indices)].ravel()
-        start, length = self.ends[number], self.ends[number + 1] - self.ends[number]
-        before = np.concatenate(([0], np.cumsum(length)))
-        ids = self.ids[np.repeat(start - before[:-1], length) + np.arange(before[-1])]
+        del split, words, shape, plain, stems, at
+        length = (ends[1:] - ends[:-1])[number]
+        before = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+        gathered = np.empty(before[-1], "<u4")
+        for a in range(0, len(number), GATHERED):
+            some, low, high = length[a : a + GATHERED], before[a], before[min(a + GATHERED, len(number))]
+            start = ends[number[a : a + GATHERED]] - (before[a : a + len(some)] - low)
+            gathered[low:high] = ids[np.repeat(start, some) + np.arange(high - low)]
         offsets = before[bounds] + np.arange(len(bounds))
         out = np.full(offsets[-1], end_id, "<u4")
         inner = np.ones(len(out), bool)
         inner[offsets[1:] - 1] = False
-        out[inner] = ids
-        for w in fresh[len(fresh) - (self.words - short) :] if self.words > short else ():
-            del self.known[w]
-        self.words = short
+        out[inner] = gathered
         return out, offsets
 
+    def documents(self, texts: pa.Array, sizes: list[int], end_id: int) -> Iterator[tuple[int, memoryview]]:
+        """The number of each text and its ids as bytes; a text of over SLICE_BYTES is encoded in parts cut at spaces."""
+        for a, b in by_bytes(sizes, SLICE_BYTES):
+            if sizes[a] > SLICE_BYTES:
+                parts = [self.encode(pa.array([x]), end_id)[0][:-1] for x in cut(texts[a].as_py())]
+                yield a, memoryview(np.concatenate([*parts, np.array([end_id], "<u4")])).cast("B")
+                continue
+            encoded, offsets = self.encode(texts.slice(a, b - a), end_id)
+            data, at = memoryview(encoded).cast("B"), (4 * offsets).tolist()
+            for k, (low, high) in enumerate(zip(at, at[1:])):
+                yield a + k, data[low:high]
+            del encoded, data
+            give_back()
+
+
+def cut(text: str, most: int = SLICE_BYTES // 4) -> Iterator[str]:
+    """The text in parts of `most` characters or a word more, cut before spaces."""
+    start = 0
+    while len(text) - start > most and (end := text.find(" ", start + most)) >= 0:
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
 
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
@@ -117,27 +145,26 @@ def encoder(path: str) -> WordEncoder:
 
 
 class Packer:
-    """Open windows of one partition. A window is [fill, pieces]; a piece is (doc_id, start, length, crc, doc_tokens)."""
+    """Open windows of one partition, by rising fill. A window is [fill, pieces]; a piece is (doc_id, start, length, crc, doc_tokens)."""
 
     def __init__(self, capacity: int, windows: int, small_gap: int = SMALL_GAP):
         self.capacity, self.windows, self.small_gap = capacity, windows, small_gap
         self.open: list[list] = []
         self.done: list[list] = []
 
-    def put(self, window: list, piece: tuple) -> None:
+    def put(self, at: int, piece: tuple) -> None:
+        """Put the piece into the open window at this place, or into a new one at -1."""
+        window = self.open.pop(at) if at >= 0 else [0, []]
         window[0] += piece[2]
         window[1].append(piece)
         if window[0] == self.capacity:
-            self.open.remove(window)
             self.done.append(window)
+        else:
+            insort(self.open, window, key=_fill)
 
-    def fitting(self, length: int) -> list | None:
-        """The fullest open window that has room."""
-        return max((w for w in self.open if w[0] + length <= self.capacity), key=lambda w: w[0], default=None)
-
-    def room(self) -> list:
-        self.open.append([0, []])
-        return self.open[-1]
+    def fitting(self, length: int) -> int:
+        """The place of the fullest open window that has room; -1 if none has."""
+        return bisect_right(self.open, self.capacity - length, key=_fill) - 1
 
     def add(self, doc_id, view: memoryview) -> None:
         total, start = len(view) // 4, 0
@@ -147,20 +174,24 @@ class Packer:
             start += self.capacity
         while start < total:
             left = total - start
-            window = self.fitting(left) or (self.room() if len(self.open) < self.windows else None)
-            if window is None:
-                window = max(self.open, key=lambda w: w[0])
-                if self.capacity - window[0] <= self.small_gap:
-                    self.open.remove(window)
-                    self.done.append(window)
+            at = self.fitting(left)
+            if at < 0 and len(self.open) == self.windows:
+                at = len(self.open) - 1
+                gap = self.capacity - self.open[at][0]
+                if gap <= self.small_gap:
+                    self.done.append(self.open.pop())
                     continue
-                left = self.capacity - window[0]
-            self.put(window, piece(left))
+                left = gap
+            self.put(at, piece(left))
             start += left
 
     def add_whole(self, piece: tuple) -> None:
         """Place a piece without cutting it, in as many windows as it takes."""
-        self.put(self.fitting(piece[2]) or self.room(), piece)
+        self.put(self.fitting(piece[2]), piece)
+
+
+def _fill(window: list) -> int:
+    return window[0]
 
 
 def pack_tokens(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, windows: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,10 +200,12 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
     A document is its token ids and then `end_id`. Each partition keeps `windows` open windows: what reaches the
     capacity fills sequences of its own, a remainder goes to the open window it fits best, and when it fits none
     the fullest one is emitted, after a part of the remainder has filled it (a gap of SMALL_GAP tokens or less
-    is padded instead). What is open at the end of a partition is merged, best-fit by falling length, over
-    MERGED_TOGETHER partitions and then over all. Every token lies in exactly one piece.
+    is padded instead). What is open at the end of a partition is merged, best-fit by falling length, in a tree: a
+    task merges the windows that MERGED_TOGETHER partitions, or tasks of the level below, left open, and leaves the
+    `windows` emptiest of them to the next level. So no task gets more than windows * MERGED_TOGETHER windows, however
+    many partitions there are. Every token lies in exactly one piece.
 
-    Null and empty texts are one token, `end_id`. Repeated rows are packed each. Sequence ids are unique, not
+    Null and empty texts are one token, `end_id`. Very long texts are encoded in parts. Repeated rows are packed each. Sequence ids are unique, not
     gapless. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"))
@@ -200,37 +233,41 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
         for batch in batches:
             id_type = batch.column("doc_id").type
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("body")
-            sizes = batch.column("size").to_pylist()
-            for a, b in by_bytes(sizes, SLICE_BYTES):
-                encoded, at = words.encode(texts.slice(a, b - a), end_id)
-                data, at = memoryview(encoded).cast("B"), (4 * at).tolist()
-                for doc_id, low, high in zip(ids[a:b], at, at[1:]):
-                    packer.add(doc_id, data[low:high])
-                yield taken(packer.done, None)
-                packer.done = []
+            for k, view in words.documents(texts, batch.column("size").to_pylist(), end_id):
+                packer.add(ids[k], view)
+                if len(packer.done) >= 512:
+                    yield taken(packer.done, None)
+                    packer.done = []
+            yield taken(packer.done, None)
+            packer.done = []
         if packer.open:
             yield taken(packer.open, part)
 
-    def merge(level: int):
+    def merge(level: int, last: bool):
         def merged(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
             packer = Packer(capacity, 0)
             rest = pieces.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
             for p in rest[names[:5]].itertuples(index=False, name=None):
                 packer.add_whole(p)
+            still = 0 if last else windows
             out = []
-            for serial, (fill, placed) in enumerate(packer.done + packer.open):
-                offset, open_still = 0, fill < 0.95 * capacity
+            for serial, (_, placed) in enumerate([*packer.open, *packer.done]):
+                offset = 0
                 for p in placed:
-                    out.append((*p, (level << 60) + (int(key[0]) << 32) + serial, offset, key[0] if open_still else None))
+                    out.append((*p, (level << 56) + (int(key[0]) << 24) + serial, offset, key[0] if serial < still else None))
                     offset += p[2]
-            made = pd.DataFrame(out, columns=names)
-            return made.astype({"left_by": "Int64"})
+            return pd.DataFrame(out, columns=names).astype({"left_by": "Int64"})
 
         return merged
 
-    pieces = stored(rows.withColumn("size", F.octet_length("body")).mapInArrow(pack, schema))
-    first = pieces.where("left_by is not null").groupBy((F.col("left_by") / MERGED_TOGETHER).cast("long").alias("g")).applyInPandas(merge(1), schema)
-    first = stored(first)
-    second = first.where("left_by is not null").groupBy(F.lit(0).alias("g")).applyInPandas(merge(2), schema)
-    full = pieces.where("left_by is null").unionByName(first.where("left_by is null")).unionByName(second)
-    return full.drop("left_by")
+    pieces = stored(rows.withColumn("size", F.octet_length("body")).mapInArrow(tidy(pack), schema))
+    packed = pieces.where("left_by is null")
+    leaving, level = pieces.where("left_by is not null"), 0
+    most = leaving.agg(F.max("left_by")).first()[0]
+    while most is not None:
+        level, most = level + 1, most // MERGED_TOGETHER
+        group = F.floor(F.col("left_by") / MERGED_TOGETHER).alias("g")
+        level_pieces = stored(leaving.groupBy(group).applyInPandas(merge(level, most == 0), schema))
+        packed, leaving = packed.unionByName(level_pieces.where("left_by is null")), level_pieces.where("left_by is not null")
+        most = most or None
+    return packed.drop("left_by")
