@@ -1,17 +1,19 @@
-"""Main text of web pages: structural rules and removal of subtrees that recur across a host's pages."""
+"""Main text of web pages: removal of subtrees that recur across a host's pages, with structural rules besides."""
 
 from __future__ import annotations
 
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_bytes, hot_keys, spread_join, stored
 
 #: A subtree is template where it is on so many differing pages of a host, and on so large a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
@@ -19,79 +21,91 @@ LEAST_PAGES, LEAST_SHARE = 5, 0.2
 MANY_PAGES = 100
 #: List items, and running text within marked main text, are template on so large a share of a host's pages only.
 RUNNING_SHARE = 0.5
+#: Bytes of pages that are parsed before their rows go out.
+SLICE_BYTES = 4 << 20
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BOILERPLATE = frozenset("nav header footer aside form script style noscript template iframe button select textarea option svg canvas object embed audio video map dialog menu head title".split())
+UNSEEN = frozenset("script style noscript template iframe select textarea option svg canvas object embed audio video map head title".split())
+BOILERPLATE = frozenset("nav header footer aside form button dialog menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond share sharing social related recommended pagination pager widget copyright legal disclaimer skip".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
+LIST_PARTS = frozenset("ul ol dl table".split())
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _raw_end = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
-_attribute = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another from the start, so that nothing inside a value is taken for one.
+_attribute = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
 _words = re.compile(r"[a-z]+")
 
 
-def is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
+def attributes_of(source: str) -> dict[str, str]:
+    """An element's attributes by lower-case name; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _attribute.finditer(source):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def is_boilerplate(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
     """Whether an element is not main text by its name or role, or hidden. An article's own header is."""
     if tag in BOILERPLATE and not (tag == "header" and in_main):
         return True
     if tag in ("html", "body", "main"):
         return False
-    for name, a, b, c in _attribute.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "role" and value in BOILERPLATE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+    return attributes.get("role") in BOILERPLATE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
 
 
-def is_classed(tag: str, attributes: str) -> bool:
+def is_classed(tag: str, attributes: dict[str, str]) -> bool:
     """Whether a whole token of an element's class or id names boilerplate, in all its words: `cookie-notice`, but not `no-sidebar`."""
     if tag in ("html", "body", "article", "main"):
         return False
-    for name, a, b, c in _attribute.findall(attributes):
-        if name.lower() in ("class", "id"):
-            for token in (a or b or c).lower().split():
-                words = _words.findall(token)
-                if words and BOILERPLATE_WORDS.issuperset(words):
-                    return True
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = _words.findall(token)
+        if words and BOILERPLATE_WORDS.issuperset(words):
+            return True
     return False
 
 
 class Node:
-    """An open element: its digest so far, and whether it is boilerplate or main text.
+    """An open element: its digest so far, its first block, and whether it is unseen, boilerplate or main text.
 
-    One that is `classed` is boilerplate by its class unless it `holds` an article, main or h1; its text that is
-    not yet in a block begins at `mark`. `within` tells whether it or an element about it is classed.
+    One that is `classed` is boilerplate by its class unless it `holds` an article, main or h1. Text of an inline one
+    that goes, as far as it is not yet in a block, begins at `mark`.
     """
 
-    __slots__ = ("tag", "digest", "dropped", "main", "children", "classed", "within", "holds", "mark")
+    __slots__ = ("tag", "digest", "first", "unseen", "ruled", "main", "classed", "holds", "mark")
 
-    def __init__(self, tag: str, dropped: bool, main: bool, classed: bool = False, within: bool = False, mark: int = 0):
-        self.tag, self.dropped, self.main = tag, dropped, main
-        self.classed, self.within, self.holds, self.mark = classed, within, False, mark
+    def __init__(self, tag: str, first: int, unseen: bool, ruled: bool, main: bool, classed: bool = False, mark: int | None = None):
+        self.tag, self.first, self.unseen, self.ruled, self.main = tag, first, unseen, ruled, main
+        self.classed, self.holds, self.mark = classed, tag == "h1", mark
         self.digest = hashlib.blake2b(tag.encode(), digest_size=8)
-        self.children: list[int] = []
 
 
 class Page:
-    """Blocks of text in page order, each with the hashes of the subtrees it lies in.
+    """Blocks of text in page order, and the subtrees as ranges of blocks.
 
-    Only blocks outside structural boilerplate are kept. An element is never dropped by its class or id if it is
-    or holds an article, main or h1. If the page marks its main text (article or main), only blocks in it are kept,
-    unless all such marks lie in elements with a boilerplate class and there is text outside of those. The lowest bit
-    of a subtree's hash tells list items, and running text within marked main text: copies and quotations recur there
-    rightly, so these are template on a high share of the pages only.
+    `blocks` are texts; `ruled` tells which of them a structural rule removes: an element's name, role or class. An
+    element never goes by its class or id if it is or holds an article, main or h1. Scripts, styles and their like
+    have no text. `subtrees` are (first block, end, hash) of every element but inline ones and the whole page, in
+    boilerplate too. A hash's lowest bit tells list items, and running text within article or main: copies and
+    quotations recur there rightly, so these are template on a high share of the pages only.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[list] = []
-        self.stack = [Node("", False, False)]
+        self.blocks: list[str] = []
+        self.subtrees: list[tuple[int, int, int]] = []
+        self.ranges: list[tuple[int, int]] = []  # of blocks that a rule removes
+        self.stack = [Node("", 0, False, False, False)]
+        self.opened: Counter[str] = Counter()
+        self.foreign = self.classed = 0
+        self.marked: list[Node] = []  # open inline elements that go
         self.text: list[str] = []
         at = 0
         while m := _token.search(source, at):
@@ -102,73 +116,88 @@ class Page:
                 self.close(tag)
             elif tag:
                 self.open(tag, m[3])
-                if tag in RAW and self.stack[-1].tag == tag and not (m[3].endswith("/") and any(n.tag in FOREIGN for n in self.stack)):
+                if tag in RAW and self.stack[-1].tag == tag and not (m[3].endswith("/") and self.foreign):
                     # Text up to the element's own end tag, or to the end of the page; no other markup counts in it.
                     end = _raw_end[tag].search(source, at)
                     stop = end.start() if end else len(source)
-                    if not self.stack[-1].dropped:
-                        self.data(source[at:stop])
+                    self.data(source[at:stop])
                     at = stop
         self.data(source[at:])
         while len(self.stack) > 1:
             self.pop()
         self.flush()
-        self.blocks = [b for b in self.blocks if not b[4]]
-        if any(b[2] and not b[3] for b in self.blocks) or any(b[2] for b in self.blocks) and all(b[3] for b in self.blocks):
-            self.blocks = [b for b in self.blocks if b[2]]
+        self.ruled = self.covered(self.ranges)
+
+    def covered(self, ranges: list[tuple[int, int]]) -> list[bool]:
+        """Which blocks lie in one of these ranges."""
+        change = [0] * (len(self.blocks) + 1)
+        for first, end in ranges:
+            change[first] += 1
+            change[end] -= 1
+        return [n > 0 for n in accumulate(change[:-1])]
+
+    def recurring(self, template: set[int]) -> list[bool]:
+        """Which blocks lie in a template subtree."""
+        return self.covered([(a, b) for a, b, h in self.subtrees if h in template])
 
     def data(self, piece: str) -> None:
         if not piece:
             return
         node = self.stack[-1]
-        node.digest.update(b"\0" + " ".join(piece.split()).encode("utf-8", "replace"))
-        if not node.dropped:
+        if not node.unseen:
+            node.digest.update(b"\0" + " ".join(piece.split()).encode("utf-8", "replace"))
             self.text.append(html.unescape(piece))
 
     def flush(self) -> None:
-        """End a block; text before a classed inline element that is still open is a block of its own."""
+        """End a block; text before an inline element that goes and is still open is a block of its own."""
         done = 0
-        for i, node in enumerate(self.stack):
-            if node.mark:
-                self.block(self.text[done : node.mark], self.stack[:i])
-                done, node.mark = node.mark, 0
-        self.block(self.text[done:], self.stack)
+        for node in self.marked:
+            if node.mark is not None:
+                self.block(self.text[done : node.mark])
+                done, node.mark, node.first = node.mark, None, len(self.blocks)
+        self.block(self.text[done:])
         self.text = []
 
-    def block(self, pieces: list[str], about: list[Node]) -> None:
-        """Add a block: its text, the subtrees it lies in, whether it is main text or in a classed element, whether it goes."""
-        text = " ".join("".join(pieces).split())
-        if text:
-            self.blocks.append([text, [], about[-1].main, about[-1].within, False])
-            for node in about:
-                node.children.append(len(self.blocks) - 1)
+    def block(self, pieces: list[str]) -> None:
+        if text := " ".join("".join(pieces).split()):
+            self.blocks.append(text)
 
-    def open(self, tag: str, attributes: str) -> None:
+    def open(self, tag: str, source: str) -> None:
         if tag in CLOSES_PARAGRAPH:
             self.close("p", CLOSES_PARAGRAPH - {"p"})
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            for other in {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,)):
-                self.close(other, {"ul", "ol", "dl", "table"} | ({"tr"} if tag in ("td", "th") else set()))
-        if tag == "br" or tag == "hr":
-            self.text.append(" ")
+        for other in SIBLINGS.get(tag, ()):
+            self.close(other, LIST_PARTS | {"tr"} if tag in ("td", "th") else LIST_PARTS)
         parent = self.stack[-1]
-        parent.digest.update(f"\1{tag}".encode())
-        if tag in VOID or attributes.endswith("/") and tag in ("svg", "path", "iframe"):
+        unseen = parent.unseen or tag in UNSEEN
+        if not unseen:
+            parent.digest.update(f"\1{tag}".encode())
+        if (tag == "br" or tag == "hr") and not parent.unseen:
+            self.text.append(" ")
+        if tag in VOID or source.endswith("/") and tag in ("svg", "path", "iframe"):
             return
-        if tag not in INLINE and not parent.dropped:
+        if tag not in INLINE:
             self.flush()
-        main = parent.main or tag in ("article", "main")
-        dropped = parent.dropped or is_boilerplate(tag, attributes, parent.main)
-        if tag in ("article", "main", "h1") and not dropped and parent.within:
-            for node in self.stack:
+        found = attributes_of(source) if source.strip("/ ") and not unseen else {}
+        ruled = parent.ruled or is_boilerplate(tag, found, parent.main)
+        if tag in ("article", "main", "h1") and not ruled and not unseen and self.classed:
+            for node in reversed(self.stack):
+                if node.holds:
+                    break
                 node.holds = True
-        classed = not dropped and is_classed(tag, attributes)
-        node = Node(tag, dropped, main, classed, parent.within or classed, len(self.text) if classed else 0)
-        node.holds = tag == "h1"
+        classed = bool(found) and not ruled and is_classed(tag, found)
+        inline = tag in INLINE and (classed or ruled and not parent.ruled)
+        node = Node(tag, len(self.blocks), unseen, ruled, parent.main or tag in ("article", "main"), classed, len(self.text) if inline else None)
         self.stack.append(node)
+        self.opened[tag] += 1
+        self.foreign += tag in FOREIGN
+        self.classed += classed
+        if inline:
+            self.marked.append(node)
 
     def close(self, tag: str, barrier: frozenset | set = frozenset()) -> None:
         """Close the nearest open element of this name, and what is open in it; nothing if there is none before a barrier."""
+        if not self.opened[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
                 while len(self.stack) > i:
@@ -179,83 +208,101 @@ class Page:
 
     def pop(self) -> None:
         node = self.stack[-1]
-        if node.tag not in INLINE and not node.dropped:
+        inline = node.tag in INLINE
+        if not inline:
             self.flush()
-        if node.classed and not node.holds:
-            del self.text[node.mark :]
-            for k in node.children:
-                self.blocks[k][4] = True
         self.stack.pop()
+        parent = self.stack[-1]
+        self.opened[node.tag] -= 1
+        self.foreign -= node.tag in FOREIGN
+        self.classed -= node.classed
+        if node.classed or node.ruled and not parent.ruled:
+            if inline:
+                self.marked.remove(node)
+            if node.ruled or not node.holds:
+                if inline:
+                    del self.text[node.mark or 0 :]
+                self.ranges.append((node.first, len(self.blocks)))
         digest = node.digest.digest()
-        self.stack[-1].digest.update(digest)
-        if node.tag in INLINE or node.tag in ("html", "body"):
+        if not node.unseen:
+            parent.digest.update(digest)
+        if inline or node.unseen or node.tag in ("html", "body") or node.first == len(self.blocks):
             return
         running = node.tag == "li" or node.main and (node.tag in ("article", "main", "p", "blockquote", "pre", "table") or node.tag in HEADINGS)
-        h = int.from_bytes(digest, "little", signed=True) & ~1 | running
-        for k in node.children:
-            self.blocks[k][1].append(h)
+        self.subtrees.append((node.first, len(self.blocks), int.from_bytes(digest, "little", signed=True) & ~1 | running))
 
 
-def host_of(url: str | None) -> str:
+def host_of(url: Column) -> Column:
     """The host of a URL in lower case without port or user; empty if there is none."""
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES, running_share: float = RUNNING_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of `pages`: page_id, url, text, n_chars (code points).
-
-    Each page is parsed once, and its element subtrees are hashed. A subtree is template if it is on at least
-    `least_pages` pages of a host that differ in their other main text, and on at least `least_share` of them or on
-    `many_pages`. List items everywhere, and running text (paragraphs, headings, quotations, preformatted text,
-    tables, the article itself) within article or main, are template on at least `running_share` of the host's
-    pages. The whole page and inline elements are none. A template's text is deleted. Menus, headers, footers,
-    sidebars, notices, adverts, forms, scripts, styles and comments also go by their element, role, class or id.
-    Where a page marks its main text by article or main (see Page), the rest
-    goes. Character references are decoded, white space in a block becomes one space, and the trimmed blocks are
-    joined by one space in page order.
-
-    Subtrees are counted by (host, hash) with partial aggregation, so a host with a third of all pages is no
-    burden to one task. Null and empty html give an empty text; a null url is a host of its own kind, shared by
-    all such pages. Repeated rows are extracted each and count once as pages. Other columns are not read. An
-    empty table gives an empty result.
+    """One row per row of `pages`: page_id, url, text, n_chars (code points), n_blocks, n_template, n_ruled.
+
+    Element subtrees of every page, menus and footers as well as articles, are hashed and counted by host. A subtree
+    is template if it is on at least `least_pages` pages of a host that differ in their main text, and on at least
+    `least_share` of them or on `many_pages`. List items everywhere, and running text (paragraphs, headings,
+    quotations, preformatted text, tables, the article itself) within article or main, are template on at least
+    `running_share` of the host's pages. The whole page and inline elements are none. Blocks in a template go
+    (n_template of n_blocks). A small host's pages, and what differs from page to page, leave menus, headers, footers,
+    sidebars, notices, adverts, forms and comments that no count tells; of what counting left, those go by their
+    element, role, class or id (n_ruled; see Page). Scripts, styles and other unseen elements have no blocks. All
+    other text stays. Character references are decoded, white space in a block becomes one space, and the trimmed
+    blocks are joined by one space in page order.
+
+    Pages are parsed twice, first for hashes alone; what goes from a page is found from those and dealt to it. Equal
+    pages of a host are one page of it. Subtrees are counted by (host, hash) with partial aggregation, and hot keys
+    are dealt in parts, so a host with a third of all pages is no burden to one task. Null and empty html give an
+    empty text; a null url is a host of its own kind, shared by all such pages. Repeated rows, and rows without an id,
+    are extracted each. Other columns are not read. An empty table gives an empty result.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    names = ["page_id", "url", "host", "texts", "inside", "page"]
-    block_type = pa.list_(pa.list_(pa.int64()))
+    url, source = F.col(url_col).cast("string"), F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.xxhash64(host_of(url)).alias("host"), F.xxhash64(source).alias("key"), source.alias("html"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                own = batch.slice(a, 256)
-                parsed = [Page(x or "") for x in own.column("html").to_pylist()]
-                texts = [[b[0] for b in p.blocks] for p in parsed]
-                columns = [
-                    own.column("page_id"), own.column("url"), pa.array([host_of(u) for u in own.column("url").to_pylist()], pa.string()),
-                    pa.array(texts, pa.list_(pa.string())), pa.array([[b[1] for b in p.blocks] for p in parsed], block_type),
-                    pa.array([int.from_bytes(hashlib.blake2b("\n".join(t).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for t in texts], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = stored(source.mapInArrow(parse, f"page_id {kind}, url string, host string, texts array<string>, inside array<array<long>>, page long").withColumn("row", F.monotonically_increasing_id()))
-
-    # Only subtrees that hold text that would be kept matter.
-    held = parsed.select("row", "host", "page", F.explode(F.array_distinct(F.flatten("inside"))).alias("hash"))
-    totals = parsed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+            for a, b in by_bytes(batch.column("size").to_pylist(), SLICE_BYTES):
+                own = batch.slice(a, b - a)
+                found, texts = [], []
+                for x in own.column("html"):
+                    page = Page(x.as_py())
+                    found.append(sorted({h for _, _, h in page.subtrees}))
+                    main = "\n".join(t for t, gone in zip(page.blocks, page.ruled) if not gone)
+                    texts.append(int.from_bytes(hashlib.blake2b(main.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+                yield pa.RecordBatch.from_arrays([own.column("host"), own.column("key"), pa.array(texts, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "key", "page", "hashes"])
+
+    sized = rows.select("host", "key", "html", F.octet_length("html").alias("size"))
+    parsed = sized.mapInArrow(hashed, "host long, key long, page long, hashes array<long>")
+    each = stored(parsed.groupBy("host", "key").agg(F.count("*").alias("n"), F.any_value("page").alias("page"), F.any_value("hashes").alias("hashes")))
+
+    held = each.select("host", "key", "page", F.explode("hashes").alias("hash"))
+    totals = each.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     subtree = F.shiftright("hash", 1)
-    on = held.select("host", subtree.alias("subtree"), "page").distinct().groupBy("host", "subtree").agg(F.count("*").alias("seen"))
+    on = held.groupBy("host", subtree.alias("subtree"), "page").agg(F.count("*").alias("n")).groupBy("host", "subtree").agg(F.count("*").alias("seen"), F.sum("n").alias("n"))
     often = F.col("seen") >= running_share * F.col("pages")
     enough = (F.col("seen") >= least_share * F.col("pages")) | (F.col("seen") >= many_pages)
     counted = on.where(F.col("seen") >= least_pages).join(totals, "host").where(often | enough)
     # Each kind by its own share; a subtree is counted over both.
     kinds = F.filter(F.array(F.when(enough, F.lit(0)), F.when(often, F.lit(1))), lambda k: k.isNotNull())
-    template = counted.select("host", "subtree", F.explode(kinds).alias("kind")).select("host", (F.shiftleft("subtree", 1) + F.col("kind")).alias("hash"))
-    # Written first, so that its size is known when Spark chooses whether to deal the texts or to broadcast this.
-    drops = stored(held.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("drop")))
-    rest = parsed.select("page_id", "url", "texts", "inside", "row").join(drops, "row", "left")
-    kept = F.when(F.col("drop").isNull(), F.col("texts")).otherwise(
-        F.transform(F.filter(F.arrays_zip("texts", "inside"), lambda b: ~F.arrays_overlap(b["inside"], F.col("drop"))), lambda b: b["texts"])
-    )
-    text = F.array_join(kept, " ")
-    return rest.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    template = stored(counted.select("host", "subtree", "n", F.explode(kinds).alias("kind")).select("host", (F.shiftleft("subtree", 1) + F.col("kind")).alias("hash"), "n"))
+    gone = spread_join(held.select("host", "key", "hash"), template.drop("n"), ["host", "hash"], hot_keys(template, ["host", "hash"], "n"), F.col("key"))
+    drops = stored(gone.groupBy("host", "key").agg(F.collect_set("hash").alias("drop")))
+    dealt = spread_join(rows, drops, ["host", "key"], hot_keys(each, ["host", "key"], "n"), F.col("page_id"), "left")
+
+    def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in by_bytes(batch.column("size").to_pylist(), SLICE_BYTES):
+                own = batch.slice(a, b - a)
+                texts, counts = [], []
+                for x, drop in zip(own.column("html"), own.column("drop").to_pylist()):
+                    page = Page(x.as_py())
+                    template = page.recurring(set(drop)) if drop else [False] * len(page.blocks)
+                    texts.append(" ".join(t for t, p, q in zip(page.blocks, template, page.ruled) if not p and not q))
+                    counts.append((len(page.blocks), sum(template), sum(q and not p for p, q in zip(template, page.ruled))))
+                numbers = [pa.array(c, pa.int64()) for c in zip(*counts)]
+                yield pa.RecordBatch.from_arrays([own.column("page_id"), own.column("url"), pa.array(texts, pa.string()), *numbers], ["page_id", "url", "text", "n_blocks", "n_template", "n_ruled"])
+
+    final = dealt.select("page_id", "url", "html", "drop", F.octet_length("html").alias("size")).mapInArrow(extracted, f"page_id {kind}, url string, text string, n_blocks long, n_template long, n_ruled long")
+    return final.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks", "n_template", "n_ruled")
