@@ -11,15 +11,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import by_bytes, stored, whole_text
+from .common import by_bytes, one_row_each, stored, tidy, whole_text
 from .shingles import exact_shingles, mixed, shingle_sets
 
-#: MinHash samples of a text; the bands use the first of them, the odd sketch all.
+#: MinHash samples of a text that the odd sketch folds; the bands use the first of them, and more below a threshold of 7 percent.
 SAMPLES = 192
 #: Bits of an odd sketch.
 SKETCH_BITS = 512
-#: Samples of a band, and the chance that a pair at the threshold meets in no band.
+#: Samples of a band, at most, and the chance that a pair at the threshold meets in no band.
 BAND_ROWS, BAND_MISS = 4, 1e-6
 #: Standard deviations by which a sketch's estimate may fall short.
 SKETCH_SIGMAS = 5.0
@@ -33,11 +34,31 @@ SIGNATURE_BYTES = 1 << 20
 _rng = np.random.default_rng(977)
 _FLIP = _rng.integers(0, 2**64, SAMPLES, dtype=np.uint64)
 _FACTOR = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_more: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def bands_for(percent: int) -> int:
-    """The fewest bands with which a pair at the threshold is missed no more often than BAND_MISS."""
-    return min(SAMPLES // BAND_ROWS, math.ceil(math.log(BAND_MISS) / math.log(1 - (percent / 100) ** BAND_ROWS)))
+def bands_for(percent: int) -> tuple[int, int]:
+    """Samples of a band, and the fewest bands with which a pair at the threshold is missed no more often than BAND_MISS.
+
+    The longest bands are taken of which the samples give enough; where not even single samples do, there are more samples.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError("the threshold is a percentage from 1 to 100")
+    for rows in range(BAND_ROWS, 0, -1):
+        chance = (percent / 100) ** rows
+        bands = 1 if chance == 1 else math.ceil(math.log(BAND_MISS) / math.log(1 - chance))
+        if rows == 1 or rows * bands <= SAMPLES:
+            return rows, bands
+    raise AssertionError
+
+
+def hash_functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n <= SAMPLES:
+        return _FLIP, _FACTOR
+    if n not in _more:
+        rng = np.random.default_rng(978)
+        _more[n] = tuple(np.concatenate([x, y]) for x, y in ((_FLIP, rng.integers(0, 2**64, n - SAMPLES, dtype=np.uint64)), (_FACTOR, rng.integers(0, 2**63, n - SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))))
+    return _more[n]
 
 
 def differing_bits(mismatches: float) -> float:
@@ -53,37 +74,39 @@ def most_bits(percent: int) -> int:
     return math.ceil(bits + math.sqrt(bits))
 
 
-def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """SAMPLES minima of each set; none of the sets is empty."""
+def minhashes(sets: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:
+    """Minima of each set, SAMPLES of them or more; none of the sets is empty."""
+    flip, factor = hash_functions(samples)
     every = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), SAMPLES), np.uint64)
-    for k in range(SAMPLES):
-        out[:, k] = np.minimum.reduceat((every ^ _FLIP[k]) * _FACTOR[k], starts)
+    out = np.empty((len(sets), len(flip)), np.uint64)
+    for k in range(len(flip)):
+        out[:, k] = np.minimum.reduceat((every ^ flip[k]) * factor[k], starts)
     return out
 
 
 def odd_sketches(minima: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the samples: bit b is set where an odd number of (sample, minimum) hash to b."""
+    """Parity bitmaps of SAMPLES samples: bit b is set where an odd number of (sample, minimum) hash to b."""
+    minima = minima[:, :SAMPLES]
     bit = mixed(minima + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)
     cell = bit.astype(np.int64) + SKETCH_BITS * np.arange(len(minima))[:, None]
     counts = np.bincount(cell.ravel(), minlength=SKETCH_BITS * len(minima)).reshape(len(minima), SKETCH_BITS)
     return np.packbits((counts & 1).astype(bool), axis=1)
 
 
-def band_keys(minima: np.ndarray, bands: int) -> np.ndarray:
+def band_keys(minima: np.ndarray, rows: int, bands: int) -> np.ndarray:
     keys = np.empty((len(minima), bands), np.uint64)
     for b in range(bands):
         key = np.full(len(minima), b + 1, np.uint64)
-        for r in range(BAND_ROWS):
-            key = mixed(key * np.uint64(0xA0761D6478BD642F) + minima[:, b * BAND_ROWS + r])
+        for r in range(rows):
+            key = mixed(key * np.uint64(0xA0761D6478BD642F) + minima[:, b * rows + r])
         keys[:, b] = key
     return keys.view(np.int64)
 
 
 def signatures(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, same (digest of the whole set), bands, sketch; the last three null for an empty set."""
-    bands = bands_for(percent)
+    band_rows, bands = bands_for(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,8 +118,8 @@ def signatures(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
                 keys: list = [None] * len(sets)
                 sketch: list = [None] * len(sets)
                 if full:
-                    minima = minhashes([sets[i] for i in full])
-                    for i, k, o in zip(full, band_keys(minima, bands), odd_sketches(minima)):
+                    minima = minhashes([sets[i] for i in full], band_rows * bands)
+                    for i, k, o in zip(full, band_keys(minima, band_rows, bands), odd_sketches(minima)):
                         same[i], keys[i], sketch[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k, o.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
@@ -105,7 +128,7 @@ def signatures(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
 
     body = whole_text(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), F.octet_length(body).alias("size"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, same binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(tidy(sign), "doc_id long, n_shingles long, same binary, bands array<long>, sketch binary")
 
 
 def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -261,7 +284,7 @@ def proposed(members: DataFrame, percent: int) -> DataFrame:
             doc = cols["doc"]
             yield from pair_batches((doc[a + x], doc[a + y]) for a, b in spans for x, y in connecting_pairs(sketch[a:b], cols["size"][a:b], cols["block"][a:b], percent))
 
-    return compared(members, every=False).mapInArrow(propose, "a long, b long").distinct()
+    return compared(members, every=False).mapInArrow(tidy(propose), "a long, b long").distinct()
 
 
 def suspects(members: DataFrame, percent: int) -> DataFrame:
@@ -287,7 +310,7 @@ def suspects(members: DataFrame, percent: int) -> DataFrame:
                     found[a:b] |= ok.any(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(cols["key"][found]), pa.array(cols["doc"][found])], ["key", "doc"])
 
-    return compared(members, every=True).mapInArrow(suspect, "key long, doc long").distinct()
+    return compared(members, every=True).mapInArrow(tidy(suspect), "key long, doc long").distinct()
 
 
 def joined(members: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -313,8 +336,8 @@ def joined(members: DataFrame, docs: DataFrame, words: int, percent: int, id_col
             )
 
     members = stored(members.join(suspects(members, percent), ["key", "doc"], "left_semi"))
-    sets = texts_of(members.select("doc"), docs, id_col, text_col).dropDuplicates(["doc"]).withColumn("bytes", F.octet_length("body")).mapInArrow(with_sets, "doc long, shingles binary")
-    return compared(members.join(sets, "doc"), every=True).mapInArrow(join, "a long, b long").distinct()
+    sets = texts_of(members.select("doc"), docs, id_col, text_col).dropDuplicates(["doc"]).withColumn("bytes", F.octet_length("body")).mapInArrow(tidy(with_sets), "doc long, shingles binary")
+    return compared(members.join(sets, "doc"), every=True).mapInArrow(tidy(join), "a long, b long").distinct()
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -342,7 +365,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_co
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-    return both.mapInArrow(confirm, "a long, b long")
+    return both.mapInArrow(tidy(confirm), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -384,8 +407,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Words are what white space separates, A-Z as a-z. A text of fewer words than a shingle is one shingle; null
     and empty texts have none and are linked with nothing, nor are rows without an id (component_id null, kept).
-    Rows that repeat an id are one document. Other columns are not read. An empty table gives an empty result.
+    Ids of any type that has an order will do; those that are no integers are numbered first. Rows that repeat an id
+    are one document. Other columns are not read. An empty table gives an empty result.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+        number = stored(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("number", F.monotonically_increasing_id()))
+        numbered = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body")).join(number, "id", "left")
+        found = near_duplicates(numbered, words, percent, "number", "body").join(number.select(F.col("id").alias("own"), F.col("number").alias("doc_id")), "doc_id", "left")
+        found = found.join(number.select(F.col("id").alias("root"), F.col("number").alias("component_id")), "component_id", "left")
+        return found.select(F.col("own").alias("doc_id"), "n_shingles", F.col("root").alias("component_id"), "kept")
     signed = stored(signatures(docs, words, percent, id_col, text_col))
     classes = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
     linked = signed.where("doc_id is not null and same is not null")
@@ -413,6 +444,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that near_duplicates keeps, with all their columns: one document of each component."""
-    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone.distinct(), id_col, "left_anti").select(*docs.columns)
+    """One row of `docs` for each component of near_duplicates, with all its columns: that of the smallest id. Of rows that repeat that id and its text, one stays; so it is with rows without an id."""
+    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col))
+    return one_row_each(docs.join(gone.distinct(), id_col, "left_anti").select(*docs.columns), docs, id_col, text_col)
