@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_text
+from .common import hot_keys, one_row_each, spread_join, stored, whole_text
 
 #: Ways a group of copies is spread before its winners meet.
 SALTS = 64
@@ -24,7 +24,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart: the map side of the first deduplicates each partition, its reduce side merges salted digest groups,
     and the last combines the salts' winners. A group of copies sends at most `salts` rows from each map task,
     and at most `salts` of its rows meet in the end. Documents then find their group by the digest, which is
-    exact as the groups of a digest with several texts are kept apart and found by digest and text.
+    exact as the groups of a digest with several texts are kept apart and found by digest and text; the rows of a
+    large group are dealt in parts for that too.
 
     Null text counts as empty, and empty texts are copies of each other. The largest id of a group stays; a null
     id is never the largest unless all are null. Rows that repeat an id and its text are one document and share
@@ -37,7 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = stored(winners.groupBy("digest").agg(F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
 
     keys = rows.select("doc_id", "digest", sha256(F.col("body")).alias("sha"))
-    found = keys.join(groups.where("texts = 1").drop("texts"), "digest")
+    found = spread_join(keys, groups.where("texts = 1").drop("texts"), ["digest"], hot_keys(groups, ["digest"], "group_size"), F.col("doc_id"))
     crowded = groups.where("texts > 1").select("digest")
     if not crowded.isEmpty():
         apart = winners.join(crowded, "digest", "left_semi")
@@ -46,7 +47,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that exact_dedup keeps, with all their columns."""
+    """One row of `docs` for each text, with all its columns: that of the largest id. Of rows that repeat that id too, the least by a hash of all columns stays."""
     gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), "text_sha256").distinct()
     same = docs[id_col].eqNullSafe(gone["gone_id"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256) == gone["text_sha256"])
-    return docs.join(gone, same, "left_anti")
+    return one_row_each(docs.join(gone, same, "left_anti"), docs, id_col, text_col)
