@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import tidy, whole_text
 
 #: Edits allowed for each character of a test item.
 ERROR_RATE = 0.08
-#: Items of fewer characters must occur unchanged, as whole words.
-SHORT_ITEM = 32
 #: Bytes of test items that one pass over the documents looks for.
 ITEM_BLOCK_BYTES = 4 << 20
 
@@ -77,7 +75,7 @@ class Matcher:
         import ahocorasick
 
         self.items = [(item_id, text) for item_id, raw in items if (text := plain(raw))]
-        self.errors = [int(error_rate * len(t)) if len(t) >= SHORT_ITEM else 0 for _, t in self.items]
+        self.errors = [int(error_rate * len(t)) for _, t in self.items]
         self.myers: dict[int, Myers] = {}
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text) in enumerate(self.items):
@@ -139,13 +137,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
 
     Texts are compared in plain form (letters and digits in lower case, all else as one space). An item may
     differ from a part of the document by error_rate edits a character; it is split into one more piece than
-    edits, exact hits of the pieces give windows, and Myers' bit-parallel distance verifies them. Items of under
-    SHORT_ITEM characters must occur unchanged, as whole words. The least distance of a pair is given, with the
-    end of the match in the plain text.
+    edits, exact hits of the pieces give windows, and Myers' bit-parallel distance verifies them. One rule holds for all
+    lengths: the budget is the whole part of error_rate times the item's characters, its two outer spaces counted, so
+    items of under 13 characters must occur unchanged, as whole words. The least distance of a pair is given, with
+    the end of the match in the plain text.
 
     Items come to the driver and go out in blocks of about ITEM_BLOCK_BYTES, each block a pass over all
     documents, so no broadcast grows with the benchmark. Null and empty texts, and items without a letter or
-    digit, match nothing. Repeated rows give one row per pair of ids. Other columns are not read. Empty tables
+    digit, match nothing. Repeated rows of either table give one row per pair of ids; null ids are ids like others. Other columns are not read. Empty tables
     give an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -154,7 +153,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"))
     found: DataFrame | None = None
     for part in item_blocks(items):
-        one = rows.mapInArrow(_search(part, error_rate), f"doc_id {kind}, item_id {item_kind}, distance long, item_chars long, end_char long")
+        one = rows.mapInArrow(tidy(_search(part, error_rate)), f"doc_id {kind}, item_id {item_kind}, distance long, item_chars long, end_char long")
         found = one if found is None else found.unionByName(one)
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "item_chars", "end_char")).alias("best"))
     return best.select("doc_id", "item_id", "best.*")
@@ -177,8 +176,11 @@ def _search(items: list[tuple[int, str]], error_rate: float):
     return search
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` in which no test item occurs, with all their columns; nothing is shuffled."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of `docs` in which no test item occurs, with all their columns; nothing is shuffled.
+
+    Null and empty texts hold no item and stay, as do all rows where the benchmark is empty.
+    """
 
     def clean(items: list[tuple[int, str]]):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +190,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
 
         return keep
 
-    for part in item_blocks(benchmark.select(F.col("item_id"), whole_text("text").alias("item")).distinct()):
-        docs = docs.mapInArrow(clean(part), docs.schema)
+    for part in item_blocks(benchmark.select(F.col(item_col).alias("item_id"), whole_text(item_text_col).alias("item")).distinct()):
+        docs = docs.mapInArrow(tidy(clean(part)), docs.schema)
     return docs

@@ -61,7 +61,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, atoms: int = ATOMS, id_col
     and only the atoms' sums, at most `atoms` rows, come to the driver. There a binary search finds the smallest
     capacity at which greedy filling needs no more than `shards` contiguous shards, and the atoms are cut within it.
     Slots number a shard's rows from 0 without gaps: rows are counted in SLOT_PARTS parts of the shard by a hash
-    of the id, so that no task sorts a whole shard. A group of copies larger than a fair share makes its shard
+    of the id and the text, so that no task sorts a whole shard, of rows without an id either. A group of copies larger than a fair share makes its shard
     larger than the others; it is never divided.
 
     Null text counts as empty. Repeated rows get a slot each. Other columns are not read. An empty table gives
@@ -71,7 +71,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, atoms: int = ATOMS, id_col
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(atoms)).alias("atom"))
     sums = sorted((r["atom"], r["size"]) for r in rows.groupBy("atom").agg(F.sum("size").alias("size")).collect())
     starts = [sums[i][0] for i in minimax_cuts([n for _, n in sums], shards)]
-    placed = rows.withColumn("shard", shard_of(F.col("atom"), starts)).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SLOT_PARTS)))
+    placed = rows.withColumn("shard", shard_of(F.col("atom"), starts)).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(1)), F.lit(SLOT_PARTS)))
     before = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     numbered = placed.withColumn("row", F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "atom", "text_crc32")))
     return numbered.join(before, ["shard", "part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("row") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

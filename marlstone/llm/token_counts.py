@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, whole_text
+from .common import by_bytes, tidy, whole_text
 
-#: Lengths of known units a worker remembers; beyond it the memory starts anew.
-REMEMBERED_UNITS = 500_000
+#: Bytes that the units a worker remembers may take, at UNIT_BYTES and their characters each; beyond it the memory starts anew.
+REMEMBERED_BYTES, UNIT_BYTES = 80 << 20, 160
 #: Longer units are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -38,20 +38,23 @@ class UnitCounter:
         self.lengths = lengths
         self.first: dict[str, int] = {}
         self.rest: dict[str, int] = {}
+        self.bytes = 0
 
     def learn(self, known: dict[str, int], new: set[str], before: str) -> list[str]:
         fresh = list(new)
         sizes = [4 * len(x) for x in fresh]
         for a, b in by_bytes(sizes, 1 << 20):
             known.update(zip(fresh[a:b], self.lengths([before + x for x in fresh[a:b]])))
+        self.bytes += sum(UNIT_BYTES + len(x) for x in fresh if len(x) <= LONGEST_REMEMBERED)
         return [x for x in fresh if len(x) > LONGEST_REMEMBERED]
 
     def count(self, texts: list[str]) -> list[int]:
         split = [units(x) for x in texts]
         heads = [x.pop(0) for x in split]
-        if len(self.rest) + len(self.first) > REMEMBERED_UNITS:
+        if self.bytes > REMEMBERED_BYTES:
             self.first.clear()
             self.rest.clear()
+            self.bytes = 0
         forget = [(self.first, x) for x in self.learn(self.first, set(heads) - self.first.keys(), "")]
         forget += [(self.rest, x) for x in self.learn(self.rest, set().union(*split) - self.rest.keys(), " ")]
         first, rest = self.first, self.rest.__getitem__
@@ -93,5 +96,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body")).withColumn("n_bytes", F.octet_length("body").cast("long"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(lengths, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(tidy(lengths), f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
