@@ -72,6 +72,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER copies AS keep_id, count(*) OVER copies AS group_size,
                    doc_id = max(doc_id) OVER copies AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW copies AS (PARTITION BY coalesce(text, ''))""",
+        "op10_near_dup": """
+            WITH RECURSIVE worded AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+            ), sets AS (
+                SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM worded
+            ), each AS (
+                SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+            ), links AS (
+                SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+                GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+            ), reached AS (
+                SELECT doc_id, doc_id AS other FROM documents
+                UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+            )
+            SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept
+            FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) r USING (doc_id)""",
         "op9_line_dedup": """
             WITH lines AS (
                 SELECT doc_id, source, n, line, md5(trim(line, ' ')) AS key, trim(line, ' ') <> '' AS solid
