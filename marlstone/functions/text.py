@@ -13,8 +13,8 @@ from pyspark.sql.types import StringType
 # Words after which a class phrase is a place rather than the subject.
 PLACE_WORDS = ("beside", "by", "near", "next to", "under", "underneath", "on", "on top of", "with", "behind", "in front of", "above", "below", "opposite", "across from", "closest to", "nearest", "nearest to", "around", "against", "between", "over", "atop")
 ARTICLES = ("the", "that", "this", "a", "an")
-#: Ends with a place word and an article; there is no boundary before the place word, so "person the" matches too.
-PLACE_PREFIX = rf"({'|'.join(PLACE_WORDS)})\s+({'|'.join(ARTICLES)})\s+$"
+#: A place word, white space, an article, white space; there is no boundary before the place word, so "person the" matches too.
+PLACE_PREFIX = rf"({'|'.join(PLACE_WORDS)})\s+({'|'.join(ARTICLES)})\s+"
 # What family names lose, or change to.
 FAMILY_MARKS = (("multi_clip_semantic_", ""), ("evidence_recall_", ""), ("multi_clip_cross_slot_semantic_union_", "union_"), ("generic_CrossClip", ""))
 
@@ -32,16 +32,24 @@ def alternatives_suffix(names: Column) -> Column:
     return F.when(F.size(names) > 0, F.concat(F.lit(" (or: "), F.array_join(names, ", "), F.lit(")"))).otherwise(F.lit(""))
 
 
+def _class_phrase(label: Column) -> Column:
+    """A pattern for the label as it is written, or with an s; every sign in it stands for itself."""
+    return F.concat(F.regexp_replace(label, r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit("s?"))
+
+
 def names_class(text: Column, label: Column) -> Column:
-    """The text has the class as a word, or with an s."""
-    return F.regexp_like(F.lower(text), F.concat(F.lit(r"(^|[^a-z0-9_])"), F.lower(label), F.lit(r"s?($|[^a-z0-9_])")))
+    """The text has the class as a word or words, or with an s, in any case."""
+    return F.regexp_like(text, F.concat(F.lit(r"(?iU)\b"), _class_phrase(label), F.lit(r"\b")))
+
 
+def is_subject(text: Column, label: Column) -> Column:
+    """Some occurrence of the class phrase is not where something else is: no place word and article come before it.
 
-def is_locative(text: Column, label: Column) -> Column:
-    """What comes before the first class phrase ends in a preposition and a determiner."""
-    at = F.instr(F.lower(text), F.lower(label))
-    before = F.substr(F.lower(text), F.lit(1), F.greatest(F.lit(0), at - 1))
-    return before.rlike(PLACE_PREFIX)
+    Runs of up to 64 white space characters between those are seen.
+    """
+    phrase = _class_phrase(label)
+    before = PLACE_PREFIX.replace(r"\s+", r"\s{1,64}")
+    return F.regexp_like(text, F.concat(F.lit(r"(?iU)\b"), phrase, F.lit(rf"\b(?<!{before}"), phrase, F.lit(")")))
 
 
 def short_hash(*parts: Column) -> Column:
@@ -57,7 +65,7 @@ def object_ref(text: Column) -> Column:
 
 
 def scene_of(clip: Column) -> Column:
-    return F.regexp_replace(clip, "-full$", "")
+    return F.replace(clip, F.lit("-full"), F.lit(""))
 
 
 def family_of(name: Column) -> Column:
@@ -68,31 +76,33 @@ def family_of(name: Column) -> Column:
 
 
 def parse_answer(text: str | None):
-    """The answer in a reply: as JSON, else in its last balanced braces, else after its last `"answer":`; None if none."""
-    if not text:
-        return None
-    for candidate in (text, *reversed(_balanced(text))):
+    """The `answer` of a reply that is a JSON object, else of the object that its last closing brace ends, else the
+    last true, false, whole number or string after `"answer":`; None if there is none."""
+    for part in (text or "", last_group(text or "")):
         try:
-            value = json.loads(candidate)
+            found = json.loads(part)
         except ValueError:
             continue
-        if isinstance(value, dict) and "answer" in value:
-            return value["answer"]
-    found = re.findall(r'"answer"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?|true|false|null)', text)
-    return json.loads(found[-1]) if found else None
-
-
-def _balanced(text: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(text):
-        if c == "{":
-            start = i if depth == 0 else start
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                out.append(text[start : i + 1])
-    return out
+        if isinstance(found, dict):
+            return found.get("answer")
+    said = _said.findall(text or "")
+    return json.loads(said[-1].replace("\n", " ")) if said else None
+
+
+_said = re.compile(r'"answer"\s*:\s*(true|false|-?\d+|"[^"]*")')
+
+
+def last_group(text: str) -> str:
+    """From the brace that the last closing brace closes up to it; empty if there is none. Braces in strings count too."""
+    end = text.rfind("}")
+    opened: list[int] = []
+    start = -1
+    for m in re.finditer("[{}]", text[: end + 1]):
+        if m[0] == "{":
+            opened.append(m.start())
+        else:
+            start = opened.pop() if opened else -1
+    return text[start : end + 1] if start >= 0 else ""
 
 
 @F.pandas_udf(StringType())

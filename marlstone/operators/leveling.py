@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values.
 SEED, ROUNDS, SAMPLES = 7, 12, 700
@@ -151,3 +152,15 @@ def leveled(points: DataFrame, cameras: DataFrame) -> DataFrame:
 
     kind = points.schema["scene"].dataType.simpleString()
     return points.groupBy("scene").cogroup(cameras.groupBy("scene")).applyInPandas(scene, f"scene {kind}, transform array<double>, source string")
+
+
+def headings(angles: DataFrame, key: str = "object_id") -> DataFrame:
+    """key, heading, agreement: quarter_heading of each key's (angle, weight) rows, as sums."""
+    turned = lambda f: F.sum(F.col("weight") * f(4 * F.col("angle")))
+    sums = angles.groupBy(key).agg(turned(F.sin).alias("s"), turned(F.cos).alias("c"), F.sum("weight").alias("w"))
+    return sums.select(key, (F.atan2("s", "c") / 4).alias("heading"), (F.hypot("s", "c") / F.greatest(F.col("w"), F.lit(1e-12))).alias("agreement"))
+
+
+def floor_steps(points: DataFrame, key: str = "object_id") -> DataFrame:
+    """key, steps: the floor's height, the lowest percentile of z, in whole FLOOR_STEPs."""
+    return points.groupBy(key).agg(F.bround(F.percentile("z", F.lit(0.01)) / FLOOR_STEP).cast("long").alias("steps"))

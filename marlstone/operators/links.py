@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_locative, names_class
+from ..functions.text import alternatives_suffix, is_subject, names_class
+from ..sources.shared import written
 
 #: Sources in order of precedence.
 PRECEDENCE = ("log", "compiled", "evidence", "llm", "rule", "llm-verify")
@@ -23,10 +24,11 @@ def unique_classes(objects: DataFrame) -> DataFrame:
 def rule_links(turns: DataFrame, objects: DataFrame) -> DataFrame:
     """episode, turn, object_id, phrase, fact_bearing: a class that is unique in the room is named in the turn.
 
-    A class phrase after a place word and an article is where something is, not the subject.
+    A class phrase after a place word and an article is where something is; the class is the subject if any phrase of
+    it is not.
     """
     pairs = turns.join(unique_classes(objects), "room").where(names_class(F.col("text"), F.col("label")))
-    return pairs.select("episode", "turn", "object_id", F.col("label").alias("phrase"), (~is_locative(F.col("text"), F.col("label"))).alias("fact_bearing"))
+    return pairs.select("episode", "turn", "object_id", F.col("label").alias("phrase"), is_subject(F.col("text"), F.col("label")).alias("fact_bearing"))
 
 
 def uncovered_turns(turns: DataFrame, objects: DataFrame, links: DataFrame) -> DataFrame:
@@ -64,6 +66,53 @@ def link_scores(learned: DataFrame, gold: DataFrame) -> DataFrame:
     return out.select("*", (F.col("hits") / F.greatest(F.lit(1), "n_learned")).alias("precision"), (F.col("hits") / F.greatest(F.lit(1), "n_gold")).alias("recall"))
 
 
+def link_score_total(scores: DataFrame) -> DataFrame:
+    """One row: the sums of link_scores over all episodes, with precision and recall of the sums."""
+    sums = scores.agg(*(F.sum(c).alias(c) for c in ("n_learned", "n_gold", "hits", "wrong_object")))
+    return sums.select("*", (F.col("hits") / F.greatest(F.lit(1), "n_learned")).alias("precision"), (F.col("hits") / F.greatest(F.lit(1), "n_gold")).alias("recall"))
+
+
+def mentioned(turns: DataFrame, objects: DataFrame) -> DataFrame:
+    """episode, turn: turns that name some class of their room."""
+    return turns.join(objects.select("room", "label").distinct(), "room").where(names_class(F.col("text"), F.col("label"))).select("episode", "turn").distinct()
+
+
+def without_questions(turns: DataFrame, queries: DataFrame) -> DataFrame:
+    """Turns that are no question of the benchmark."""
+    return turns.join(queries.select("episode", "turn").distinct(), ["episode", "turn"], "left_anti")
+
+
+def session_prompts(sessions: DataFrame, turns: DataFrame, queries: DataFrame, objects: DataFrame, sightings: DataFrame, window: int) -> DataFrame:
+    """episode, session, room, prompt: the text that a link provider is asked with, one for each session.
+
+    sessions: episode, session, room, day, gloss; turns: episode, session, turn, frame, speaker, text; objects with
+    alternatives. A room's objects first seen up to `window` frames after the session's last turn are listed by label and
+    id with centroid and size to two decimals; then each turn that is no question, with the objects in view within
+    `window` frames of it.
+    """
+    own = without_questions(turns, queries).join(sessions.select("episode", "session", "room"), ["episode", "session"])
+    last = sessions.join(own.groupBy("episode", "session").agg(F.max("frame").alias("last")), ["episode", "session"], "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    firsts = sightings.groupBy("room", "object_id").agg(F.min("frame").alias("first"))
+    seen = last.join(firsts, "room").where(F.col("first") <= F.col("last") + window).select("episode", "session", "room", "object_id")
+    listed = seen.join(objects, ["room", "object_id"])
+    name = F.concat("label", alternatives_suffix(F.col("alternatives")))
+    line = F.format_string("  %s #%s   centroid [%.2f, %.2f, %.2f]   size [%.2f, %.2f, %.2f]", name, F.col("object_id").cast("string"), "cx", "cy", "cz", *(F.col(f"{a}1") - F.col(f"{a}0") for a in "xyz"))
+    inventory = listed.groupBy("episode", "session").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("label", "object_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("inventory"))
+
+    views = sightings.select("room", "object_id", F.col("frame").alias("at"))
+    near = own.join(views, "room").where(F.abs(F.col("at") - F.col("frame")) <= window).select("episode", "session", "room", "turn", "object_id").distinct()
+    shown = near.join(listed.select("episode", "session", "room", "object_id", "label"), ["episode", "session", "room", "object_id"])
+    each = F.transform(F.sort_array(F.collect_list(F.struct("object_id", "label"))), lambda x: F.concat(x["label"], F.lit(" #"), x["object_id"].cast("string")))
+    shown = shown.groupBy("episode", "session", "turn").agg(F.array_join(each, ", ").alias("view"))
+    said = own.join(shown, ["episode", "session", "turn"], "left")
+    spoken = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "speaker", F.lit(" (in view: "), F.coalesce("view", F.lit("nothing")), F.lit("): "), "text")
+    dialogue = said.groupBy("episode", "session").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", spoken.alias("line")))), lambda x: x["line"]), "\n").alias("dialogue"))
+
+    head = F.concat(F.lit("Room "), F.col("room").cast("string"), F.lit(" (day "), F.col("day").cast("string"), F.lit(", "), "gloss", F.lit("). Objects:"))
+    rows = sessions.join(inventory, ["episode", "session"], "left").join(dialogue, ["episode", "session"], "left")
+    return rows.select("episode", "session", "room", F.concat_ws("\n", head, "inventory", F.lit(""), F.lit("Turns:"), "dialogue").alias("prompt"))
+
+
 def replayed(links: DataFrame, counterparts: DataFrame) -> DataFrame:
     """Links of which the object has a counterpart, on that counterpart. counterparts: object_id, other_id."""
     return links.join(counterparts, "object_id").drop("object_id").withColumnRenamed("other_id", "object_id")
@@ -107,14 +156,14 @@ def provided_links(prompts: DataFrame, provider: Callable[[str], list[dict]], so
 def linked_episodes(turns: DataFrame, objects: DataFrame, prompts: DataFrame, provider: Callable[[str], list[dict]], verifier: Callable[[str], list[dict]] | None = None) -> DataFrame:
     """Provider links, then rule links, then links of a second pass over turns that stay uncovered; merged."""
     domain = lambda x: in_domain(x, turns, objects)
-    first = domain(provided_links(prompts, provider))
+    first = written(domain(provided_links(prompts, provider)))  # asked once: replies cost, and may differ
     answered = first.select("episode").distinct()
     rules = rule_links(turns.join(answered, "episode", "left_semi"), objects).withColumn("source", F.lit("rule"))
     merged = merged_links(first.unionByName(rules.select(*first.columns)))
     if verifier is None:
         return merged
     left = uncovered_turns(turns, objects, merged).select("episode").distinct()
-    second = domain(provided_links(prompts.join(left, "episode", "left_semi"), verifier, "llm-verify"))
+    second = written(domain(provided_links(prompts.join(left, "episode", "left_semi"), verifier, "llm-verify")))
     return merged_links(merged.select(*first.columns).unionByName(second))
 
 

@@ -115,3 +115,20 @@ def frame_faults(frames: DataFrame, key: str = "sequence_id", time: str = "times
     repeated = F.count("*").over(W.partitionBy(key, "frame_id")) > 1
     fault = F.when(odd, "time is not finite").when(F.col(time) <= before, "time does not increase").when(repeated, "id is repeated")
     return frames.withColumn("fault", fault).where("fault is not null")
+
+
+def first_user_turns(turns: DataFrame, frames: int) -> DataFrame:
+    """episode, minute, turn: the first turn of a user in each span of so many frames."""
+    return turns.where("role = 'user'").groupBy("episode", F.floor(F.col("frame") / frames).alias("minute")).agg(F.min("turn").alias("turn"))
+
+
+def renamed_turns(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    """Turns with `mapped`: the other id that `ids` (episode, turn, other) has for them, else their own."""
+    return turns.join(ids, ["episode", "turn"], "left").withColumn("mapped", F.coalesce("other", "turn")).drop("other")
+
+
+def anchors(frames: DataFrame, most: int) -> DataFrame:
+    """sequence_id, position: at most so many positions of each sequence, evenly spread from the first to the last."""
+    n = frames.groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("m", F.least("n", F.lit(most)))
+    rows = n.select("sequence_id", "n", "m", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int"))).alias("i"))
+    return rows.select("sequence_id", F.floor(F.col("i") * (F.col("n") - 1) / F.greatest(F.lit(1), F.col("m") - 1)).alias("position")).distinct()

@@ -324,9 +324,8 @@ _TOGETHER = "SELECT DISTINCT s.object_id AS a_object, t.object_id AS b_object FR
 @query(f"SELECT a.object_id AS a_object, b.object_id AS b_object FROM b_objects a JOIN b_objects b ON a.room = b.room AND a.object_id < b.object_id ANTI JOIN ({_TOGETHER}) v ON v.a_object = a.object_id AND v.b_object = b.object_id")
 def covisibility_veto(spark, sf_dir):
     o, s = bridge.objects(spark, sf_dir).select("room", "object_id"), bridge.sightings(spark, sf_dir).distinct()
-    pairs = o.alias("a").join(o.alias("b"), (F.col("a.room") == F.col("b.room")) & (F.col("a.object_id") < F.col("b.object_id"))).select(F.col("a.object_id").alias("a_object"), F.col("b.object_id").alias("b_object"))
-    seen = s.alias("s").join(s.alias("t"), (F.col("s.room") == F.col("t.room")) & (F.col("s.frame") == F.col("t.frame")) & (F.col("s.object_id") < F.col("t.object_id"))).select(F.col("s.object_id").alias("a_object"), F.col("t.object_id").alias("b_object")).distinct()
-    return pairs.join(seen, ["a_object", "b_object"], "left_anti")
+    pairs = spatial.same_room(o, o, F.col("a.object_id") < F.col("b.object_id")).select(F.col("a.object_id").alias("a_object"), F.col("b.object_id").alias("b_object"))
+    return evidence.never_together(pairs, s)
 
 
 _COS = "list_sum(list_transform(range(1, 65), lambda i: CAST(u.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE)))"
@@ -345,8 +344,8 @@ WHERE a_object < b_object AND n_near >= 0.5 * n AND {_COS} >= 0.0 AND NOT EXISTS
 def merge_edges(spark, sf_dir):
     p = bridge.points(spark, sf_dir)
     seen = bridge.sightings(spark, sf_dir).select((F.col("object_id") % 400).alias("room"), (F.col("object_id") % 20).alias("object_id"), F.floor(F.col("frame") / 40).alias("frame")).distinct()
-    looks = bridge.table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("object_id"), F.col("embedding").alias("vector"))
-    return evidence.merge_edges(p, spatial.overlap_fraction(p, p, 0.1), seen, looks, least_cosine=0.0)
+    looks = bridge.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("object_id"), F.col("embedding").alias("vector"))
+    return evidence.merge_edges(spatial.overlap_fraction(p, p, 0.1), seen, looks, least_cosine=0.0)
 
 
 @query(f"SELECT object_id, n, printf('object:%04d', row_number() OVER (ORDER BY object_id) - 1) AS new_id FROM {_FIRSTS} WHERE n >= 18")
@@ -375,44 +374,35 @@ def enum_filter(spark, sf_dir):
     return found.select("episode", "turn", "object_id")
 
 
-# Links. Classes are words that the dialogue uses.
-WORDS = ("the", "of", "and", "to", "in", "is", "that", "de", "en", "la", "der", "die")
-_WORDS = "['" + "', '".join(WORDS) + "']"
-_NAMED = f"named AS (SELECT object_id, room, {_WORDS}[CAST((object_id // 20 + room) % 12 AS INT) + 1] AS label FROM b_objects WHERE object_id < 160)"
-_HAS = "regexp_matches(lower(t.text), '(^|[^a-z0-9_])' || n.label || 's?($|[^a-z0-9_])')"
+# Links. Classes are words of the dialogue, one for a hundred turns at least, that are no place words or articles.
+_NO_CLASS = "('" + "', '".join(sorted({w for x in (*T.PLACE_WORDS, *T.ARTICLES) for w in x.split()})) + "')"
+_NAMED = f"named AS (SELECT object_id, room, words[CAST(object_id % 1000003 * 7919 % greatest(len(words), 1) AS INT) + 1] AS label FROM b_objects, (SELECT list_sort(list(word)) AS words FROM (SELECT word FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM b_turns) WHERE regexp_full_match(word, '[a-z]{{2,}}') AND word NOT IN {_NO_CLASS} GROUP BY word HAVING count(*) * 100 >= (SELECT count(*) FROM b_turns))))"
+_EDGE = "[^\\p{L}\\p{N}_]"
+_TEXT = "(' ' || lower(t.text) || ' ')"
+_HAS = f"CASE WHEN strpos(lower(t.text), n.label) > 0 THEN regexp_matches({_TEXT}, '{_EDGE}' || n.label || 's?{_EDGE}') ELSE FALSE END"
 _UNIQUE = "uniq AS (SELECT room, label, min(object_id) AS object_id FROM named GROUP BY room, label HAVING count(*) = 1)"
-_PLACE = f"'({'|'.join(T.PLACE_WORDS)})\\s+({'|'.join(T.ARTICLES)})\\s+$'"
+_PLACE = f"'{T.PLACE_PREFIX}'"
+#: Phrases after a place word and an article are taken out; some phrase is left if the class is a subject.
+_SUBJECT = f"regexp_matches(regexp_replace({_TEXT}, '({T.PLACE_PREFIX})' || n.label || 's?({_EDGE})', '\\1#\\4', 'g'), '{_EDGE}' || n.label || 's?{_EDGE}')"
 
 
 def named_objects(spark, sf_dir) -> DataFrame:
-    o = bridge.objects(spark, sf_dir).where("object_id < 160")
-    return o.select("object_id", "room", F.element_at(F.array(*map(F.lit, WORDS)), ((F.floor(F.col("object_id") / 20) + F.col("room")) % 12 + 1).cast("int")).alias("label"))
-
-
-@query(f"WITH {_NAMED}, {_UNIQUE} SELECT t.episode, t.turn, n.object_id, n.label AS phrase, NOT regexp_matches(substr(lower(t.text), 1, greatest(0, strpos(lower(t.text), n.label) - 1)), {_PLACE}) AS fact_bearing FROM b_turns t JOIN uniq n ON t.room = n.room WHERE {_HAS}")
-def rule_links(spark, sf_dir):
-    return links.rule_links(bridge.turns(spark, sf_dir), named_objects(spark, sf_dir))
-
-
-# The same over all objects, whose classes are words of the whole dialogue.
-_ALL_NAMED = "named AS (SELECT object_id, room, words[CAST(object_id % 1000003 * 7919 % greatest(len(words), 1) AS INT) + 1] AS label FROM b_objects, (SELECT list_sort(list(DISTINCT word)) AS words FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM b_turns) WHERE regexp_full_match(word, '[a-z]{2,}')))"
-
-
-def all_named_objects(spark, sf_dir) -> DataFrame:
-    words = bridge.turns(spark, sf_dir).select(F.explode(F.split(F.lower("text"), " ")).alias("word")).where(F.col("word").rlike("^[a-z]{2,}\\z"))
-    vocabulary = words.agg(F.sort_array(F.collect_set("word")).alias("words"))
+    words = bridge.turns(spark, sf_dir).select(F.explode(F.split(F.lower("text"), " ")).alias("word")).where(F.col("word").rlike("^[a-z]{2,}\\z") & F.expr(f"word NOT IN {_NO_CLASS}"))
+    turns = bridge.turns(spark, sf_dir).agg(F.count("*").alias("turns"))
+    common = words.groupBy("word").agg(F.count("*").alias("n")).join(F.broadcast(turns)).where("n * 100 >= turns")
+    vocabulary = common.agg(F.sort_array(F.collect_set("word")).alias("words"))
     at = F.col("object_id") % 1000003 * 7919 % F.greatest(F.size("words"), F.lit(1))
     return bridge.objects(spark, sf_dir).join(F.broadcast(vocabulary)).select("object_id", "room", F.get("words", at.cast("int")).alias("label"))
 
 
-@query()
-def rule_links_all(spark, sf_dir):
-    return links.rule_links(bridge.turns(spark, sf_dir), all_named_objects(spark, sf_dir))
+@query(f"WITH {_NAMED}, {_UNIQUE} SELECT t.episode, t.turn, n.object_id, n.label AS phrase, {_SUBJECT} AS fact_bearing FROM b_turns t JOIN uniq n ON t.room = n.room WHERE {_HAS}")
+def rule_links(spark, sf_dir):
+    return links.rule_links(bridge.turns(spark, sf_dir), named_objects(spark, sf_dir))
 
 
-@query(f"SELECT episode, turn, regexp_matches(lower(text), {_PLACE[:-2]}') AS has_place FROM b_turns")
+@query(f"SELECT episode, turn, regexp_matches(lower(text), {_PLACE}) AS has_place FROM b_turns")
 def locator_subject(spark, sf_dir):
-    return bridge.turns(spark, sf_dir).select("episode", "turn", F.lower("text").rlike(T.PLACE_PREFIX[:-1]).alias("has_place"))
+    return bridge.turns(spark, sf_dir).select("episode", "turn", F.lower("text").rlike(T.PLACE_PREFIX).alias("has_place"))
 
 
 @query("SELECT episode, turn, md5(CASE WHEN strpos(lower(text), 'the') > 0 THEN substr(text, 1, strpos(lower(text), 'the') + 2) || ' [#' || turn || ']' || substr(text, strpos(lower(text), 'the') + 3) ELSE text || ' [#' || turn || ']' END) AS marked_md5 FROM b_turns")
@@ -426,14 +416,6 @@ def uncovered_turns(spark, sf_dir):
     return links.uncovered_turns(bridge.turns(spark, sf_dir), named_objects(spark, sf_dir), bridge.links(spark, sf_dir, gold=False))
 
 
-@query()
-def uncovered_turns_all(spark, sf_dir):
-    return links.uncovered_turns(bridge.turns(spark, sf_dir), all_named_objects(spark, sf_dir), bridge.links(spark, sf_dir, gold=False))
-
-
-SQL |= {f"{q}_all": SQL[q].replace(_NAMED, _ALL_NAMED) for q in ("rule_links", "uncovered_turns")}
-
-
 _ORDER = "list_position(['log', 'compiled', 'evidence', 'llm', 'rule', 'llm-verify'], source)"
 
 
@@ -667,16 +649,11 @@ def mask_cells(spark, sf_dir) -> DataFrame:
     return cells.where((F.col("row") * 7 + F.col("col") * 3 + F.col("p_size")) % 23 != 0).select("frame_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), (F.lit(1.0) + F.col("row") * 0.01 + F.when((F.col("row") + F.col("col")) % 19 == 0, 3.0).otherwise(0.0)).alias("depth"))
 
 
-_CELLS = "cells AS (SELECT p_partkey AS frame_id, r AS row, c AS col, 1.0::DOUBLE + r * 0.01::DOUBLE + CASE WHEN (r + c) % 19 = 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS depth FROM part, range(20) a(r), range(20) b(c) WHERE p_partkey <= 40 AND (r * 7 + c * 3 + p_size) % 23 <> 0)"
+_CELLS = "cells AS (SELECT p_partkey AS frame_id, r AS row, c AS col, 1.0::DOUBLE + r * 0.01::DOUBLE + CASE WHEN (r + c) % 19 = 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS depth FROM part, range(20) a(r), range(20) b(c) WHERE (r * 7 + c * 3 + p_size) % 23 <> 0)"
 
 
 @query(f"WITH {_CELLS} SELECT frame_id, row, col, CAST(floor(share * 1e6 + 0.5) AS BIGINT) AS share_ppm FROM (SELECT frame_id, R.i AS row, C.i AS col, sum(greatest(0.0, least((R.i + 1) * (20/7::DOUBLE), row + 1.0) - greatest(R.i * (20/7::DOUBLE), row * 1.0)) / (20/7::DOUBLE) * (greatest(0.0, least((C.i + 1) * (20/6::DOUBLE), col + 1.0) - greatest(C.i * (20/6::DOUBLE), col * 1.0)) / (20/6::DOUBLE))) AS share FROM cells, range(7) R(i), range(6) C(i) GROUP BY ALL) WHERE share >= 0.5")
 def coverage_fraction(spark, sf_dir):
-    return coverage_fraction_all(spark, sf_dir).where("frame_id <= 40")
-
-
-@query()
-def coverage_fraction_all(spark, sf_dir):
     return evidence.coverage(mask_cells(spark, sf_dir), 20, 20, 7, 6).select("frame_id", "row", "col", micro("share").alias("share_ppm"))
 
 
@@ -684,18 +661,9 @@ def coverage_fraction_all(spark, sf_dir):
 core AS (SELECT frame_id, quantile_cont(depth, 0.05) AS lo, quantile_cont(depth, 0.95) AS hi FROM er GROUP BY frame_id HAVING count(*) >= 20), al AS (SELECT frame_id, quantile_cont(depth, 0.05) AS lo, quantile_cont(depth, 0.95) AS hi FROM cells GROUP BY frame_id)
 SELECT frame_id, row, col FROM cells JOIN al USING (frame_id) LEFT JOIN core USING (frame_id) WHERE depth >= coalesce(core.lo, al.lo) - 0.1 AND depth <= coalesce(core.hi, al.hi) + 0.1""")
 def depth_core(spark, sf_dir):
-    return depth_core_all(spark, sf_dir).where("frame_id <= 40")
-
-
-@query()
-def depth_core_all(spark, sf_dir):
     return evidence.depth_core(mask_cells(spark, sf_dir), radius=1).select("frame_id", "row", "col")
 
 
-# The same over all parts.
-SQL |= {f"{q}_all": SQL[q].replace("p_partkey <= 40 AND ", "") for q in ("coverage_fraction", "depth_core")}
-
-
 @query("""WITH p AS (SELECT *, object_id % 4 AS room FROM b_points), cam AS (SELECT room, room * 10 + k AS frame_id, k * 0.1 AS shift FROM range(4) r(room), range(3) c(k)),
 pr AS (SELECT p.object_id, cam.frame_id, 20 * (x + shift) / (z + 1.2) + 20 AS u, 20 * y / (z + 1.2) + 20 AS v, z + 1.2 AS d FROM p JOIN cam USING (room)),
 s AS (SELECT *, d > 0 AND u >= 0 AND u < 39.5 AND v >= 0 AND v < 39.5 AND NOT (CASE WHEN d > 0 AND u >= 0 AND u < 39.5 AND v >= 0 AND v < 39.5 THEN 1.0 + CAST(round_even(u, 0) AS INT) % 5 * 0.1 ELSE 1e9 END < d - 0.1) AS ok FROM pr)

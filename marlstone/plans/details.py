@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import align, evidence, facts, objects, temporal
+from ..operators import align, evidence, facts, leveling, links, objects, scoring, temporal
 from ..sources import bridge, readers
-from .catalog import micro, query
+from .catalog import _HAS, _NAMED, micro, named_objects, query
 
 
 @query("SELECT event_id, value FROM events WHERE value >= 10")
 def confidence_filter(spark, sf_dir):
-    return bridge.table(spark, sf_dir, "events").where("value >= 10").select("event_id", "value")
+    return evidence.confident(bridge.table(spark, sf_dir, "events"), "value", 10.0).select("event_id", "value")
 
 
 @query("SELECT l_partkey AS object_id, count(*) AS n FROM lineitem WHERE l_discount > 0 AND l_tax >= 0.04 AND l_discount < 10 GROUP BY l_partkey")
 def pixel_validity(spark, sf_dir):
-    rows = bridge.table(spark, sf_dir, "lineitem").where("l_discount > 0 and l_tax >= 0.04 and l_discount < 10 and not isnan(l_discount)")
+    rows = evidence.valid_pixels(bridge.table(spark, sf_dir, "lineitem"), "l_discount", "l_tax", 0.04, 10.0)
     return rows.groupBy(F.col("l_partkey").alias("object_id")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT query_id, family FROM b_results WHERE starts_with(family, 'mc_query_urgent') AND query_id % 3 = 0 ORDER BY query_id LIMIT 100")
 def query_subset(spark, sf_dir):
     r = bridge.results(spark, sf_dir)
-    wanted = r.where("query_id % 3 = 0").select("query_id")
-    return r.where(F.col("family").startswith("mc_query_urgent")).join(wanted, "query_id", "left_semi").orderBy("query_id").limit(100).select("query_id", "family")
+    return scoring.query_subset(r, "mc_query_urgent", r.where("query_id % 3 = 0").select("query_id"), 100).select("query_id", "family")
 
 
 _SCORES = "(SELECT object_id, label, CAST(sum(cents) AS BIGINT) AS score, min(seq) AS first_seq FROM b_votes GROUP BY object_id, label)"
@@ -35,10 +33,8 @@ _SCORES = "(SELECT object_id, label, CAST(sum(cents) AS BIGINT) AS score, min(se
 
 @query(f"SELECT object_id, label, rank, CAST(floor(score / top::DOUBLE * 1e6 + 0.5) AS BIGINT) AS share_ppm FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY score DESC, first_seq, label) AS rank, max(score) OVER (PARTITION BY object_id) AS top FROM {_SCORES}) WHERE rank BETWEEN 2 AND 5 AND top > 0")
 def runner_up_ranking(spark, sf_dir):
-    s = evidence.label_scores(bridge.votes(spark, sf_dir), "cents", "seq")
-    w = W.partitionBy("object_id")
-    ranked = s.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "first_seq", "label"))).withColumn("top", F.max("score").over(w))
-    return ranked.where("rank between 2 and 5 and top > 0").select("object_id", "label", F.col("rank").cast("long").alias("rank"), micro(F.col("score") / F.col("top")).alias("share_ppm"))
+    ranked = evidence.runners_up(evidence.label_scores(bridge.votes(spark, sf_dir), "cents", "seq"))
+    return ranked.select("object_id", "label", "rank", micro("share").alias("share_ppm"))
 
 
 @query("SELECT object_id, CASE WHEN label IN ('class_0', 'class_1', 'class_2') THEN 'furniture' ELSE label END AS label, label IN ('class_0', 'class_1', 'class_2') AS mapped FROM b_objects")
@@ -51,7 +47,7 @@ def label_mapping(spark, sf_dir):
 def turn_id_map(spark, sf_dir):
     t = bridge.turns(spark, sf_dir)
     ids = t.where("turn % 2 = 0 and role = 'user'").select("episode", "turn", (F.col("turn") + 1000).alias("other"))
-    return t.join(ids, ["episode", "turn"], "left").select("episode", "turn", F.coalesce("other", "turn").alias("mapped"))
+    return temporal.renamed_turns(t, ids).select("episode", "turn", "mapped")
 
 
 @query("SELECT clip, frame FROM (SELECT object_id AS clip, idx AS frame, row_number() OVER (PARTITION BY object_id, round(x, 1), round(y, 1) ORDER BY idx) AS n FROM b_points WHERE idx % 4 <> 0) WHERE n = 1")
@@ -63,14 +59,12 @@ def shared_camera_frames(spark, sf_dir):
 
 @query("SELECT episode, frame // 60 AS minute, min(turn) AS turn FROM b_turns WHERE role = 'user' GROUP BY ALL")
 def first_user_turns(spark, sf_dir):
-    return bridge.turns(spark, sf_dir).where("role = 'user'").groupBy("episode", F.floor(F.col("frame") / 60).alias("minute")).agg(F.min("turn").alias("turn"))
+    return temporal.first_user_turns(bridge.turns(spark, sf_dir), 60)
 
 
 @query("SELECT object_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY object_id) AS n FROM b_points) WHERE i % CAST(ceil(n / 10.0) AS INT) = 0")
 def strided_points(spark, sf_dir):
-    w = W.partitionBy("object_id")
-    rows = bridge.points(spark, sf_dir).withColumn("i", F.row_number().over(w.orderBy("idx")) - 1).withColumn("n", F.count("*").over(w))
-    return rows.where(F.col("i") % F.ceil(F.col("n") / 10) == 0).select("object_id", "idx")
+    return evidence.strided(bridge.points(spark, sf_dir), 10).select("object_id", "idx")
 
 
 @query("SELECT sequence_id, chunk, \"end\", nxt AS next FROM (SELECT *, lead(first) OVER (PARTITION BY sequence_id ORDER BY first) AS nxt FROM (SELECT sequence_id, position // 10 AS chunk, min(position) AS first, max(position) + 1 AS \"end\" FROM b_frames WHERE position // 10 % 4 <> 2 GROUP BY ALL)) WHERE nxt <> \"end\"")
@@ -79,15 +73,9 @@ def chunk_gaps(spark, sf_dir):
     return temporal.chunk_gaps(temporal.chunked(frames, 10)).select("sequence_id", "chunk", "end", "next")
 
 
-@query("""WITH m AS (SELECT label AS object_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i), n AS (SELECT object_id, sqrt(sum(m * m)) + 1e-9 AS n FROM m GROUP BY object_id)
-SELECT object_id, i, CAST(floor(1e5 * m / n + 0.5) AS BIGINT) AS d FROM m JOIN n USING (object_id) WHERE i <= 4""")
-def mean_direction(spark, sf_dir):
-    return mean_direction_all(spark, sf_dir).where("i <= 4")
-
-
 @query("""WITH m AS (SELECT label AS object_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i), n AS (SELECT object_id, sqrt(sum(m * m)) + 1e-9 AS n FROM m GROUP BY object_id)
 SELECT object_id, i, CAST(floor(1e5 * m / n + 0.5) AS BIGINT) AS d FROM m JOIN n USING (object_id)""")
-def mean_direction_all(spark, sf_dir):
+def mean_direction(spark, sf_dir):
     v = bridge.table(spark, sf_dir, "embeddings").select(F.col("label").alias("object_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     rows = evidence.mean_directions(v).select("object_id", F.posexplode("direction").alias("i", "d"))
     return rows.select("object_id", (F.col("i") + 1).cast("long").alias("i"), F.floor(F.col("d") * 1e5 + 0.5).cast("long").alias("d"))
@@ -95,14 +83,13 @@ def mean_direction_all(spark, sf_dir):
 
 @query("SELECT object_id, CAST(floor(1e5 * atan2(s, c) / 4 + 0.5) AS BIGINT) AS heading, CAST(floor(1e5 * sqrt(s * s + c * c) / w + 0.5) AS BIGINT) AS agreement FROM (SELECT object_id, sum((1 + abs(z)) * sin(4 * atan2(y, x))) AS s, sum((1 + abs(z)) * cos(4 * atan2(y, x))) AS c, sum(1 + abs(z)) AS w FROM b_points GROUP BY object_id)")
 def heading_agreement(spark, sf_dir):
-    angle, weight = F.atan2("y", "x"), 1 + F.abs("z")
-    rows = bridge.points(spark, sf_dir).groupBy("object_id").agg(F.sum(weight * F.sin(4 * angle)).alias("s"), F.sum(weight * F.cos(4 * angle)).alias("c"), F.sum(weight).alias("w"))
-    return rows.select("object_id", F.floor(1e5 * F.atan2("s", "c") / 4 + 0.5).cast("long").alias("heading"), F.floor(1e5 * F.sqrt(F.col("s") * F.col("s") + F.col("c") * F.col("c")) / F.col("w") + 0.5).cast("long").alias("agreement"))
+    rows = leveling.headings(bridge.points(spark, sf_dir).select("object_id", F.atan2("y", "x").alias("angle"), (1 + F.abs("z")).alias("weight")))
+    return rows.select("object_id", F.floor(1e5 * F.col("heading") + 0.5).cast("long").alias("heading"), F.floor(1e5 * F.col("agreement") + 0.5).cast("long").alias("agreement"))
 
 
 @query("SELECT object_id, CAST(round_even(quantile_cont(z, 0.01) / 0.05, 0) AS BIGINT) AS steps FROM b_points GROUP BY object_id")
 def floor_height(spark, sf_dir):
-    return bridge.points(spark, sf_dir).groupBy("object_id").agg(F.bround(F.percentile("z", F.lit(0.01)) / 0.05).cast("long").alias("steps"))
+    return leveling.floor_steps(bridge.points(spark, sf_dir)).select("object_id", "steps")
 
 
 @query("SELECT p_partkey AS id, CAST(floor(1e6 * ((p_size - 25.5) / 30.0 * p_retailprice) + 0.5) AS BIGINT) AS x, CAST(floor(1e6 * ((p_partkey % 40 - 20.0) / 30.0 * p_retailprice) + 0.5) AS BIGINT) AS y FROM part")
@@ -144,16 +131,13 @@ _ANCHOR = "SELECT DISTINCT sequence_id, CAST(floor(i * (n - 1) / greatest(1, lea
 
 @query(_ANCHOR)
 def anchor_sample(spark, sf_dir):
-    n = bridge.frames(spark, sf_dir).groupBy("sequence_id").agg(F.count("*").alias("n"))
-    rows = n.select("sequence_id", "n", F.explode(F.sequence(F.lit(0), (F.least("n", F.lit(24)) - 1).cast("int"))).alias("i"))
-    return rows.select("sequence_id", F.floor(F.col("i") * (F.col("n") - 1) / F.greatest(F.lit(1), F.least("n", F.lit(24)) - 1)).alias("position")).distinct()
+    return temporal.anchors(bridge.frames(spark, sf_dir), 24).select("sequence_id", "position")
 
 
 @query("SELECT object_id % 10 AS object_id, string_agg(label || '=' || n, ',' ORDER BY label) AS counts FROM (SELECT object_id % 10 AS object_id, label, count(*) AS n FROM b_votes GROUP BY ALL) GROUP BY ALL")
 def map_merge_sum(spark, sf_dir):
-    merged = evidence.label_counts(bridge.votes(spark, sf_dir)).groupBy((F.col("object_id") % 10).alias("object_id"), "label").agg(F.sum("n").alias("n"))
-    pairs = F.sort_array(F.collect_list(F.struct("label", "n")))
-    return merged.groupBy("object_id").agg(F.array_join(F.transform(pairs, lambda p: F.concat(p["label"], F.lit("="), p["n"])), ",").alias("counts"))
+    merged = evidence.merged_counts(evidence.label_counts(bridge.votes(spark, sf_dir)), F.col("object_id") % 10)
+    return merged.select("object_id", F.array_join(F.transform(F.map_entries("counts"), lambda p: F.concat(p["key"], F.lit("="), p["value"])), ",").alias("counts"))
 
 
 @query("""WITH o AS (SELECT sequence_id % 20 AS scene, position, frame_id AS observation_id, event_type AS hint, CAST(floor(value * 10) AS BIGINT) AS n FROM b_frames), s AS (SELECT scene, hint, min(position) AS start FROM o WHERE n >= 500 GROUP BY scene, hint)
@@ -169,8 +153,8 @@ def query_answer_join(spark, sf_dir):
     r = bridge.results(spark, sf_dir)
     answers = r.where("query_id % 7 <> 0").select("query_id")
     found = r.where("query_id % 4 <> 0").select("query_id", F.lit("evidence").alias("program"))
-    witness = r.where("query_id % 8 = 0").select("query_id", F.lit("witness").alias("witness"))
-    return r.select("query_id", "family").join(answers, "query_id").join(found, "query_id", "left").join(witness, "query_id", "left").select("query_id", "family", F.coalesce("program", "witness").alias("program"))
+    witness = r.where("query_id % 8 = 0").select("query_id", F.lit("witness").alias("program"))
+    return scoring.with_answers(r.select("query_id", "family"), answers, found, witness).select("query_id", "family", "program")
 
 
 def _sql_vocabulary() -> str:
@@ -202,8 +186,6 @@ def facts_stated(spark, sf_dir):
 
 @query("SELECT l.episode, l.turn, l.object_id + 1000 AS object_id FROM b_gold l WHERE l.object_id IN (SELECT object_id FROM b_objects WHERE object_id % 3 <> 0)")
 def replayed_links(spark, sf_dir):
-    from ..operators import links
-
     other = bridge.objects(spark, sf_dir).where("object_id % 3 <> 0").select("object_id", (F.col("object_id") + 1000).alias("other_id"))
     return links.replayed(bridge.links(spark, sf_dir, gold=True), other).select("episode", "turn", "object_id")
 
@@ -229,5 +211,59 @@ def answer_parse(spark, sf_dir):
 
 @query("SELECT CAST(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS shared, CAST(count(*) FILTER (WHERE a IS NOT NULL) AS BIGINT) AS only_a FROM b_results")
 def paired_runs(spark, sf_dir):
-    r = bridge.results(spark, sf_dir)
-    return r.agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("shared"), F.count("a").alias("only_a"))
+    return scoring.shared_queries(bridge.results(spark, sf_dir))
+
+
+_TYPED = "t AS (SELECT *, ['count', 'bool', 'track'][query_id % 3 + 1] AS kind, query_id % 5 < 3 AS correct FROM b_results)"
+
+
+@query(f"WITH {_TYPED}, g AS (SELECT 'all' AS \"grouping\", '' AS value, correct FROM t WHERE official UNION ALL SELECT 'family', family, correct FROM t WHERE official UNION ALL SELECT 'session', CAST(session AS VARCHAR), correct FROM t WHERE official UNION ALL SELECT 'answer_type', kind, correct FROM t WHERE official) SELECT \"grouping\", value, count(*) AS n, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, CAST(floor(1000.0 * sum(CAST(correct AS INT)) / count(*) + 0.5) AS BIGINT) AS accuracy_milli FROM g GROUP BY ALL")
+def accuracy_table(spark, sf_dir):
+    k = F.col("query_id")
+    rows = bridge.results(spark, sf_dir).withColumn("answer_type", F.element_at(F.array(*map(F.lit, ("count", "bool", "track"))), (k % 3 + 1).cast("int"))).withColumn("correct", k % 5 < 3)
+    return scoring.accuracy_table(rows).select("grouping", "value", "n", "correct", F.floor(F.col("accuracy") * 1000 + 0.5).cast("long").alias("accuracy_milli"))
+
+
+_RUN = "SELECT session AS configuration, query_id, query_id % 7 < 4 AS correct FROM b_results"
+
+
+@query(f"WITH a AS ({_RUN}), b AS (SELECT configuration, query_id, query_id % 5 < 3 AS base FROM a WHERE query_id % 3 <> 0) SELECT configuration, count(*) AS n, CAST(sum(CAST(correct AS INT)) AS BIGINT) AS correct, count(base) AS paired, CAST(floor(100000.0 * (sum(CAST(correct AS INT)) FILTER (WHERE base IS NOT NULL) - sum(CAST(base AS INT))) / count(base) + 0.5) AS BIGINT) AS points_milli, true AS within FROM a LEFT JOIN b USING (configuration, query_id) GROUP BY configuration")
+def run_report(spark, sf_dir):
+    r = bridge.results(spark, sf_dir).select(F.col("session").alias("configuration"), "query_id", (F.col("query_id") % 7 < 4).alias("correct"), F.lit("a").alias("path"), F.lit(1).alias("line"))
+    base = r.where("query_id % 3 <> 0").withColumn("correct", F.col("query_id") % 5 < 3)
+    out = scoring.run_report(r, base)
+    return out.select("configuration", "n", "correct", "paired", F.floor(F.col("points") * 1000 + 0.5).cast("long").alias("points_milli"), ((F.col("low") <= F.col("points")) & (F.col("points") <= F.col("high"))).alias("within"))
+
+
+@query("SELECT CAST(count(l.episode) AS BIGINT) AS n_learned, CAST(count(g.episode) AS BIGINT) AS n_gold, CAST(count(*) FILTER (WHERE l.episode IS NOT NULL AND g.episode IS NOT NULL) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE g.episode IS NULL AND EXISTS (SELECT 1 FROM b_gold x WHERE x.episode = l.episode AND x.turn = l.turn)) AS BIGINT) AS wrong_object FROM (SELECT DISTINCT episode, turn, object_id FROM b_learned) l FULL JOIN (SELECT DISTINCT episode, turn, object_id FROM b_gold) g ON l.episode = g.episode AND l.turn = g.turn AND l.object_id = g.object_id")
+def link_score_total(spark, sf_dir):
+    return links.link_score_total(links.link_scores(bridge.links(spark, sf_dir, gold=False), bridge.links(spark, sf_dir, gold=True))).select("n_learned", "n_gold", "hits", "wrong_object")
+
+
+@query("SELECT episode, turn FROM b_turns WHERE role <> 'user'")
+def without_questions(spark, sf_dir):
+    t = bridge.turns(spark, sf_dir)
+    return links.without_questions(t, t.where("role = 'user'")).select("episode", "turn")
+
+
+@query(f"WITH {_NAMED} SELECT DISTINCT t.episode, t.turn FROM b_turns t JOIN named n ON t.room = n.room WHERE {_HAS}")
+def mentioned_turns(spark, sf_dir):
+    return links.mentioned(bridge.turns(spark, sf_dir), named_objects(spark, sf_dir))
+
+
+@query(f"""WITH s AS (SELECT episode, any_value(room) AS room, max(frame) FILTER (WHERE role <> 'user') AS last FROM b_turns GROUP BY episode),
+fst AS (SELECT room, object_id, min(frame) AS first FROM b_sightings GROUP BY ALL),
+lst AS (SELECT s.episode, o.* FROM s JOIN fst USING (room) JOIN b_objects o USING (room, object_id) WHERE fst.first <= coalesce(s.last, 0) + 60),
+inv AS (SELECT episode, string_agg(printf('  %s #%d', label, object_id), chr(10) ORDER BY label, object_id) AS inv FROM lst GROUP BY episode),
+v AS (SELECT DISTINCT t.episode, t.turn, l.object_id, l.label FROM b_turns t JOIN b_sightings g ON g.room = t.room AND abs(g.frame - t.frame) <= 60 JOIN lst l ON l.episode = t.episode AND l.object_id = g.object_id WHERE t.role <> 'user'),
+sv AS (SELECT episode, turn, string_agg(label || ' #' || object_id, ', ' ORDER BY object_id) AS view FROM v GROUP BY ALL),
+dlg AS (SELECT episode, string_agg('[' || turn || '] ' || role || ' (in view: ' || coalesce(view, 'nothing') || '): ' || text, chr(10) ORDER BY turn) AS dlg FROM b_turns LEFT JOIN sv USING (episode, turn) WHERE role <> 'user' GROUP BY episode)
+SELECT episode, md5(concat_ws(chr(10), 'Room ' || room || ' (day 1, room). Objects:', inv, '', 'Turns:', dlg)) AS prompt_md5 FROM s LEFT JOIN inv USING (episode) LEFT JOIN dlg USING (episode)""")
+def session_prompts(spark, sf_dir):
+    t = bridge.turns(spark, sf_dir).select("episode", F.lit(1).alias("session"), "turn", "frame", F.col("role").alias("speaker"), "text", "room")
+    sessions = t.groupBy("episode", "session").agg(F.min("room").alias("room")).select("*", F.lit(1).alias("day"), F.lit("room").alias("gloss"))
+    objects_ = bridge.objects(spark, sf_dir).withColumn("alternatives", F.array().cast("array<string>"))
+    asked = links.session_prompts(sessions, t.drop("room"), t.where("speaker = 'user'"), objects_, bridge.sightings(spark, sf_dir), 60)
+    # Centroids and sizes are tested apart: two engines may round a half differently.
+    bare = F.regexp_replace("prompt", r"(?m)^(  .* #\d+)   centroid \[.*$", "$1")
+    return asked.select("episode", F.md5(bare).alias("prompt_md5"))

@@ -188,14 +188,28 @@ def parse_segments(path: str, data: bytes) -> pd.DataFrame:
     return pd.DataFrame({"path": path, "idx": range(len(s := json.loads(data)["segIndices"])), "segment": s})
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
+def read_segments(spark: SparkSession, path: str, glob: str = "*segs.json") -> DataFrame:
     """path, idx, segment: the segment of each vertex."""
-    return parsed_files(spark, path, parse_segments, "path string, idx long, segment long", "*segs.json")
+    return parsed_files(spark, path, parse_segments, "path string, idx long, segment long", glob)
 
 
-def read_groups(spark: SparkSession, path: str) -> DataFrame:
+def grouped_vertices(segments: DataFrame, groups: DataFrame) -> DataFrame:
+    """room, object_id, label, idx: the vertices of each annotated object; a segment may be in several. segments: room, idx, segment."""
+    return groups.join(segments, ["room", "segment"]).select("room", "object_id", "label", "idx")
+
+
+def read_axis_alignment(spark: SparkSession, path: str) -> DataFrame:
+    """path, alignment (16 numbers): the `axisAlignment = ...` line of scene text files; the identity where there is none."""
+    number = F.regexp_extract("value", r"(?m)^\s*axisAlignment\s*=\s*(.*)$", 1)
+    parsed = F.transform(F.filter(F.split(F.trim(number), r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
+    identity = F.array(*(F.lit(float(i % 5 == 0)) for i in range(16)))
+    checked = F.when(F.size(parsed) == 0, identity).when(F.size(parsed) == 16, parsed).otherwise(F.raise_error(F.lit("an alignment has 16 numbers")).cast("array<double>"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), checked.alias("alignment"))
+
+
+def read_groups(spark: SparkSession, path: str, glob: str = "*aggregation.json") -> DataFrame:
     """object_id, label, segment: the segments of each annotated object."""
-    rows = spark.read.option("multiLine", True).option("pathGlobFilter", "*aggregation.json").schema("sceneId string, segGroups array<struct<objectId long, label string, segments array<long>>>").json(path)
+    rows = spark.read.option("multiLine", True).option("pathGlobFilter", glob).schema("sceneId string, segGroups array<struct<objectId long, label string, segments array<long>>>").json(path)
     return rows.select("sceneId", F.explode("segGroups").alias("g")).select(F.col("sceneId").alias("room"), F.col("g.objectId").alias("object_id"), "g.label", F.explode("g.segments").alias("segment"))
 
 
@@ -261,6 +275,15 @@ def write_once(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("errorifexists").parquet(path, partitionBy=list(partition_by) or None)
 
 
+def write_links(links: DataFrame, path: str) -> None:
+    """One JSON line a link (LINKS), in folders shard, task and episode; read_links reads them back."""
+    links.repartition("shard", "task", "episode").sortWithinPartitions("shard", "task", "episode", "turn", "object").write.mode("errorifexists").partitionBy("shard", "task", "episode").json(path)
+
+
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{LINKS}, shard string, task string, episode string").json(path)
+
+
 def append_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
 
@@ -273,9 +296,10 @@ def check_config(existing: dict, now: dict, keys: tuple[str, ...]) -> None:
 
 
 def store_fingerprint(files: DataFrame) -> DataFrame:
-    """One row, fingerprint: a hash of file names and contents (path, content)."""
-    each = files.select(F.sha2(F.concat_ws("\n", "path", F.sha2("content", 256)), 256).alias("h"))
-    return each.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("fingerprint"))
+    """One row, fingerprint: a hash of all files' names and sizes (path, length), whatever their order; partial sums, no list."""
+    h = F.xxhash64("path", "length")
+    sums = files.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
+    return sums.select(F.sha2(F.concat_ws("\n", "n", "x", F.col("s").cast("string")), 256).alias("fingerprint"))
 
 
 def world_state_objects(states: DataFrame) -> DataFrame:
