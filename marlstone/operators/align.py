@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box_iou, distance
+from ..sources.shared import settled
+from .spatial import iou_or_distance
 
 # Fixed values.
 LEAST_SHARED_POSES, POSE_DECIMALS = 10, 5
@@ -76,39 +79,35 @@ def residuals(poses: DataFrame, fit: DataFrame) -> DataFrame:
     return moved.groupBy("clip").agg(F.avg(gap).alias("residual"))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, radius: float = 1.0, key: str = "room") -> DataFrame:
-    """key, i, j, rank columns: pairs whose boxes intersect or whose centroids are near; intersecting ones come first."""
-    pairs = left.alias("a").join(right.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}")).select(F.col(f"a.{key}").alias(key), F.col("a.object_id").alias("i"), F.col("b.object_id").alias("j"), box_iou("a", "b").alias("iou"), distance("a", "b").alias("distance"))
-    return pairs.where((F.col("iou") > 0) | (F.col("distance") <= radius)).withColumn("tier", F.when(F.col("iou") > 0, 0).otherwise(1))
+def candidate_pairs(left: DataFrame, right: DataFrame, radius: float = 1.0) -> DataFrame:
+    """room, i, j, iou, distance, tier: pairs whose boxes intersect or whose centroids are near; intersecting ones come first.
+
+    Found on grid cells: pairs of a room are never all formed. Both sides number their objects apart, so equal ids are a pair too.
+    """
+    apart = lambda side, sign: side.withColumn("object_id", F.struct("object_id", F.lit(sign).alias("side")))
+    pairs = iou_or_distance(apart(left, 0), apart(right, 1), radius)
+    tier = F.when(F.col("iou") > 0, 0).otherwise(1)
+    return pairs.select("room", F.col("a_id.object_id").alias("i"), F.col("b_id.object_id").alias("j"), "iou", "distance", tier.alias("tier"))
 
 
-def greedy_assignment(pairs: DataFrame, order: list[str], key: str = "room", most_rounds: int = 200) -> DataFrame:
+def greedy_assignment(pairs: DataFrame, order: list[str], key: str = "room") -> DataFrame:
     """key, i, j: pairs taken in order if both sides are free, as rounds of mutual best pairs.
 
     A pair that is the first of both its sides is taken by the sequential rule too, whatever comes between, so each
-    round takes all such pairs and drops the pairs of their sides; the order must be total, and i and j end it.
-    Rounds end when no pair is left. Each round's remainder is checkpointed.
+    round takes all such pairs and drops the pairs of their sides; the order must be total, and i and j end it. Every
+    round takes at least the first pair of each key, so rounds end when no pair is left, after as many as the longest
+    chain of pairs that wait for each other. Each round's remainder is checkpointed.
     """
     rank = F.struct(*order, "i", "j")
     left = pairs.select(key, "i", "j", *[c for c in order if c not in ("i", "j")])
-    taken: DataFrame | None = None
-    for _ in range(most_rounds):
+    rounds: list[DataFrame] = []
+    while True:
         best = left.withColumn("_r", rank).withColumn("_i", F.min("_r").over(W.partitionBy(key, "i"))).withColumn("_j", F.min("_r").over(W.partitionBy(key, "j")))
         mutual = settled(best.where((F.col("_r") == F.col("_i")) & (F.col("_r") == F.col("_j"))).select(key, "i", "j"))
         if mutual.isEmpty():
             break
-        taken = mutual if taken is None else taken.unionByName(mutual)
+        rounds.append(mutual)
+        if len(rounds) == 32:
+            rounds = [settled(reduce(DataFrame.unionByName, rounds))]
         left = settled(left.join(mutual.select(key, "i"), [key, "i"], "left_anti").join(mutual.select(key, "j"), [key, "j"], "left_anti"))
-    else:
-        raise RuntimeError(f"assignment took more than {most_rounds} rounds")
-    return taken if taken is not None else pairs.select(key, "i", "j").where("false")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """Checkpointed in the shared folder that the cluster names, or a temporary one where it names none."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
-    return df.checkpoint()
+    return reduce(DataFrame.unionByName, rounds) if rounds else pairs.select(key, "i", "j").where("false")

@@ -14,6 +14,7 @@ NEIGHBOURS, SIGMAS, LEAST_INLIERS = 12, 1.0, 8
 LEAST_PIXELS, LEAST_AREA_SHARE = 50, 0.005
 LEAST_VERTICES, LEAST_EXTENT = 200, 0.05
 LEAST_OBSERVATIONS = 4
+SURFACE_SIDE = 1.0
 # Room structure, for scenes and for masks.
 SCENE_STRUCTURE = ("wall", "floor", "ceiling", "door", "doorframe", "window", "remove", "unannotated", "otherstructure", "floor mat")
 MASK_STRUCTURE = ("wall", "floor", "ceiling", "door", "window", "doorframe", "floor mat")
@@ -41,12 +42,13 @@ def voxel_reduced(points: DataFrame, size: float = VOXEL, key: str = "object_id"
 
 
 def neighbour_means(points: DataFrame, neighbours: int = NEIGHBOURS, key: str = "object_id") -> DataFrame:
-    """Points with spread: the mean distance to the nearest others of the object; null where there are too few."""
+    """Points with spread: the mean distance to the nearest others of the object; null for a point that has no other."""
     a, b = points.alias("a"), points.alias("b")
     gap = F.sqrt(sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"))
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.idx") != F.col("b.idx"))).select(*(F.col(f"a.{c}").alias(c) for c in points.columns), gap.alias("gap"), F.col("b.idx").alias("other"))
     nearest = pairs.withColumn("_n", F.row_number().over(W.partitionBy(key, "idx").orderBy("gap", "other"))).where(F.col("_n") <= neighbours)
-    return nearest.groupBy(*points.columns).agg(F.avg("gap").alias("spread"))
+    spread = nearest.groupBy(key, "idx").agg(F.avg("gap").alias("spread"))
+    return points.join(spread, [key, "idx"], "left").select(*points.columns, "spread")
 
 
 def tightened(points: DataFrame, neighbours: int = NEIGHBOURS, sigmas: float = SIGMAS, key: str = "object_id") -> DataFrame:
@@ -58,7 +60,7 @@ def tightened(points: DataFrame, neighbours: int = NEIGHBOURS, sigmas: float = S
     w = W.partitionBy(key)
     marked = spread.withColumn("inside", F.col("spread") <= F.avg("spread").over(w) + sigmas * F.stddev_pop("spread").over(w))
     enough = (F.count("*").over(w) > neighbours + 1) & (F.sum(F.col("inside").cast("int")).over(w) >= LEAST_INLIERS)
-    return marked.withColumn("_keep", F.col("inside") | ~enough).where("_keep").select(*points.columns)
+    return marked.withColumn("_keep", F.coalesce(F.col("inside"), F.lit(False)) | ~F.coalesce(enough, F.lit(False))).where("_keep").select(*points.columns)
 
 
 def label_counts(votes: DataFrame) -> DataFrame:
@@ -125,19 +127,75 @@ def mean_directions(descriptors: DataFrame, key: str = "object_id") -> DataFrame
     return rows.select(key, F.transform("m", lambda v: v / norm).alias("direction"))
 
 
-def merge_edges(objects: DataFrame, overlaps: DataFrame, sightings: DataFrame, vectors: DataFrame, least_overlap: float = 0.5, least_cosine: float = 0.5) -> DataFrame:
-    """a_object, b_object: pairs that overlap enough, look alike, and are never seen in one frame.
+def seen_together(sightings: DataFrame) -> DataFrame:
+    """a_object, b_object: pairs of a room that some frame shows together, a < b."""
+    s, t = sightings.alias("s"), sightings.alias("t")
+    on = (F.col("s.room") == F.col("t.room")) & (F.col("s.frame") == F.col("t.frame")) & (F.col("s.object_id") < F.col("t.object_id"))
+    return s.join(t, on).select(F.col("s.object_id").alias("a_object"), F.col("t.object_id").alias("b_object")).distinct()
 
-    overlaps: a_object, b_object, n_points, n_near, measured on the smaller object. Large surfaces of one label
-    are exempt from the veto by frames and from the look.
+
+def never_together(pairs: DataFrame, sightings: DataFrame) -> DataFrame:
+    """The pairs (a_object < b_object) that no frame shows together."""
+    return pairs.join(seen_together(sightings), ["a_object", "b_object"], "left_anti")
+
+
+def one_surface(left: str, right: str) -> Column:
+    """Whether two objects with these prefixes (label, side) may be pieces of a surface that no view holds."""
+    same = (F.col(f"{left}.label") == F.col(f"{right}.label")) & F.col(f"{left}.label").isin(*LARGE_SURFACES)
+    return F.coalesce(same & (F.greatest(F.col(f"{left}.side"), F.col(f"{right}.side")) >= SURFACE_SIDE), F.lit(False))
+
+
+def merge_edges(overlaps: DataFrame, sightings: DataFrame, vectors: DataFrame, sides: DataFrame | None = None, hints: DataFrame | None = None, least_overlap: float = 0.5, least_cosine: float = 0.5) -> DataFrame:
+    """a_object, b_object: pairs that overlap enough, share a track or look alike, and are never seen in one frame.
+
+    overlaps: a_object, b_object, n_points, n_near, of which rows with a < b count. sides (object_id, label, side)
+    exempts pieces of one large surface from the veto by frames, and from nothing else; hints (object_id, hint)
+    confirms pairs that share one.
     """
     from ..functions.geometry import cosine
 
-    together = sightings.alias("s").join(sightings.alias("t"), (F.col("s.room") == F.col("t.room")) & (F.col("s.frame") == F.col("t.frame")) & (F.col("s.object_id") < F.col("t.object_id"))).select(F.col("s.object_id").alias("a_object"), F.col("t.object_id").alias("b_object")).distinct()
-    pairs = overlaps.where((F.col("a_object") < F.col("b_object")) & (F.col("n_near") >= least_overlap * F.col("n_points")))
+    pairs = overlaps.where((F.col("a_object") < F.col("b_object")) & (F.col("n_near") >= least_overlap * F.col("n_points"))).select("a_object", "b_object")
     looks = vectors.select("object_id", "vector")
-    alike = pairs.join(looks.toDF("a_object", "u"), "a_object").join(looks.toDF("b_object", "v"), "b_object").where(cosine(F.col("u"), F.col("v")) >= least_cosine)
-    return alike.select("a_object", "b_object").join(together, ["a_object", "b_object"], "left_anti")
+    confirmed = pairs.join(looks.toDF("a_object", "u"), "a_object").join(looks.toDF("b_object", "v"), "b_object").where(cosine(F.col("u"), F.col("v")) >= least_cosine).select("a_object", "b_object")
+    if hints is not None:
+        own = hints.select("object_id", "hint").distinct()
+        confirmed = confirmed.unionByName(pairs.join(own.toDF("a_object", "hint"), "a_object").join(own.toDF("b_object", "hint"), ["b_object", "hint"]).select("a_object", "b_object")).distinct()
+    free = never_together(confirmed, sightings)
+    if sides is None:
+        return free
+    of = sides.select("object_id", "label", "side")
+    large = confirmed.alias("p").join(of.alias("a"), F.col("p.a_object") == F.col("a.object_id")).join(of.alias("b"), F.col("p.b_object") == F.col("b.object_id")).where(one_surface("a", "b"))
+    return free.unionByName(large.select("a_object", "b_object")).distinct()
+
+
+def confident(pixels: DataFrame, column: str, least: float) -> DataFrame:
+    """Rows whose confidence reaches the threshold; nulls and NaN do not."""
+    return pixels.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.col(column) >= least))
+
+
+def valid_pixels(pixels: DataFrame, depth: str, confidence: str, least: float, most: float = float("inf")) -> DataFrame:
+    """Rows of a positive depth below `most` and of enough confidence."""
+    return confident(pixels, confidence, least).where(F.col(depth).isNotNull() & ~F.isnan(depth) & (F.col(depth) > 0) & (F.col(depth) < most))
+
+
+def strided(points: DataFrame, most: int, key: str = "object_id", order: str = "idx") -> DataFrame:
+    """Every k-th point of each object, k the least whole number that leaves at most `most`."""
+    w = W.partitionBy(key)
+    rows = points.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    return rows.where(F.col("_i") % F.ceil(F.col("_n") / most) == 0).drop("_i", "_n")
+
+
+def runners_up(scores: DataFrame, most: int = 4) -> DataFrame:
+    """object_id, label, rank (from 2), share of the winner's score: the next labels after the winner."""
+    w = W.partitionBy("object_id")
+    ranked = scores.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "first_seq", "label"))).withColumn("_top", F.max("score").over(w))
+    return ranked.where((F.col("rank") > 1) & (F.col("rank") <= most + 1) & (F.col("_top") > 0)).select("object_id", "label", F.col("rank").cast("long").alias("rank"), (F.col("score") / F.col("_top")).alias("share"))
+
+
+def merged_counts(counts: DataFrame, into: Column) -> DataFrame:
+    """object_id, counts (map of label to n): label counts of several objects added up under a new id."""
+    each = counts.groupBy(into.alias("object_id"), "label").agg(F.sum("n").alias("n"))
+    return each.groupBy("object_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("counts"))
 
 
 def eroded(cells: DataFrame, radius: int) -> DataFrame:

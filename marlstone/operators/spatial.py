@@ -193,15 +193,16 @@ def gate(observations: DataFrame, objects: DataFrame, radius: float = ASSIGN_RAD
     return pairs.select(F.col("a.object_id").alias("a_id"), F.col("b.object_id").alias("b_id"))
 
 
-def overlap_fraction(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+def overlap_fraction(left: DataFrame, right: DataFrame, radius: float, within: list[str] | None = None) -> DataFrame:
     """a_object, b_object, n_points, n_near: how many of an object's points have a point of another within the radius.
 
-    Points are object_id, idx, x, y, z. A semi-join over grid cells: pairs of points are never all formed.
+    Points are object_id, idx, x, y, z, and the columns `within`, in which both must agree. A semi-join over grid
+    cells: pairs of points are never all formed.
     """
-    names = ("x", "y", "z")
-    a = celled(left, radius, names, around=True).select(F.col("object_id").alias("a_object"), F.col("idx"), "x", "y", "z", "g0", "g1", "g2")
-    b = celled(right, radius, names).select(F.col("object_id").alias("b_object"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"), "g0", "g1", "g2")
+    names, also = ("x", "y", "z"), within or []
+    a = celled(left, radius, names, around=True).select(F.col("object_id").alias("a_object"), F.col("idx"), "x", "y", "z", "g0", "g1", "g2", *also)
+    b = celled(right, radius, names).select(F.col("object_id").alias("b_object"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"), "g0", "g1", "g2", *also)
     gap = (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v")) + (F.col("z") - F.col("w")) * (F.col("z") - F.col("w"))
-    near = a.join(b, ["g0", "g1", "g2"]).where((F.col("a_object") != F.col("b_object")) & (gap <= radius * radius)).select("a_object", "b_object", "idx").distinct().groupBy("a_object", "b_object").agg(F.count("*").alias("n_near"))
+    near = a.join(b, ["g0", "g1", "g2", *also]).where((F.col("a_object") != F.col("b_object")) & (gap <= radius * radius)).select("a_object", "b_object", "idx").distinct().groupBy("a_object", "b_object").agg(F.count("*").alias("n_near"))
     sizes = left.groupBy(F.col("object_id").alias("a_object")).agg(F.count("*").alias("n_points"))
     return near.join(sizes, "a_object").select("a_object", "b_object", "n_points", "n_near")
