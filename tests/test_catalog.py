@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from marlstone.plans import catalog, details  # noqa: F401
+from marlstone.plans import catalog, details, files  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -59,7 +59,7 @@ def test_merge_fragments_reads_all_points(spark, sf, monkeypatch):
 
 
 def test_mean_direction_has_all_components(spark, sf):
-    got = catalog.QUERIES["mean_direction_all"](spark, sf)
+    got = catalog.QUERIES["mean_direction"](spark, sf)
     assert {r["count"] for r in got.groupBy("object_id").count().collect()} == {64}
 
 
@@ -67,16 +67,14 @@ def test_masks_of_all_parts(spark, sf):
     parts = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
     share = lambda size, i, j: sum(max(0, min((i + 1) * 20 / 7, r + 1) - max(i * 20 / 7, r)) * max(0, min((j + 1) * 20 / 6, c + 1) - max(j * 20 / 6, c)) for r in range(20) for c in range(20) if (r * 7 + c * 3 + size) % 23) / (400 / 42)
     by_size = {n: {(i, j): round(share(n, i, j), 5) for i in range(7) for j in range(6) if share(n, i, j) >= 0.5} for n in set(parts.values())}
-    got = {(r.frame_id, r.row, r.col): round(r.share_ppm / 1e6, 5) for r in catalog.QUERIES["coverage_fraction_all"](spark, sf).collect()}
+    got = {(r.frame_id, r.row, r.col): round(r.share_ppm / 1e6, 5) for r in catalog.QUERIES["coverage_fraction"](spark, sf).collect()}
     assert got == pytest.approx({(p, *cell): v for p, n in parts.items() for cell, v in by_size[n].items()}, abs=2e-5)
-    assert {r.frame_id for r in catalog.QUERIES["depth_core_all"](spark, sf).select("frame_id").distinct().collect()} == set(parts)
+    assert {r.frame_id for r in catalog.QUERIES["depth_core"](spark, sf).select("frame_id").distinct().collect()} == set(parts)
 
 
 def test_links_to_all_objects(spark, sf):
     everything = {r.object_id for r in catalog.bridge.objects(spark, sf).collect()}
-    named = {r.object_id: r.label for r in catalog.all_named_objects(spark, sf).collect()}
-    assert set(named) == everything and max(everything) >= 160 and all(named.values())
-    linked = {r.object_id for r in catalog.QUERIES["rule_links_all"](spark, sf).collect()}
-    assert any(i >= 160 for i in linked)
-    beyond = {named[i] for i in everything if i >= 160} - {named[i] for i in everything if i < 160}
-    assert beyond & {r.label for r in catalog.QUERIES["uncovered_turns_all"](spark, sf).collect()}
+    named = {r.object_id: r.label for r in catalog.named_objects(spark, sf).collect()}
+    assert set(named) == everything and all(named.values())
+    linked = {r.object_id for r in catalog.QUERIES["rule_links"](spark, sf).collect()}
+    assert linked <= everything and max(linked) >= 160
