@@ -17,8 +17,8 @@ from .common import by_bytes, hot_keys, spread_join, stored
 
 #: A subtree is template where it is on so many differing pages of a host, and on so large a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
-#: On so many differing pages of a host it is template whatever the share.
-MANY_PAGES = 100
+#: On so many differing pages of a host it is template whatever the share: large hosts have many sections, each with its own menus.
+MANY_PAGES = 25
 #: List items, and running text within marked main text, are template on so large a share of a host's pages only.
 RUNNING_SHARE = 0.5
 #: Bytes of pages that are parsed before their rows go out.
