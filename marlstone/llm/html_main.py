@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ LEAST_PAGES, LEAST_SHARE = 5, 0.2
 MANY_PAGES = 25
 #: List items, and running text within marked main text, are template on so large a share of a host's pages only.
 RUNNING_SHARE = 0.5
+#: Template subtrees, of 16 bytes each, that may go to every task; more are dealt to the pages by a join.
+SHARED_TEMPLATES = 1 << 20
 #: Bytes of pages that are parsed before their rows go out.
 SLICE_BYTES = 4 << 20
 
@@ -232,6 +235,24 @@ class Page:
         self.subtrees.append((node.first, len(self.blocks), int.from_bytes(digest, "little", signed=True) & ~1 | running))
 
 
+class Templates:
+    """Template subtrees by host, in two sorted arrays."""
+
+    def __init__(self, rows: pa.Table):
+        host, h = (rows.column(c).to_numpy() for c in ("host", "hash"))
+        order = np.lexsort((h, host))
+        self.host, self.hash = host[order], h[order]
+
+    def among(self, host: int, page: Page) -> set[int]:
+        """The page's subtrees that are template on its host."""
+        own = self.hash[np.searchsorted(self.host, host, "left") : np.searchsorted(self.host, host, "right")]
+        if not len(own) or not page.subtrees:
+            return set()
+        found = np.unique(np.fromiter((h for _, _, h in page.subtrees), np.int64, len(page.subtrees)))
+        at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+        return set(found[own[at] == found].tolist())
+
+
 def host_of(url: Column) -> Column:
     """The host of a URL in lower case without port or user; empty if there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -251,8 +272,8 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sh
     other text stays. Character references are decoded, white space in a block becomes one space, and the trimmed
     blocks are joined by one space in page order.
 
-    Pages are parsed twice, first for hashes alone; what goes from a page is found from those and dealt to it. Equal
-    pages of a host are one page of it. Subtrees are counted by (host, hash) with partial aggregation, and hot keys
+    Pages are parsed twice, first for hashes alone. Up to SHARED_TEMPLATES templates go to every task of the second pass
+    as two arrays, and no page is dealt; of more, each page's own are found by a join and dealt to it. Equal pages of a host are one page of it. Subtrees are counted by (host, hash) with partial aggregation, and hot keys
     are dealt in parts, so a host with a third of all pages is no burden to one task. Null and empty html give an
     empty text; a null url is a host of its own kind, shared by all such pages. Repeated rows, and rows without an id,
     are extracted each. Other columns are not read. An empty table gives an empty result.
@@ -287,22 +308,28 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sh
     # Each kind by its own share; a subtree is counted over both.
     kinds = F.filter(F.array(F.when(enough, F.lit(0)), F.when(often, F.lit(1))), lambda k: k.isNotNull())
     template = stored(counted.select("host", "subtree", "n", F.explode(kinds).alias("kind")).select("host", (F.shiftleft("subtree", 1) + F.col("kind")).alias("hash"), "n"))
-    gone = spread_join(held.select("host", "key", "hash"), template.drop("n"), ["host", "hash"], hot_keys(template, ["host", "hash"], "n"), F.col("key"))
-    drops = stored(gone.groupBy("host", "key").agg(F.collect_set("hash").alias("drop")))
-    dealt = spread_join(rows, drops, ["host", "key"], hot_keys(each, ["host", "key"], "n"), F.col("page_id"), "left")
+    if template.count() <= SHARED_TEMPLATES:
+        shared = pages.sparkSession.sparkContext.broadcast(Templates(template.select("host", "hash").toArrow()))
+        dealt = rows.withColumn("drop", F.lit(None).cast("array<long>"))
+    else:
+        shared = None
+        gone = spread_join(held.select("host", "key", "hash"), template.drop("n"), ["host", "hash"], hot_keys(template, ["host", "hash"], "n"), F.col("key"))
+        drops = stored(gone.groupBy("host", "key").agg(F.collect_set("hash").alias("drop")))
+        dealt = spread_join(rows, drops, ["host", "key"], hot_keys(each, ["host", "key"], "n"), F.col("page_id"), "left")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in by_bytes(batch.column("size").to_pylist(), SLICE_BYTES):
                 own = batch.slice(a, b - a)
                 texts, counts = [], []
-                for x, drop in zip(own.column("html"), own.column("drop").to_pylist()):
+                for x, host, drop in zip(own.column("html"), own.column("host").to_pylist(), own.column("drop").to_pylist()):
                     page = Page(x.as_py())
-                    template = page.recurring(set(drop)) if drop else [False] * len(page.blocks)
+                    found = shared.value.among(host, page) if shared else set(drop or ())
+                    template = page.recurring(found) if found else [False] * len(page.blocks)
                     texts.append(" ".join(t for t, p, q in zip(page.blocks, template, page.ruled) if not p and not q))
                     counts.append((len(page.blocks), sum(template), sum(q and not p for p, q in zip(template, page.ruled))))
                 numbers = [pa.array(c, pa.int64()) for c in zip(*counts)]
                 yield pa.RecordBatch.from_arrays([own.column("page_id"), own.column("url"), pa.array(texts, pa.string()), *numbers], ["page_id", "url", "text", "n_blocks", "n_template", "n_ruled"])
 
-    final = dealt.select("page_id", "url", "html", "drop", F.octet_length("html").alias("size")).mapInArrow(extracted, f"page_id {kind}, url string, text string, n_blocks long, n_template long, n_ruled long")
+    final = dealt.select("page_id", "url", "html", "host", "drop", F.octet_length("html").alias("size")).mapInArrow(extracted, f"page_id {kind}, url string, text string, n_blocks long, n_template long, n_ruled long")
     return final.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks", "n_template", "n_ruled")

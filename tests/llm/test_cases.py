@@ -37,10 +37,14 @@ def test_html_deep_pages_are_linear():
     assert len(html_main.Page("<ul><li><p>x" * 5_000).blocks) == 5_000
 
 
-def test_html_menus_without_names_go_by_counting(spark):
-    """No class, role or element name tells these menus and footers; one page's own second block stays."""
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_html_menus_without_names_go_by_counting(spark, monkeypatch, most):
+    """No class, role or element name tells these menus and footers, shared or dealt; one page's own second block stays."""
+    monkeypatch.setattr(html_main, "SHARED_TEMPLATES", most)
     page = lambda i: f"<html><head><title>t{i}</title></head><body><div><a href=/{i}>Home</a> <a>News</a></div><div><p>story {i}</p><div>own {i}</div></div><div>All rights</div></body></html>"
     got = extracted(spark, [(i, f"http://h.x/{i}", page(i)) for i in range(12)])
+    others = extracted(spark, [(i, f"http://h{i}.x/", page(i)) for i in range(3)] + [(i, "http://other/", page(i)) for i in range(4, 9)])
+    assert {(r.page_id < 4, r.n_template) for r in others} == {(True, 0), (False, 2)}
     assert {r.page_id: r.text for r in got} == {i: f"story {i} own {i}" for i in range(12)}
     assert {(r.n_blocks, r.n_template, r.n_ruled) for r in got} == {(4, 2, 0)}
 
