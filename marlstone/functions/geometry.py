@@ -88,6 +88,30 @@ def is_rigid(matrix: Column, tolerance: float = 1e-4) -> Column:
     return F.coalesce((F.size(matrix) == 16) & finite & last & square & (F.abs(det - 1) <= tolerance), F.lit(False))
 
 
+def inverted(matrix: Column) -> Column:
+    """The inverse of a rigid transform: the rotation's transpose, and the shift turned back."""
+    m = lambda r, c: matrix[4 * r + c]
+    rows = [[m(0, r), m(1, r), m(2, r), -(m(0, r) * m(0, 3) + m(1, r) * m(1, 3) + m(2, r) * m(2, 3))] for r in range(3)]
+    return F.array(*(v for row in rows for v in row), *(F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)))
+
+
+def composed(first: Column, then: Column) -> Column:
+    """The 4x4 transform that does `first`, and `then` after it."""
+    return F.array(*(sum((then[4 * r + k] * first[4 * k + c] for k in range(1, 4)), then[4 * r] * first[c]) for r in range(4) for c in range(4)))
+
+
+def is_leveling(matrix: Column) -> Column:
+    """A rigid transform that rotates and lifts, without a horizontal shift."""
+    return is_rigid(matrix) & F.coalesce((F.abs(matrix[3]) <= 1e-6) & (F.abs(matrix[7]) <= 1e-6), F.lit(False))
+
+
+def is_resize(matrix: Column, tolerance: float = 1e-6) -> Column:
+    """A row-major 3x3 mapping of pixels that only scales: finite, with a positive diagonal that ends in 1, else zeros."""
+    finite = F.forall(matrix, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rest = reduce(lambda p, q: p & q, (F.abs(matrix[i] - float(i == 8)) <= tolerance for i in (1, 2, 3, 5, 6, 7, 8)))
+    return F.coalesce((F.size(matrix) == 9) & finite & rest & (matrix[0] > 0) & (matrix[4] > 0), F.lit(False))
+
+
 def slerp(q0: list[Column], q1: list[Column], t: Column) -> list[Column]:
     """Unit quaternions (x, y, z, w) interpolated along the shorter arc."""
     dot = reduce(lambda p, q: p + q, (a * b for a, b in zip(q0, q1)))

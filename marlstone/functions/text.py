@@ -32,9 +32,14 @@ def alternatives_suffix(names: Column) -> Column:
     return F.when(F.size(names) > 0, F.concat(F.lit(" (or: "), F.array_join(names, ", "), F.lit(")"))).otherwise(F.lit(""))
 
 
+def quoted(label: Column) -> Column:
+    """A pattern for the label as it is written; every sign in it stands for itself."""
+    return F.regexp_replace(label, r"([^\p{L}\p{N}_\s])", r"\\$1")
+
+
 def _class_phrase(label: Column) -> Column:
-    """A pattern for the label as it is written, or with an s; every sign in it stands for itself."""
-    return F.concat(F.regexp_replace(label, r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit("s?"))
+    """The label, or with an s."""
+    return F.concat(quoted(label), F.lit("s?"))
 
 
 def names_class(text: Column, label: Column) -> Column:
@@ -109,3 +114,16 @@ def last_group(text: str) -> str:
 def answer_json(replies: pd.Series) -> pd.Series:
     """parse_answer as JSON text."""
     return replies.map(lambda x: None if (a := parse_answer(x)) is None else json.dumps(a))
+
+
+# Where the last session of a context begins, and the least length of a prefix that is worth a cache.
+SESSION_MARK, LEAST_PREFIX = "\n=== session", 4000
+
+
+def split_prefix(text: Column) -> tuple[Column, Column]:
+    """The part of a context before its last session's header, null where that is short or there is no header, and the rest."""
+    pieces = F.split(text, SESSION_MARK)
+    rest = F.length(F.element_at(pieces, -1)) + len(SESSION_MARK)
+    at = F.when(F.size(pieces) > 1, F.length(text) - rest)  # signs before the line feed of the last header
+    cut = F.coalesce(at >= LEAST_PREFIX, F.lit(False))
+    return F.when(cut, F.substr(text, F.lit(1), at + 1)), F.when(cut, F.substr(text, at + 2)).otherwise(text)

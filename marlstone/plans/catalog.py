@@ -427,13 +427,19 @@ def gold_union(spark, sf_dir):
     return links.gold_links(both).select("episode", "turn", "object_id", "fact_bearing", "source")
 
 
-@query("""WITH a AS (SELECT DISTINCT episode, turn, object_id FROM b_learned), b AS (SELECT DISTINCT episode, turn, object_id FROM b_gold), t AS (SELECT DISTINCT episode, turn FROM b_gold),
-j AS (SELECT coalesce(a.episode, b.episode) AS episode, a.object_id IS NOT NULL AS l, b.object_id IS NOT NULL AS g, t.turn IS NOT NULL AS h FROM a FULL JOIN b ON a.episode = b.episode AND a.turn = b.turn AND a.object_id = b.object_id LEFT JOIN t ON t.episode = coalesce(a.episode, b.episode) AND t.turn = coalesce(a.turn, b.turn))
-SELECT episode, count(*) FILTER (WHERE l) AS n_learned, count(*) FILTER (WHERE g) AS n_gold, count(*) FILTER (WHERE l AND g) AS hits, count(*) FILTER (WHERE l AND NOT g AND h) AS wrong_object,
-CAST(floor(count(*) FILTER (WHERE l AND g)::DOUBLE / greatest(1, count(*) FILTER (WHERE l)) * 1e6 + 0.5) AS BIGINT) AS precision_ppm, CAST(floor(count(*) FILTER (WHERE l AND g)::DOUBLE / greatest(1, count(*) FILTER (WHERE g)) * 1e6 + 0.5) AS BIGINT) AS recall_ppm FROM j GROUP BY episode""")
+_SAME = "{0}.episode = x.episode AND {0}.turn = x.turn AND {0}.object_id = x.object_id"
+_SCORED = f"""l AS (SELECT DISTINCT episode, turn, object_id FROM b_learned), f AS (SELECT DISTINCT episode, turn, object_id FROM b_gold WHERE fact_bearing),
+lh AS (SELECT *, EXISTS (SELECT 1 FROM b_gold x WHERE {_SAME.format("l")}) AS hit FROM l),
+fh AS (SELECT *, EXISTS (SELECT 1 FROM l x WHERE {_SAME.format("f")}) AS found, EXISTS (SELECT 1 FROM l x WHERE x.episode = f.episode AND x.turn = f.turn) AS linked FROM f),
+ls AS (SELECT episode, count(*) AS n_learned, count(*) FILTER (WHERE hit) AS hits FROM lh GROUP BY episode),
+fs AS (SELECT episode, count(*) AS n_gold, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE linked AND NOT found) AS wrong_object FROM fh GROUP BY episode),
+sc AS (SELECT episode, {", ".join(f"coalesce({c}, 0) AS {c}" for c in links.LINK_COUNTS)} FROM (SELECT episode FROM b_learned UNION SELECT episode FROM b_gold) e LEFT JOIN ls USING (episode) LEFT JOIN fs USING (episode))"""
+
+
+@query(f"""WITH {_SCORED} SELECT *, CAST(floor(hits::DOUBLE / greatest(1, n_learned) * 1e6 + 0.5) AS BIGINT) AS precision_ppm, CAST(floor(found::DOUBLE / greatest(1, n_gold) * 1e6 + 0.5) AS BIGINT) AS recall_ppm FROM sc""")
 def link_precision_recall(spark, sf_dir):
     s = links.link_scores(bridge.links(spark, sf_dir, gold=False), bridge.links(spark, sf_dir, gold=True))
-    return s.select("episode", "n_learned", "n_gold", "hits", "wrong_object", micro("precision").alias("precision_ppm"), micro("recall").alias("recall_ppm"))
+    return s.select("episode", *links.LINK_COUNTS, micro("precision").alias("precision_ppm"), micro("recall").alias("recall_ppm"))
 
 
 @query("SELECT episode, count(o.object_id) AS kept, count(*) - count(o.object_id) AS dropped FROM b_gold g LEFT JOIN (SELECT object_id FROM b_objects WHERE object_id % 3 <> 0) o USING (object_id) GROUP BY episode")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import align, evidence, facts, leveling, links, objects, scoring, temporal
+from ..operators import align, answering, evidence, facts, leveling, links, objects, scoring, temporal
 from ..sources import bridge, readers
-from .catalog import _HAS, _NAMED, micro, named_objects, query
+from .catalog import _HAS, _NAMED, _SCORED, micro, named_objects, query
 
 
 @query("SELECT event_id, value FROM events WHERE value >= 10")
@@ -235,9 +238,10 @@ def run_report(spark, sf_dir):
     return out.select("configuration", "n", "correct", "paired", F.floor(F.col("points") * 1000 + 0.5).cast("long").alias("points_milli"), ((F.col("low") <= F.col("points")) & (F.col("points") <= F.col("high"))).alias("within"))
 
 
-@query("SELECT CAST(count(l.episode) AS BIGINT) AS n_learned, CAST(count(g.episode) AS BIGINT) AS n_gold, CAST(count(*) FILTER (WHERE l.episode IS NOT NULL AND g.episode IS NOT NULL) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE g.episode IS NULL AND EXISTS (SELECT 1 FROM b_gold x WHERE x.episode = l.episode AND x.turn = l.turn)) AS BIGINT) AS wrong_object FROM (SELECT DISTINCT episode, turn, object_id FROM b_learned) l FULL JOIN (SELECT DISTINCT episode, turn, object_id FROM b_gold) g ON l.episode = g.episode AND l.turn = g.turn AND l.object_id = g.object_id")
+@query(f"WITH {_SCORED} SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in links.LINK_COUNTS) + " FROM sc")
 def link_score_total(spark, sf_dir):
-    return links.link_score_total(links.link_scores(bridge.links(spark, sf_dir, gold=False), bridge.links(spark, sf_dir, gold=True))).select("n_learned", "n_gold", "hits", "wrong_object")
+    scores = links.link_scores(bridge.links(spark, sf_dir, gold=False), bridge.links(spark, sf_dir, gold=True))
+    return links.link_score_total(scores).select(*links.LINK_COUNTS)
 
 
 @query("SELECT episode, turn FROM b_turns WHERE role <> 'user'")
@@ -267,3 +271,86 @@ def session_prompts(spark, sf_dir):
     # Centroids and sizes are tested apart: two engines may round a half differently.
     bare = F.regexp_replace("prompt", r"(?m)^(  .* #\d+)   centroid \[.*$", "$1")
     return asked.select("episode", F.md5(bare).alias("prompt_md5"))
+
+
+_RUNS = """r AS (SELECT query_id, official, ['count', 'bool', 'track'][query_id % 3 + 1] AS kind, family, session, query_id % 5 < 3 AS correct, CAST(query_id % 9 AS VARCHAR) AS pred, CASE WHEN query_id % 4 > 0 THEN query_id % 7 END AS work_true,
+query_id % 2 = 0 AS from_work, CASE WHEN query_id % 11 > 0 THEN query_id % 5000 END AS tokens, query_id % 6 = 0 AS cached, CASE WHEN query_id % 19 = 0 THEN 'ERROR: 1' ELSE '' END AS raw FROM b_results)"""
+_WORK = "official AND kind = 'count'"
+
+
+@query(f"""WITH {_RUNS}, g AS (SELECT 'all' AS "grouping", '' AS value, correct FROM r UNION ALL SELECT 'official', '', correct FROM r WHERE official UNION ALL SELECT 'track', '', correct FROM r WHERE kind = 'track'
+UNION ALL SELECT 'family', family, correct FROM r WHERE official UNION ALL SELECT 'session', CAST(session AS VARCHAR), correct FROM r WHERE official)
+SELECT "grouping", value, count(*) AS n, CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS correct FROM g GROUP BY ALL
+UNION ALL SELECT 'work_list', '', count(*) FILTER (WHERE {_WORK}), count(*) FILTER (WHERE {_WORK} AND from_work) FROM r
+UNION ALL SELECT 'work_list_differs', '', count(*) FILTER (WHERE {_WORK} AND CAST(work_true AS VARCHAR) <> pred), NULL FROM r
+UNION ALL SELECT 'mean_prompt_tokens', '', CAST(floor(sum(coalesce(tokens, 0)) / count(*)) AS BIGINT), NULL FROM r UNION ALL SELECT 'most_prompt_tokens', '', CAST(max(tokens) AS BIGINT), NULL FROM r
+UNION ALL SELECT 'cached', '', count(*) FILTER (WHERE cached), NULL FROM r UNION ALL SELECT 'errors', '', count(*) FILTER (WHERE raw <> ''), NULL FROM r""")
+def run_summary(spark, sf_dir):
+    k = F.col("query_id")
+    rows = bridge.results(spark, sf_dir).select(
+        "query_id", "official", F.element_at(F.array(*map(F.lit, ("count", "bool", "track"))), (k % 3 + 1).cast("int")).alias("answer_type"), "family", "session", (k % 5 < 3).alias("correct"), (k % 9).cast("string").alias("pred"),
+        F.when(k % 4 > 0, k % 7).alias("work_true"), (k % 2 == 0).alias("correct_from_work"), F.when(k % 11 > 0, k % 5000).alias("prompt_tokens"), (k % 6 == 0).alias("cached"), F.when(k % 19 == 0, "ERROR: 1").otherwise("").alias("raw"),
+    )
+    return scoring.run_summary(rows).select("grouping", "value", "n", "correct")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) >= 4000 THEN md5(text || chr(10)) END AS prefix_md5, CASE WHEN length(text) >= 4000 THEN md5('=== session 2' || chr(10) || 'now') ELSE md5(text || chr(10) || '=== session 2' || chr(10) || 'now') END AS rest_md5 FROM documents")
+def context_prefix(spark, sf_dir):
+    """Each document as what a context has before the session of the question."""
+    prefix, rest = T.split_prefix(F.concat("text", F.lit("\n=== session 2\nnow")))
+    return bridge.table(spark, sf_dir, "documents").select("doc_id", F.md5(prefix).alias("prefix_md5"), F.md5(rest).alias("rest_md5"))
+
+
+@query("SELECT b.query_id, c.configuration FROM b_results b, (VALUES ('memory', 0), ('memory_annotated_links', 1), ('full_context', 2), ('per_frame', 3)) c(configuration, i) WHERE b.query_id % 4 <> c.i OR b.query_id % 5 = 0")
+def benchmark_plan(spark, sf_dir):
+    """A quarter of the queries is done in each configuration, some with errors."""
+    r, k = bridge.results(spark, sf_dir).select("query_id"), F.col("query_id")
+    names = F.array(*(F.lit(c[0]) for c in answering.CONFIGURATIONS))
+    done = r.select("query_id", F.element_at(names, (k % 4 + 1).cast("int")).alias("configuration"), F.when(k % 5 == 0, "ERROR: 5").otherwise("{}").alias("raw"))
+    return answering.benchmark_plan(r, done).select("query_id", "configuration")
+
+
+@query("SELECT query_id, '\"' || family || '\"' AS pred, query_id % 3 = 0 AS cached FROM b_results")
+def cached_answers(spark, sf_dir):
+    """The prompts of a third of the queries have known replies; an injected model that echoes gives the others."""
+    r = bridge.results(spark, sf_dir).select("query_id", F.concat_ws(" ", F.col("query_id"), F.col("family")).alias("prompt"), "family")
+    plan = r.select("query_id", F.lit("full").alias("method"), F.lit(None).cast("string").alias("links"))
+    contexts = plan.join(r.select("query_id", "prompt"), "query_id")
+    reply = F.to_json(F.struct(F.col("family").alias("answer")))
+    cache = r.where("query_id % 3 = 0").select(T.short_hash(F.lit("m"), F.col("prompt")).alias("cache_key"), reply.alias("raw"))
+    return answering.answers(plan, contexts, cache, echo, "m").select("query_id", "pred", "cached")
+
+
+def echo(prompt: str) -> str:
+    return json.dumps({"answer": prompt.split(" ", 1)[1]})
+
+
+_SAID = """m AS (SELECT episode, turn, CASE WHEN turn % 5 = 0 THEN 'place' ELSE 'physical_object' END AS kind, ['resolved', 'clarified', 'open'][(episode + turn) % 3 + 1] AS status, CASE WHEN turn % 7 <> 3 THEN 't' || (turn % 4) END AS track, turn % 2 = 0 AS fact_bearing FROM b_turns WHERE episode % 4 <> 0),
+e AS (SELECT episode, turn, 't' || (turn % 3) AS track, turn % 3 + 10 AS object_id FROM b_turns), tr AS (SELECT DISTINCT episode, track, object_id FROM e)"""
+
+
+@query(f"""WITH {_SAID}, g AS (SELECT m.episode, turn, object_id, fact_bearing, 'log' AS source FROM m JOIN tr USING (episode, track) WHERE kind = 'physical_object' AND status <> 'open'
+UNION ALL SELECT m.episode, turn, object_id, true, 'log' FROM m JOIN tr USING (episode, track) WHERE status = 'resolved'
+UNION ALL SELECT episode, turn, object_id, true, 'evidence' FROM e WHERE episode % 4 = 0)
+SELECT episode, turn, object_id, bool_or(fact_bearing) AS fact_bearing, min(source) AS source FROM g GROUP BY ALL""")
+def release_links(spark, sf_dir):
+    """Logs of three quarters of the episodes, whose turns have other ids there; evidence of all."""
+    t, k = bridge.turns(spark, sf_dir).select("episode", "turn"), F.col("turn")
+    status = F.element_at(F.array(*map(F.lit, ("resolved", "clarified", "open"))), ((F.col("episode") + k) % 3 + 1).cast("int"))
+    logged = t.where("episode % 4 <> 0").select("episode", (k + 1000).alias("turn"), F.when(k % 5 == 0, "place").otherwise("physical_object").alias("mention_type"), status.alias("status"), F.when(k % 7 != 3, F.concat(F.lit("t"), k % 4)).alias("track_id"), F.lit("it").alias("span"), (k % 2 == 0).alias("fact_bearing"))
+    records = logged.select("episode", "turn", F.when(F.col("status") == "resolved", "established").alias("status"), "track_id")
+    facts_ = t.select("episode", "turn", F.concat(F.lit("t"), k % 3).alias("track_id"), F.lit("0474_03-full").alias("clip_id"), (k % 3 + 10).alias("object_id"))
+    ids = t.select("episode", (k + 1000).alias("turn"), k.alias("other"))
+    return links.release_links(logged, records, facts_, t, ids).select("episode", "turn", "object_id", "fact_bearing", "source")
+
+
+@query("SELECT p_partkey AS id, p_size % 2 = 0 AS leveling, p_size % 3 = 0 AS resize, CAST(floor(1e6 * (p_retailprice - 2.0)) AS BIGINT) AS x FROM part")
+def transform_checks(spark, sf_dir):
+    """A quarter turn with a lift, and a sideways shift for odd sizes; a mapping that scales, or shears; a point there and back."""
+    p = bridge.table(spark, sf_dir, "part")
+    n = lambda *v: F.array(*(x if isinstance(x, Column) else F.lit(float(x)) for x in v))
+    turn = n(0, -1, 0, F.when(F.col("p_size") % 2 == 0, 0.0).otherwise(1.0), 1, 0, 0, 0, 0, 0, 1, 2, 0, 0, 0, 1)
+    scale = n(2, F.when(F.col("p_size") % 3 == 0, 0.0).otherwise(0.5), 0, 0, 3, 0, 0, 0, 1)
+    back = G.composed(G.inverted(turn), G.composed(turn, n(1, 0, 0, -2, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)))
+    x = G.applied(back, F.col("p_retailprice"), F.lit(0.0), F.lit(0.0))[0]
+    return p.select(F.col("p_partkey").alias("id"), G.is_leveling(turn).alias("leveling"), G.is_resize(scale).alias("resize"), F.floor(1e6 * x).cast("long").alias("x"))
