@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import scoring
-from ..sources import bridge, readers
-from ..sources.shared import new_place
+from ..operators import objects, scoring
+from ..sources import bridge, readers, segmentation
+from ..sources.shared import new_place, written
 from .catalog import query
 
 
@@ -123,3 +123,56 @@ def store_fingerprints(spark, sf_dir):
     one, other = (readers.store_fingerprint(x).first().fingerprint for x in (files, files.repartition(3, "length")))
     changed = readers.store_fingerprint(files.withColumn("length", F.when(F.col("length") == 1, 0).otherwise(F.col("length")))).first().fingerprint
     return spark.createDataFrame([(int(one != other) + int(one == changed),)], "differing long")
+
+
+@query("SELECT l_suppkey AS frame, l_suppkey || ':' || (l_partkey % 50 - 1) AS observation_id, 'class_' || (l_partkey % 50 - 1) % 7 AS label, count(*) AS n FROM lineitem WHERE l_partkey % 50 <> 0 GROUP BY ALL")
+def mask_observations(spark, sf_dir):
+    """Each line is a pixel of its supplier's frame."""
+    pixels = bridge.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("frame"), (F.col("l_partkey") % 50).alias("value"))
+    things = spark.range(49).select(F.col("id").alias("object_id"), F.concat(F.lit("class_"), F.col("id") % 7).alias("label"))
+    return segmentation.mask_observations(pixels, things).select("frame", "observation_id", "label", "n")
+
+
+@query("""WITH s AS (SELECT l_partkey AS query, sum(CASE WHEN l_quantity > 25 THEN 1 / (1 + exp(-(l_quantity - 25.0) / 8)) ELSE 0.0 END) / (count(*) FILTER (WHERE l_quantity > 25) + 1e-6) AS m, count(*) FILTER (WHERE l_quantity > 25) AS covered FROM lineitem GROUP BY l_partkey)
+SELECT query, covered, CAST(floor(1e6 * greatest(p_size, 50 - p_size) / 100.0 * m + 0.5) AS BIGINT) AS score_ppm FROM s JOIN part ON p_partkey = query WHERE covered > 12 AND p_size <> 50""")
+def query_scores(spark, sf_dir):
+    """A part is a query, and its lines are its pixels; parts of one size are surely no object."""
+    size = F.when(F.col("p_size") == 50, 0.0).otherwise(1.0)
+    p = bridge.table(spark, sf_dir, "part").select(F.lit(0).alias("chunk"), F.col("p_partkey").alias("query"), F.array(size * F.col("p_size") / 100.0, size * (50 - F.col("p_size")) / 100.0, F.lit(1.0)).alias("probabilities"))
+    pixels = bridge.table(spark, sf_dir, "lineitem").select(F.lit(0).alias("chunk"), F.col("l_partkey").alias("query"), ((F.col("l_quantity").cast("double") - 25.0) / 8).alias("logit"))
+    return segmentation.query_scores(p, pixels, least_pixels=12).select("query", "covered", F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("score_ppm"))
+
+
+@query("""WITH p AS (SELECT vec_id AS query, i - 1 AS i, abs(CAST(embedding[i] AS DOUBLE)) AS p FROM embeddings, range(1, 64) r(i)), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY p DESC, i) AS n, max(p) OVER (PARTITION BY query) AS top FROM p)
+SELECT query, max(CASE WHEN n = 1 THEN 'c' || i END) AS label, string_agg('c' || i || '=' || CAST(floor(1e6 * p / top + 0.5) AS BIGINT), ',' ORDER BY n) FILTER (WHERE n > 1) AS others FROM k WHERE n <= 5 AND query % 5 <> 0 GROUP BY query""")
+def decoded_queries(spark, sf_dir):
+    """Embeddings as probabilities of 63 classes; each fifth has too low a score."""
+    k = F.col("vec_id")
+    rows = bridge.table(spark, sf_dir, "embeddings").select(F.lit(0).alias("chunk"), k.alias("query"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("probabilities"), F.when(k % 5 == 0, 0.049).otherwise(0.05).alias("score"))
+    out = segmentation.decoded_queries(rows, [f"c{i}" for i in range(63)])
+    other = F.transform("label_candidates", lambda x: F.concat(x["label"], F.lit("="), F.floor(x["score"] * 1e6 + 0.5).cast("long")))
+    return out.select("query", "label", F.array_join(other, ",").alias("others"))
+
+
+@query("SELECT frame_id, frame_id || ':' || event_type AS observation_id, event_type AS label, value AS confidence FROM b_frames")
+def stored_observations(spark, sf_dir):
+    """An observation in each frame, stored and read for the same frames."""
+    f = bridge.frames(spark, sf_dir)
+    listed = f.select(F.struct("sequence_id", "position").alias("position"), "frame_id", F.lit(3).alias("h"), F.lit(5).alias("w"))
+    rows = f.select(F.concat_ws(":", "frame_id", "event_type").alias("observation_id"), "frame_id", F.col("event_type").alias("label"), F.col("value").alias("confidence"), F.lit(None).cast("string").alias("track_hint"), F.array(F.struct(F.lit("other").alias("label"), F.lit(0.5).alias("score"))).alias("label_candidates"), F.unhex(F.lit("ffff")).alias("bits"))
+    path = new_place(spark)
+    segmentation.write_observations(listed, rows, path)
+    return segmentation.read_observations(listed, path).select("frame_id", "observation_id", "label", "confidence")
+
+
+@query("SELECT object_id, label, n FROM (SELECT object_id, any_value(label) AS label FROM b_objects GROUP BY object_id) JOIN (SELECT object_id, count(*) AS n FROM b_sightings GROUP BY object_id) USING (object_id)")
+def stored_objects(spark, sf_dir):
+    """Objects and their sightings as observations, stored and read; unseen objects are none."""
+    s = bridge.sightings(spark, sf_dir).select("object_id", F.monotonically_increasing_id().alias("observation_id"))
+    s = written(s)
+    things = bridge.objects(spark, sf_dir).join(s.select("object_id").distinct(), "object_id", "left_semi")
+    members = s.join(things.select("object_id"), "object_id", "left_semi")
+    path = new_place(spark)
+    objects.write_objects(things, s.select("observation_id"), members, s.where("false").select("observation_id", F.lit("no points").alias("reason")), path)
+    saved = objects.read_objects(spark, path)
+    return saved["objects"].join(saved["members"], "object_id").groupBy("object_id", "label").agg(F.count("*").alias("n"))

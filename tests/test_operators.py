@@ -529,3 +529,145 @@ def test_providers_are_asked_once(spark, tmp_path):
     got = links.linked_episodes(turns, things, spark.createDataFrame([(1, "p")], "episode long, prompt string"), provider, provider)
     assert {(r.turn, r.object_id, r.source) for r in got.collect()} == {(1, 10, "llm"), (2, 11, "rule")} and got.count() == 2
     assert (tmp_path / "asked").read_text() == "x"
+
+
+def test_linked_sessions(spark):
+    """Session 1 gets an empty reply and rule links; session 2 an unreadable one and no links; an unlisted object is never linked."""
+    sessions = spark.createDataFrame([(0, 1, "q", 1, "hall"), (0, 2, "q", 2, "hall"), (0, 3, "q", 3, "hall")], "episode long, session long, room string, day long, gloss string")
+    t = [(0, 1, 1, 0, "user", "the cup is here"), (0, 1, 2, 9, "user", "which cup?"), (0, 2, 3, 0, "user", "the cup"), (0, 3, 4, 0, "user", "a coffee table by the box"), (0, 3, 5, 30, "user", "the table")]
+    turns = spark.createDataFrame(t, "episode long, session long, turn long, frame long, speaker string, text string")
+    box = (0.0,) * 9
+    things = [("q", 1, "cup", *box), ("q", 2, "cup", *box), ("q", 3, "coffee table", *box), ("q", 4, "box", *box), ("q", 5, "table", *box), ("q", 6, "table", *box)]
+    o = spark.createDataFrame([(*x, []) for x in things], "room string, object_id long, label string, cx double, cy double, cz double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, alternatives array<string>")
+    seen = spark.createDataFrame([("q", 1, 5), ("q", 2, 900), *(("q", k, 80) for k in (3, 4, 5, 6))], "room string, object_id long, frame long")
+    asked = spark.createDataFrame([(0, 2)], "episode long, turn long")
+
+    def provider(prompt):
+        if "(day 2" in prompt:
+            raise ValueError
+        return [] if "(day 1" in prompt else [{"turn": 4, "object_id": 3, "phrase": "it", "role": "locator"}, {"turn": 4, "object_id": 2}]
+
+    def verifier(prompt):
+        assert "\n\n\nTurns:\n" in prompt
+        return [{"turn": 4, "object_id": 3}, {"turn": 5, "object_id": 6, "fact_bearing": False}] if "(day 3" in prompt else []
+
+    got = {(r.session, r.turn, r.object_id): (r.source, r.fact_bearing) for r in links.linked_sessions(sessions, turns, asked, o, seen, provider, verifier).collect()}
+    # Only cup #1 is listed in session 1, so the class is unique there; the box is a place.
+    assert got == {(1, 1, 1): ("rule", True), (3, 4, 3): ("llm", True), (3, 4, 4): ("rule", False), (3, 5, 6): ("llm-verify", False)}
+
+
+def test_uncovered_takes_the_longest_name(spark):
+    turns = spark.createDataFrame([(0, 1, "q", "Coffee tables, c++ book"), (0, 2, "q", "my table")], "episode long, turn long, room string, text string")
+    o = spark.createDataFrame([("q", 1, "table"), ("q", 2, "coffee table"), ("q", 3, "C++ book")], "room string, object_id long, label string")
+    known = spark.createDataFrame([(0, 1, 3, True), (0, 2, 1, False)], "episode long, turn long, object_id long, fact_bearing boolean")
+    got = sorted((r.turn, r.label) for r in links.uncovered_turns(turns, o, known).collect())
+    assert got == [(1, "coffee table"), (2, "table")]
+
+
+def test_link_scores(spark):
+    schema = "episode long, turn long, object_id long, fact_bearing boolean"
+    gold = spark.createDataFrame([(0, 1, 1, True), (0, 1, 2, False), (0, 2, 3, True), (0, 3, 4, True), (1, 1, 1, True)], schema)
+    learned = spark.createDataFrame([(0, 1, 2, True), (0, 2, 3, True), (0, 9, 9, True), (2, 1, 1, True)], schema)
+    scores = links.link_scores(learned, gold)
+    got = {r.episode: tuple(r)[1:] for r in scores.collect()}
+    assert got[0] == (3, 3, 2, 1, 1, pytest.approx(2 / 3), pytest.approx(1 / 3))
+    assert got[1] == (0, 1, 0, 0, 0, 0.0, 0.0) and got[2] == (1, 0, 0, 0, 0, 0.0, 0.0)
+    assert tuple(links.link_score_total(scores).first()) == (4, 4, 2, 1, 1, 0.5, 0.25)
+
+
+def test_patience():
+    from marlstone.operators.answering import Unavailable, patient
+
+    events, waits, probes = [Unavailable(), KeyError("a"), KeyError("b"), "fine"], [], [False, RuntimeError(), True]
+
+    def step(queue):
+        x = queue.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert patient(lambda p: step(events), lambda: step(probes), sleep=waits.append)("q") == "fine"
+    assert waits == [60.0, 60.0, 60.0, 5.0, 10.0]
+    failing = patient(lambda p: step([ValueError("no")]), lambda: True, sleep=lambda s: None)
+    assert failing("q") == "ERROR: no"
+
+
+def test_asked_once(spark, tmp_path):
+    from marlstone.operators import answering
+
+    log = str(tmp_path / "asked")
+
+    def ask(prompt):
+        with open(log, "a") as f:
+            f.write(prompt)
+        return "ERROR: x" if prompt == "c" else prompt.upper()
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "query_id long, prompt string")
+    first = answering.asked(rows, spark.createDataFrame([], "cache_key string, raw string"), ask, "m")
+    assert {r.query_id: (r.raw, r.cached) for r in first.collect()} == {1: ("A", False), 2: ("A", False), 3: ("B", False), 4: ("ERROR: x", False)}
+    assert sorted(open(log).read()) == ["a", "b", "c"]
+    again = answering.asked(rows, answering.new_replies(first), ask, "m")
+    assert {r.query_id: r.cached for r in again.collect()} == {1: True, 2: True, 3: True, 4: False}
+    assert sorted(open(log).read()) == ["a", "b", "c", "c"]
+
+
+def test_query_chunks_and_ranges(spark, tmp_path):
+    from marlstone.sources import segmentation
+
+    def save(name, **odd):
+        a = dict(positions=np.arange(2), queries=np.array([3, 1]), probabilities=np.ones((2, 3), "f2"), score=np.ones(2, "f4"), maps=np.zeros((2, 2, 4, 4), "u1"))
+        np.savez(tmp_path / name, **{**a, **odd})
+
+    save("chunk_000.npz")
+    got = segmentation.read_query_chunks(spark, str(tmp_path), 4, 2).collect()
+    assert sorted((r.chunk, r.query, len(r.probabilities), r.positions) for r in got) == [(0, 1, 3, [0, 1]), (0, 3, 3, [0, 1])]
+    save("chunk_001.npz", queries=np.array([3, 3]))
+    with pytest.raises(Exception, match="wrong queries"):
+        segmentation.read_query_chunks(spark, str(tmp_path), 4, 2).collect()
+    ranges = spark.createDataFrame([(0, 0, 4), (1, 5, 6), (2, 5, 9), (3, 9, 9)], 'chunk long, start long, "end" long'.replace('"', "`"))
+    got = {r.chunk: r.fault for r in segmentation.range_faults(ranges, 9).collect()}
+    assert got == {1: "gap before the chunk", 2: "chunk overlaps", 3: "chunk is empty"}
+
+
+def test_observation_store_refuses(spark, tmp_path):
+    from marlstone.sources import segmentation
+
+    frames = spark.createDataFrame([(0, "a", 3, 5), (1, "b", 3, 5)], "position long, frame_id string, h long, w long")
+    schema = "observation_id string, frame_id string, label string, confidence double, track_hint string, label_candidates array<struct<label: string, score: double>>, bits binary"
+    good = ("o", "a", "cup", 1.0, "h", [("box", 0.5)], b"ab")
+    save = lambda name, *rows: segmentation.write_observations(frames, spark.createDataFrame(rows, schema), f"{tmp_path}/{name}")
+    save("x", good)
+    assert segmentation.read_observations(frames, f"{tmp_path}/x").first().label == "cup"
+    with pytest.raises(ValueError):
+        segmentation.read_observations(frames.where("position = 0"), f"{tmp_path}/x")
+    for at, value in ((1, "z"), (2, ""), (3, float("nan")), (5, [("cup", 0.1)]), (5, [("box", 0.1), ("box", 0.2)]), (6, b"abc")):
+        with pytest.raises(ValueError):
+            save("y", (*good[:at], value, *good[at + 1 :]))
+    with pytest.raises(ValueError):
+        save("y", good, ("p", *good[1:]))
+    with pytest.raises(Exception, match="EXISTS"):
+        save("x", good)
+
+
+def test_unknown_mask_value_raises(spark):
+    from marlstone.sources import segmentation
+
+    pixels = spark.createDataFrame([(0, 0), (0, 2)], "frame long, value long")
+    with pytest.raises(Exception, match="no object"):
+        segmentation.mask_observations(pixels, spark.createDataFrame([(0, "cup")], "object_id long, label string")).collect()
+
+
+def test_constructed(spark, tmp_path):
+    """Two fragments of one thing with one hint merge; a thing seen once is dropped but stays recorded."""
+    cube = lambda x: [[x + 0.06 * i, 0.06 * j, 0.06 * k] for i in range(8) for j in range(8) for k in range(8)]
+    rows = [(7, 0, "a", "cup", "h", cube(0.0), {"mug": 0.5}), (7, 1, "b", "cup", "h", cube(0.0), {"mug": 0.5}), (7, 2, "c", "mug", "h", cube(0.2), {}), (7, 3, "d", "box", "k", cube(5.0), {}), (7, 4, "e", "box", "k", cube(5.0)[:50], {})]
+    lifted = spark.createDataFrame(rows, "scene long, position long, observation_id string, label string, hint string, points array<array<double>>, scores map<string, double>")
+    things, members = objects.constructed(lifted, least_observations=2)
+    got = things.collect()
+    assert [(r.scene, r.object_id, r.n_observations, r.label) for r in got] == [(7, 0, 3, "cup")]  # equal scores: the first seen
+    assert {r.observation_id for r in members.collect()} == {"a", "b", "c"}
+    seen, none = lifted.select("observation_id"), lifted.where("false").select("observation_id")
+    objects.write_objects(things, seen, members, none, f"{tmp_path}/o")
+    assert objects.read_objects(spark, f"{tmp_path}/o")["members"].count() == 3
+    with pytest.raises(ValueError, match="recorded and skipped"):
+        objects.write_objects(things, seen, members, seen, f"{tmp_path}/p")
