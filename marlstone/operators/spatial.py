@@ -206,3 +206,13 @@ def overlap_fraction(left: DataFrame, right: DataFrame, radius: float, within: l
     near = a.join(b, ["g0", "g1", "g2", *also]).where((F.col("a_object") != F.col("b_object")) & (gap <= radius * radius)).select("a_object", "b_object", "idx").distinct().groupBy("a_object", "b_object").agg(F.count("*").alias("n_near"))
     sizes = left.groupBy(F.col("object_id").alias("a_object")).agg(F.count("*").alias("n_points"))
     return near.join(sizes, "a_object").select("a_object", "b_object", "n_points", "n_near")
+
+
+def in_named_rooms(objects: DataFrame, rooms: DataFrame, name: str) -> DataFrame:
+    """Objects of the rooms of that name, whatever its case. rooms: room, gloss."""
+    return objects.join(rooms.where(F.lower(F.trim("gloss")) == name.strip().lower()), "room", "left_semi")
+
+
+def with_margin(rows: DataFrame, measure: str, threshold: float, slack: float) -> DataFrame:
+    """With margin, by which a measure passes its threshold, and open: it is within the slack, so that estimated geometry can't tell."""
+    return rows.withColumn("margin", F.lit(threshold) - F.col(measure)).withColumn("open", F.abs("margin") <= slack)

@@ -132,3 +132,19 @@ def anchors(frames: DataFrame, most: int) -> DataFrame:
     n = frames.groupBy("sequence_id").agg(F.count("*").alias("n")).withColumn("m", F.least("n", F.lit(most)))
     rows = n.select("sequence_id", "n", "m", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int"))).alias("i"))
     return rows.select("sequence_id", F.floor(F.col("i") * (F.col("n") - 1) / F.greatest(F.lit(1), F.col("m") - 1)).alias("position")).distinct()
+
+
+def standing_points(sightings: DataFrame, cameras: DataFrame) -> DataFrame:
+    """room, object_id, first_frame, px, py, pz: where the camera stood when it first saw an object; no row without a pose there.
+
+    cameras: room, frame, x, y, z.
+    """
+    first = first_sightings(sightings).select("room", "object_id", "first_frame")
+    poses = cameras.select("room", F.col("frame").alias("first_frame"), *(F.col(a).alias(f"p{a}") for a in "xyz"))
+    return first.join(poses, ["room", "first_frame"]).select("room", "object_id", "first_frame", "px", "py", "pz")
+
+
+def seen_either_way(detected: DataFrame, in_sight: DataFrame) -> DataFrame:
+    """room, object_id, frame: sightings by a detection, or by a free line of sight."""
+    columns = ["room", "object_id", "frame"]
+    return detected.select(*columns).unionByName(in_sight.select(*columns)).distinct()

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import align, answering, evidence, facts, leveling, links, objects, scoring, temporal
+from ..operators import align, answering, evidence, facts, leveling, links, objects, scoring, spatial, temporal
 from ..sources import bridge, readers
-from .catalog import _HAS, _NAMED, _SCORED, micro, named_objects, query
+from .catalog import _D, _HAS, _NAMED, _PAIR, _SCORED, clouds, micro, named_objects, query
 
 
 @query("SELECT event_id, value FROM events WHERE value >= 10")
@@ -354,3 +354,38 @@ def transform_checks(spark, sf_dir):
     back = G.composed(G.inverted(turn), G.composed(turn, n(1, 0, 0, -2, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)))
     x = G.applied(back, F.col("p_retailprice"), F.lit(0.0), F.lit(0.0))[0]
     return p.select(F.col("p_partkey").alias("id"), G.is_leveling(turn).alias("leveling"), G.is_resize(scale).alias("resize"), F.floor(1e6 * x).cast("long").alias("x"))
+
+
+@query("SELECT room, object_id, min(frame) AS first_frame, CAST(floor(min(frame) * 0.5 * 1e6 + 0.5) AS BIGINT) AS px FROM b_sightings GROUP BY ALL HAVING min(frame) % 3 <> 1")
+def standing_points(spark, sf_dir):
+    """A third of the frames has no pose."""
+    s = bridge.sightings(spark, sf_dir)
+    cameras = s.where("frame % 3 <> 1").select("room", "frame", (F.col("frame") * 0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(1.5).alias("z")).distinct()
+    return temporal.standing_points(s, cameras).select("room", "object_id", "first_frame", micro("px").alias("px"))
+
+
+@query("SELECT DISTINCT room, object_id, frame FROM b_sightings WHERE frame % 2 = 0 OR frame % 3 = 0")
+def seen_either_way(spark, sf_dir):
+    s = bridge.sightings(spark, sf_dir)
+    return temporal.seen_either_way(s.where("frame % 2 = 0"), s.where("frame % 3 = 0"))
+
+
+@query("SELECT object_id, room FROM b_objects WHERE room % 3 = 0")
+def room_scope(spark, sf_dir):
+    o = bridge.objects(spark, sf_dir)
+    rooms = o.select("room").distinct().withColumn("gloss", F.when(F.col("room") % 3 == 0, "Kitchen ").otherwise("hall"))
+    return spatial.in_named_rooms(o, rooms, "kitchen").select("object_id", "room")
+
+
+@query(f"SELECT a.room, a.object_id AS a_id, b.object_id AS b_id, CAST(floor((1.25 - {_D}) * 1e6 + 0.5) AS BIGINT) AS margin_um, abs(1.25 - {_D}) <= 0.25 AS open {_PAIR} WHERE (a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz) <= 2.25")
+def near_margin(spark, sf_dir):
+    """Pairs up to a slack beyond a threshold of 1.25, with how far each is from it."""
+    rows = spatial.with_margin(spatial.near_pairs(bridge.objects(spark, sf_dir), 1.5), "distance", 1.25, 0.25)
+    return rows.select("room", "a_id", "b_id", micro("margin").alias("margin_um"), "open")
+
+
+@query()
+def constructed_objects(spark, sf_dir):
+    """Objects of every scene's point clouds, from association to tightened boxes."""
+    things, _ = objects.constructed(clouds(spark, sf_dir), least_observations=1)
+    return things.select("scene", "object_id", "label", "n_observations", "n")
