@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -88,16 +89,25 @@ def is_rigid(matrix: Column, tolerance: float = 1e-4) -> Column:
     return F.coalesce((F.size(matrix) == 16) & finite & last & square & (F.abs(det - 1) <= tolerance), F.lit(False))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def inverted(matrix: Column) -> Column:
     """The inverse of a rigid transform: the rotation's transpose, and the shift turned back."""
-    m = lambda r, c: matrix[4 * r + c]
-    rows = [[m(0, r), m(1, r), m(2, r), -(m(0, r) * m(0, 3) + m(1, r) * m(1, 3) + m(2, r) * m(2, 3))] for r in range(3)]
-    return F.array(*(v for row in rows for v in row), *(F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)))
+
+    def body(m: Column) -> Column:
+        rows = [[m[r], m[4 + r], m[8 + r], -(m[r] * m[3] + m[4 + r] * m[7] + m[8 + r] * m[11])] for r in range(3)]
+        return F.array(*(v for row in rows for v in row), *(F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)))
+
+    return once(matrix, body)
 
 
 def composed(first: Column, then: Column) -> Column:
     """The 4x4 transform that does `first`, and `then` after it."""
-    return F.array(*(sum((then[4 * r + k] * first[4 * k + c] for k in range(1, 4)), then[4 * r] * first[c]) for r in range(4) for c in range(4)))
+    entry = lambda m, r, c: reduce(lambda p, q: p + q, (m["then"][4 * r + k] * m["first"][4 * k + c] for k in range(4)))
+    return once(F.struct(first.alias("first"), then.alias("then")), lambda m: F.array(*(entry(m, r, c) for r in range(4) for c in range(4))))
 
 
 def is_leveling(matrix: Column) -> Column:

@@ -352,8 +352,9 @@ def transform_checks(spark, sf_dir):
     turn = n(0, -1, 0, F.when(F.col("p_size") % 2 == 0, 0.0).otherwise(1.0), 1, 0, 0, 0, 0, 0, 1, 2, 0, 0, 0, 1)
     scale = n(2, F.when(F.col("p_size") % 3 == 0, 0.0).otherwise(0.5), 0, 0, 3, 0, 0, 0, 1)
     back = G.composed(G.inverted(turn), G.composed(turn, n(1, 0, 0, -2, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)))
-    x = G.applied(back, F.col("p_retailprice"), F.lit(0.0), F.lit(0.0))[0]
-    return p.select(F.col("p_partkey").alias("id"), G.is_leveling(turn).alias("leveling"), G.is_resize(scale).alias("resize"), F.floor(1e6 * x).cast("long").alias("x"))
+    rows = p.select("p_partkey", "p_retailprice", turn.alias("turn"), scale.alias("scale"), back.alias("back"))
+    x = G.applied(F.col("back"), F.col("p_retailprice"), F.lit(0.0), F.lit(0.0))[0]
+    return rows.select(F.col("p_partkey").alias("id"), G.is_leveling(F.col("turn")).alias("leveling"), G.is_resize(F.col("scale")).alias("resize"), F.floor(1e6 * x).cast("long").alias("x"))
 
 
 @query("SELECT room, object_id, min(frame) AS first_frame, CAST(floor(min(frame) * 0.5 * 1e6 + 0.5) AS BIGINT) AS px FROM b_sightings GROUP BY ALL HAVING min(frame) % 3 <> 1")
