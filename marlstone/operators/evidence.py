@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.geometry import squared_distance
+from . import spatial
+
 # Fixed values.
 MOST_ALIASES, LEAST_ALIAS_SCORE, LEAST_ALIAS_SHARE = 2, 2.0, 0.10
 VOXEL = 0.05
@@ -43,9 +46,9 @@ def voxel_reduced(points: DataFrame, size: float = VOXEL, key: str = "object_id"
 
 def neighbour_means(points: DataFrame, neighbours: int = NEIGHBOURS, key: str = "object_id") -> DataFrame:
     """Points with spread: the mean distance to the nearest others of the object; null for a point that has no other."""
-    a, b = points.alias("a"), points.alias("b")
-    gap = F.sqrt(sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"))
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.idx") != F.col("b.idx"))).select(*(F.col(f"a.{c}").alias(c) for c in points.columns), gap.alias("gap"), F.col("b.idx").alias("other"))
+    places = points.select(key, "idx", "x", "y", "z")
+    found = spatial.nearest_join(places, places, [key], neighbours, "idx", VOXEL, ("x", "y", "z"))
+    pairs = found.select(F.col(f"a.{key}").alias(key), F.col("a.idx").alias("idx"), F.sqrt(squared_distance("a", "b", ("x", "y", "z"))).alias("gap"), F.col("b.idx").alias("other"))
     nearest = pairs.withColumn("_n", F.row_number().over(W.partitionBy(key, "idx").orderBy("gap", "other"))).where(F.col("_n") <= neighbours)
     spread = nearest.groupBy(key, "idx").agg(F.avg("gap").alias("spread"))
     return points.join(spread, [key, "idx"], "left").select(*points.columns, "spread")

@@ -17,6 +17,8 @@ NEAR_RADIUS = 1.5
 CONTACT_GAP = 0.12
 ON_SHARE, ABOVE_SHARE = 0.5, 0.25
 ASSIGN_RADIUS = 1.0
+# Cells of the search for nearest rows: their width for objects, and levels of them before all of a key's rows.
+NEAREST_CELL, LEVELS = 0.5, 4
 # Classes that can hold things.
 HOLDING_CLASSES = ("table", "desk", "counter", "shelf", "cabinet", "bed", "couch", "chair")
 
@@ -38,6 +40,35 @@ def spatial_join(left: DataFrame, right: DataFrame, radius: float, keys: list[st
     return a.join(b, [*keys, "g0", "g1", "g2"]).select("a", "b").where(squared_distance("a", "b", names) <= radius * radius)
 
 
+def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], most: int, same: str, cell: float = NEAREST_CELL, names: tuple[str, ...] = ("cx", "cy", "cz")) -> DataFrame:
+    """Pairs a, b (structs) of equal keys, among them each left row's `most` nearest right rows that differ in `same`.
+
+    Both sides have the columns keys, same and names. Cells of a level are four times as wide as those of the level
+    below; the last level is all rows of the keys. A left cell takes the lowest level at which the 27 cells about it
+    hold more than `most` rows. Those lie within sqrt(12) of its cells, so the 27 cells of the level above hold the
+    nearest. Only counts by cell are joined to find the level, so a crowded key is dealt by cells.
+    """
+    grid = ["g0", "g1", "g2"]
+    wider = lambda df: df.select(*(c for c in df.columns if c not in grid), *(F.expr(f"if(level = {LEVELS}, 0L, shiftright({g}, 2 * level))").alias(g) for g in grid))
+    levels = lambda df, first, last: wider(df.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last)))))
+
+    def about(df: DataFrame) -> DataFrame:
+        step = F.explode(F.when(F.col("level") == LEVELS, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))))
+        for g in grid:
+            df = df.withColumn("_step", step).withColumn(g, F.col(g) + F.col("_step")).drop("_step")
+        return df
+
+    a, b = celled(left, cell, names), celled(right, cell, names)
+    own = a.select(*keys, *grid)
+    held = levels(b.select(*keys, *grid), 0, LEVELS - 1).groupBy(*keys, "level", *grid).agg(F.count("*").alias("n"))
+    at = F.struct(*grid).alias("at")
+    near = about(levels(own, 0, LEVELS - 1).distinct().withColumn("at", at)).join(held, [*keys, "level", *grid]).groupBy(*keys, "level", "at").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    lowest = levels(own.distinct().withColumn("cell", at), 0, LEVELS - 1).withColumn("at", at).join(near, [*keys, "level", "at"]).groupBy(*keys, "cell").agg((F.min("level") + 1).alias("level"))
+    leveled = a.select(F.struct(*left.columns).alias("a"), *keys, *grid).withColumn("cell", at).join(lowest, [*keys, "cell"], "left").withColumn("level", F.coalesce("level", F.lit(LEVELS))).drop("cell")
+    found = levels(b.select(F.struct(*right.columns).alias("b"), *keys, *grid), 1, LEVELS)
+    return about(wider(leveled)).join(found, [*keys, "level", *grid]).select("a", "b").where(F.col(f"a.{same}") != F.col(f"b.{same}"))
+
+
 def same_room(left: DataFrame, right: DataFrame, also: Column | None = None) -> DataFrame:
     """Pairs a, b of different objects of a room."""
     a, b = left.alias("a"), right.alias("b")
@@ -67,7 +98,8 @@ def near_pairs(objects: DataFrame, radius: float = NEAR_RADIUS) -> DataFrame:
 
 def nearest_class(objects: DataFrame, label: str) -> DataFrame:
     """object_id, room, nearest_id, distance: the nearest other object of a class in the room; no row without one."""
-    pairs = same_room(objects, objects.where(F.col("label") == label).select("object_id", "room", "cx", "cy", "cz"))
+    places = objects.select("object_id", "room", "cx", "cy", "cz", "label")
+    pairs = nearest_join(places.drop("label"), places.where(F.col("label") == label).drop("label"), ["room"], 1, "object_id")
     best = pairs.groupBy(F.col("a.object_id").alias("object_id"), F.col("a.room").alias("room")).agg(F.min(F.struct(distance("a", "b").alias("distance"), F.col("b.object_id").alias("nearest_id"))).alias("best"))
     return best.select("object_id", "room", "best.nearest_id", "best.distance")
 
@@ -159,9 +191,11 @@ def moved(objects: DataFrame, movers: DataFrame, destinations: DataFrame) -> Dat
 def nearer_after_move(objects: DataFrame, movers: DataFrame, destinations: DataFrame) -> DataFrame:
     """room, object_id: objects whose nearest mover is nearer after the move than before."""
     m = moved(objects, movers, destinations)
-    both = objects.select("object_id", "room", "cx", "cy", "cz").alias("o").join(m.join(movers.select("object_id", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("cz").alias("bz")), "object_id").alias("m"), (F.col("o.room") == F.col("m.room")) & (F.col("o.object_id") != F.col("m.object_id")))
-    gap = lambda x, y, z: (F.col("o.cx") - F.col(x)) * (F.col("o.cx") - F.col(x)) + (F.col("o.cy") - F.col(y)) * (F.col("o.cy") - F.col(y)) + (F.col("o.cz") - F.col(z)) * (F.col("o.cz") - F.col(z))
-    least = both.groupBy(F.col("o.object_id").alias("object_id"), F.col("o.room").alias("room")).agg(F.min(gap("m.bx", "m.by", "m.bz")).alias("before"), F.min(gap("m.mx", "m.my", "m.mz")).alias("after"))
+    places = objects.select("object_id", "room", "cx", "cy", "cz")
+    after = m.toDF("object_id", "room", "cx", "cy", "cz")
+    before = places.join(m.select("object_id"), "object_id", "left_semi")
+    least = lambda to, name: nearest_join(places, to, ["room"], 1, "object_id").groupBy("a.object_id", "a.room").agg(F.min(squared_distance("a", "b")).alias(name))
+    least = least(before, "before").join(least(after, "after"), ["object_id", "room"])
     return least.where("after < before").select("room", "object_id")
 
 
