@@ -1,6 +1,7 @@
 """Readers and writers of episodes, scenes, geometry and results.
 
-Files are opened by Spark's readers alone, so any store it reaches will do. Written tables refuse to overwrite and
+Files are opened by Spark's readers, so any store it reaches will do; only recorded streams, which outgrow one value,
+are read in place by Arrow. Written tables refuse to overwrite and
 end with a _SUCCESS marker.
 """
 
@@ -12,9 +13,11 @@ import re
 import struct
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,6 +115,10 @@ def parsed_files(spark: SparkSession, path: str, parse: Callable[[str, bytes], p
     return files.mapInPandas(run, schema)
 
 
+# Fixed values of recorded streams: the version, and the code of JPEG colour.
+SENS_VERSION, SENS_JPEG = 4, 2
+SENS_BATCH = 16
+
 PLY_TYPES = {"float": "f4", "float32": "f4", "double": "f8", "uchar": "u1", "uint8": "u1", "char": "i1", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "short": "i2", "ushort": "u2"}
 
 
@@ -136,25 +143,67 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     return parsed_files(spark, path, parse_ply, "path string, idx long, x double, y double, z double", "*.ply")
 
 
-def parse_sens(path: str, data: bytes) -> pd.DataFrame:
-    """position and camera_to_world (16) of each frame of a recorded stream of version 4; null if it is not finite."""
-    version, name = struct.unpack_from("<IQ", data)
-    if version != 4:
-        raise ValueError(f"{path} has version {version}")
-    at = 12 + name + 4 * 64 + 4 + 4 + 4 * 4 + 4
-    (count,) = struct.unpack_from("<Q", data, at)
-    at += 8
-    rows = []
-    for i in range(count):
-        pose = np.frombuffer(data, "<f4", 16, at)
-        _, _, colour, depth = struct.unpack_from("<QQQQ", data, at + 64)
-        rows.append((path, i, pose.astype(float).tolist() if np.isfinite(pose).all() else None))
-        at += 64 + 32 + colour + depth
-    return pd.DataFrame(rows, columns=["path", "position", "camera_to_world"])
+def opened(path: str):
+    """A stream of one file, read in place, in any store that Arrow opens."""
+    store, place = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return store.open_input_file(place)
+
+
+def recorded(path: str, images: bool) -> Iterator[tuple[str, int, list[float] | None, bytes | None]]:
+    """path, position, camera_to_world (16; null if it is not finite) and, if asked, the JPEG of each frame of a recorded stream.
+
+    One frame is held at a time. Streams of another version than 4, images that are no whole JPEG, and streams that end
+    before their last frame are errors.
+    """
+    with opened(path) as stream:
+        def fields(layout: str) -> tuple:
+            data = stream.read(struct.calcsize(layout))
+            if len(data) < struct.calcsize(layout):
+                raise ValueError(f"{path} ends early")
+            return struct.unpack(layout, data)
+
+        version, name = fields("<IQ")
+        if version != SENS_VERSION:
+            raise ValueError(f"{path} has version {version}")
+        stream.seek(name + 4 * 64, 1)
+        kind = fields("<2I4If")[0]
+        if images and kind != SENS_JPEG:
+            raise ValueError(f"{path} has colour of kind {kind}, not JPEG")
+        for i in range(fields("<Q")[0]):
+            *pose, _, _, colour, depth = fields("<16f4Q")
+            image = None
+            if images:
+                image = stream.read(colour)
+                if not (image.startswith(b"\xff\xd8") and image.endswith(b"\xff\xd9")):
+                    raise ValueError(f"{path}: frame {i} is not a whole JPEG")
+            end = stream.tell() + depth + (0 if images else colour)
+            if end > stream.size():
+                raise ValueError(f"{path} ends early")
+            stream.seek(end)
+            yield path, i, pose if np.isfinite(pose).all() else None, image
+
+
+def read_sens(spark: SparkSession, path: str, images: bool) -> DataFrame:
+    """path, position, camera_to_world, image: the frames of recorded streams, a stream at a time in each task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["path"]:
+                rows = recorded(name, images)
+                while some := list(islice(rows, SENS_BATCH)):
+                    yield pd.DataFrame(some, columns=["path", "position", "camera_to_world", "image"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sens").load(path).select("path")
+    return files.mapInPandas(run, "path string, position long, camera_to_world array<double>, image binary")
 
 
 def read_sens_poses(spark: SparkSession, path: str) -> DataFrame:
-    return parsed_files(spark, path, parse_sens, "path string, position long, camera_to_world array<double>", "*.sens")
+    return read_sens(spark, path, False).drop("image")
+
+
+def read_sens_images(spark: SparkSession, path: str) -> DataFrame:
+    """path, position, name (`000000.jpg`, from 0 on), image: the colour frames byte for byte as they were recorded."""
+    return read_sens(spark, path, True).select("path", "position", F.format_string("%06d.jpg", "position").alias("name"), "image")
 
 
 def parse_depth(path: str, data: bytes) -> pd.DataFrame:
