@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -390,3 +391,24 @@ def constructed_objects(spark, sf_dir):
     """Objects of every scene's point clouds, from association to tightened boxes."""
     things, _ = objects.constructed(clouds(spark, sf_dir), least_observations=1)
     return things.select("scene", "object_id", "label", "n_observations", "n")
+
+
+@query("SELECT DISTINCT room, 'floor' AS source, TRUE AS upright, TRUE AS on_floor FROM b_objects")
+def level_scene(spark, sf_dir):
+    """A floor and two walls in every room, tilted by an angle of its own; whether leveling turns them back."""
+    rooms = bridge.objects(spark, sf_dir).select("room").distinct().withColumn("tilt", 0.05 + F.col("room") / 100)
+    side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    grid = rooms.select("*", side(50).alias("i")).select("*", side(50).alias("j"))
+    step = lambda c: F.col(c) * 0.08
+    low = grid.where("j <= 30")
+    nothing = F.lit(0.0)
+    sheets = [grid.select("room", "tilt", step("i"), step("j"), nothing), low.select("room", "tilt", nothing, step("i"), step("j")), low.select("room", "tilt", step("i"), nothing, step("j"))]
+    points = reduce(DataFrame.union, sheets).toDF("room", "tilt", "x", "y", "z")
+    sin, cos = F.sin("tilt"), F.cos("tilt")
+    tilted = lambda df: df.select(F.col("room").alias("scene"), "x", (F.col("y") * cos - F.col("z") * sin).alias("y"), (F.col("y") * sin + F.col("z") * cos).alias("z"), nothing.alias("ux"), (-sin).alias("uy"), cos.alias("uz"))
+    cameras = rooms.select("room", "tilt", side(9).alias("i")).select("room", "tilt", (1 + step("i")).alias("x"), F.lit(2.0).alias("y"), F.lit(1.4).alias("z"))
+    found = leveling.leveled(tilted(points).select("scene", "x", "y", "z"), tilted(cameras))
+    m = lambda i: F.col("transform")[i]
+    both = found.join(rooms.withColumnRenamed("room", "scene"), "scene")
+    middle = m(9) * 2 * cos + m(10) * 2 * sin + m(8) * 2 + m(11)
+    return both.select(F.col("scene").alias("room"), "source", (m(10) * cos - m(9) * sin > 0.9999).alias("upright"), (F.abs(middle) < 0.03).alias("on_floor"))
