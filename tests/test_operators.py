@@ -671,3 +671,43 @@ def test_constructed(spark, tmp_path):
     assert objects.read_objects(spark, f"{tmp_path}/o")["members"].count() == 3
     with pytest.raises(ValueError, match="recorded and skipped"):
         objects.write_objects(things, seen, members, seen, f"{tmp_path}/p")
+
+
+def test_nearest_join_against_all_pairs(spark):
+    """Crowded and lone places, two keys, rows too few for the number asked, and places far from all."""
+    random = np.random.default_rng(5)
+    spots = np.concatenate([random.normal(0, 0.3, (60, 3)), random.normal(40, 5, (25, 3)), [[-900.0, 3, 2], [5000.0, 0, 0]]])
+    rows = [(int(i % 7 == 0), i, *map(float, p)) for i, p in enumerate(spots)] + [(2, 500, 0.0, 0.0, 0.0), (2, 501, 9.0, 0.0, 0.0), (3, 600, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, id long, x double, y double, z double")
+    for most, right in ((1, df), (4, df), (1, df.where("id % 5 = 0"))):
+        pairs = spatial.nearest_join(df, right, ["k"], most, "id", 0.5, ("x", "y", "z")).select("a.id", F.col("b.id").alias("other"), F.expr("pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)").alias("d")).collect()
+        assert len(pairs) == len({(r.id, r.other) for r in pairs}) < len(df.collect()) ** 2
+        ids = {r.id for r in right.collect()}
+        for k, i, *p in rows:
+            away = sorted((sum((u - v) ** 2 for u, v in zip(p, q)), j) for kk, j, *q in rows if kk == k and j != i and j in ids)
+            assert [j for _, j in sorted((r.d, r.other) for r in pairs if r.id == i)[:most]] == [j for _, j in away[:most]]
+
+
+def sens_file(place, frames, kind=2, version=4, cut=0):
+    data = struct.pack("<IQ", version, 3) + b"cam" + bytes(256) + struct.pack("<2I4If", kind, 1, 8, 8, 8, 8, 1000.0) + struct.pack("<Q", len(frames))
+    for pose, image in frames:
+        data += np.array(pose, "<f4").tobytes() + struct.pack("<4Q", 0, 0, len(image), 5) + image + b"depth"
+    place.write_bytes(data[: len(data) - cut])
+
+
+def test_recorded_streams(spark, tmp_path):
+    whole, eye = b"\xff\xd8" + b"x" * 40 + b"\xff\xd9", np.eye(4).ravel()
+    good = tmp_path / "good"
+    good.mkdir()
+    frames = [(eye * (np.nan if i == 3 else 1), whole[:2] + bytes([i]) + whole[3:]) for i in range(20)]
+    sens_file(good / "a.sens", frames)
+    sens_file(good / "empty.sens", [])
+    got = sorted(readers.read_sens_images(spark, str(good)).collect(), key=lambda r: r.position)
+    assert [(r.name, bytes(r.image)) for r in got] == [(f"{i:06d}.jpg", f[1]) for i, f in enumerate(frames)]
+    poses = {r.position: r.camera_to_world for r in readers.read_sens_poses(spark, str(good)).collect()}
+    assert poses[3] is None and poses[4] == list(eye) and len(poses) == 20
+    for name, frames, how in (("raw", [(eye, whole)], {"kind": 0}), ("torn", [(eye, whole[:-1])], {}), ("old", [(eye, whole)], {"version": 3}), ("cut", [(eye, whole)], {"cut": 2})):
+        (tmp_path / name).mkdir()
+        sens_file(tmp_path / name / "a.sens", frames, **how)
+        with pytest.raises(Exception, match="JPEG|version|ends early"):
+            readers.read_sens_images(spark, str(tmp_path / name)).collect()
