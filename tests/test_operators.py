@@ -711,3 +711,13 @@ def test_recorded_streams(spark, tmp_path):
         sens_file(tmp_path / name / "a.sens", frames, **how)
         with pytest.raises(Exception, match="JPEG|version|ends early"):
             readers.read_sens_images(spark, str(tmp_path / name)).collect()
+
+
+def test_near_fraction_against_all_pairs(monkeypatch):
+    random = np.random.default_rng(1)
+    for most in (1 << 20, 7):
+        monkeypatch.setattr(objects, "CANDIDATES", most)
+        for _ in range(60):
+            p, q = (random.normal(0, random.choice([0.1, 1, 5]), (random.integers(1, 60), 3)) for _ in range(2))
+            radius = random.choice([0.05, 0.2, 1])
+            assert objects.near_fraction(p, q, radius) == (((p[:, None] - q[None]) ** 2).sum(2) <= radius * radius).any(1).mean()
