@@ -22,7 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in some language, with the predicted one where `lang` is null; null texts and texts without a letter go."""
+    """Keeps documents in some language, with the one found in the text as `lang`, by which packing goes; null texts and texts without a letter go."""
     return keep_identified(docs)
 
 
@@ -42,8 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
-    return pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Packs what is left into sequences of 2048 tokens, each of one language."""
+    return pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), by_col="lang")
 
 
 STAGES: list[tuple[str, Stage]] = [

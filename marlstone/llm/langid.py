@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,13 +112,13 @@ class KernelClassifier:
 
     def presence(self, texts: list[bytes]) -> np.ndarray:
         if self._place is None:
-            self._place = np.full(GRAM_CODES, len(self.codes), np.int32)
-            self._place[self.codes] = np.arange(len(self.codes), dtype=np.int32)
+            self._place = np.zeros(GRAM_CODES, np.int32)  # 0: not a code; untouched zeros take no memory
+            self._place[self.codes] = np.arange(1, len(self.codes) + 1, dtype=np.int32)
         out = np.zeros((len(texts), len(self.codes) + 1), np.float32)
         for row, text in zip(out, texts):
             for part in parts(text):
                 row[self._place[grams(part)]] = 1
-        return out[:, :-1]
+        return out[:, 1:]
 
     @staticmethod
     def norms(presence: np.ndarray) -> np.ndarray:
@@ -236,10 +237,11 @@ def identify_languages(docs: DataFrame, model: KernelClassifier | None = None, i
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` in some language, with all their columns; `lang` is the predicted language where it was null.
+    """The rows of `docs` in some language, with all their columns; `lang` is the language that the model finds in the whole text.
 
-    Null texts and texts without a letter are rejected, and nothing else: where nothing could be learned, the others
-    stay as they are. Nothing is shuffled but the training rows.
+    A label that the model hasn't learned (beyond MOST_LANGUAGES, or of held-out rows alone) stays, as the model can't
+    judge it. Null texts and texts without a letter are rejected, and nothing else: where nothing could be learned, the
+    others stay as they are. Nothing is shuffled but the training rows.
     """
     model = fit(docs, id_col, text_col, lang_col)
     kept = docs.where(lettered(F.col(text_col)))
@@ -250,13 +252,13 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = shared.value
+        learned = set(classifier.languages)
         for batch in batches:
             texts, langs = batch.column(text_col), batch.column(lang_col).to_pylist()
-            unknown = [i for i, x in enumerate(langs) if x is None]
-            rows = texts.take(pa.array(unknown, pa.int64()))
-            for a, b in slices([len(x.as_py()) for x in rows]):
-                for i, x in zip(unknown[a:b], classifier.predict(rows.slice(a, b - a).to_pylist())[0]):
-                    langs[i] = x
+            for a, b in slices(pc.binary_length(texts).to_pylist()):
+                for i, x in enumerate(classifier.predict(texts.slice(a, b - a).to_pylist())[0], a):
+                    if langs[i] is None or langs[i] in learned:
+                        langs[i] = x
             yield batch.set_column(at, batch.schema.field(at), pa.array(langs, batch.schema.field(at).type))
 
     return kept.mapInArrow(tidy(label), docs.schema)

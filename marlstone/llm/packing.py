@@ -24,6 +24,8 @@ OPEN_WINDOWS = 16
 SMALL_GAP = 16
 #: Partitions whose leftovers are merged in one task.
 MERGED_TOGETHER = 64
+#: Parts that the values of `by_col` are dealt into for merging.
+BUCKETS = 64
 #: Bytes of known words and their token ids that a worker remembers; beyond it the memory starts anew.
 REMEMBERED_BYTES = 40 << 20
 LONGEST_REMEMBERED = 64
@@ -145,10 +147,10 @@ def encoder(path: str) -> WordEncoder:
 
 
 class Packer:
-    """Open windows of one partition, by rising fill. A window is [fill, pieces]; a piece is (doc_id, start, length, crc, doc_tokens)."""
+    """Open windows of one partition and group, by rising fill. A window is [fill, pieces]; a piece is (doc_id, start, length, crc, doc_tokens, group)."""
 
-    def __init__(self, capacity: int, windows: int, small_gap: int = SMALL_GAP):
-        self.capacity, self.windows, self.small_gap = capacity, windows, small_gap
+    def __init__(self, capacity: int, windows: int, small_gap: int = SMALL_GAP, group: str | None = None):
+        self.capacity, self.windows, self.small_gap, self.group = capacity, windows, small_gap, group
         self.open: list[list] = []
         self.done: list[list] = []
 
@@ -168,7 +170,7 @@ class Packer:
 
     def add(self, doc_id, view: memoryview) -> None:
         total, start = len(view) // 4, 0
-        piece = lambda length: (doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), total)
+        piece = lambda length: (doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), total, self.group)
         while total - start >= self.capacity:
             self.done.append([self.capacity, [piece(self.capacity)]])
             start += self.capacity
@@ -194,8 +196,8 @@ def _fill(window: list) -> int:
     return window[0]
 
 
-def pack_tokens(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, windows: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack_tokens(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, windows: int = OPEN_WINDOWS, id_col: str = "doc_id", text_col: str = "text", by_col: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and `by_col` if one is named.
 
     A document is its token ids and then `end_id`. Each partition keeps `windows` open windows: what reaches the
     capacity fills sequences of its own, a remainder goes to the open window it fits best, and when it fits none
@@ -205,17 +207,21 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
     `windows` emptiest of them to the next level. So no task gets more than windows * MERGED_TOGETHER windows, however
     many partitions there are. Every token lies in exactly one piece.
 
+    With `by_col`, say a language, a sequence holds documents of one value of it; null is a value. Each value has open
+    windows of its own, so these numbers hold for a value, and BUCKETS deals the values to more merging tasks.
+
     Null and empty texts are one token, `end_id`. Very long texts are encoded in parts. Repeated rows are packed each. Sequence ids are unique, not
     gapless. Other columns are not read. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"))
+    by = F.col(by_col) if by_col else F.lit(None)
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("body"), by.cast("string").alias("by"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "left_by"]
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, left_by long"
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "by", "sequence_id", "offset", "left_by"]
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, by string, sequence_id long, offset long, left_by long"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
-        words, packer = encoder(tokenizer_path), Packer(capacity, windows)
+        words, packers = encoder(tokenizer_path), {}
 
         def taken(filled: list[list], left_by: int | None) -> pa.RecordBatch:
             nonlocal serial
@@ -227,35 +233,44 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
                         column.append(value)
                     offset += p[2]
                 serial += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [id_type, *[pa.int64()] * 7])], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
-        id_type = pa.int64()
+        types = [pa.int64()] * 5 + [pa.string()] + [pa.int64()] * 3
+        done: list[list] = []
         for batch in batches:
-            id_type = batch.column("doc_id").type
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("body")
+            types[0] = batch.column("doc_id").type
+            ids, groups, texts = batch.column("doc_id").to_pylist(), batch.column("by").to_pylist(), batch.column("body")
             for k, view in words.documents(texts, batch.column("size").to_pylist(), end_id):
-                packer.add(ids[k], view)
-                if len(packer.done) >= 512:
-                    yield taken(packer.done, None)
-                    packer.done = []
-            yield taken(packer.done, None)
-            packer.done = []
-        if packer.open:
-            yield taken(packer.open, part)
+                if groups[k] not in packers:
+                    packers[groups[k]] = Packer(capacity, windows, group=groups[k])
+                    packers[groups[k]].done = done
+                packers[groups[k]].add(ids[k], view)
+                if len(done) >= 512:
+                    yield taken(done, None)
+                    done.clear()
+            yield taken(done, None)
+            done.clear()
+        still = [window for packer in packers.values() for window in packer.open]
+        for a in range(0, len(still), 512):
+            yield taken(still[a : a + 512], part)
 
     def merge(level: int, last: bool):
         def merged(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-            packer = Packer(capacity, 0)
-            rest = pieces.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-            for p in rest[names[:5]].itertuples(index=False, name=None):
-                packer.add_whole(p)
-            still = 0 if last else windows
+            bucket, group = map(int, key)
+            first = (level << 56) + (bucket << 48) + (group << 24)
+            serial, still = 0, 0 if last else windows
             out = []
-            for serial, (_, placed) in enumerate([*packer.open, *packer.done]):
-                offset = 0
-                for p in placed:
-                    out.append((*p, (level << 56) + (int(key[0]) << 24) + serial, offset, key[0] if serial < still else None))
-                    offset += p[2]
+            for _, own in pieces.groupby("by", dropna=False):
+                packer = Packer(capacity, 0)
+                rest = own.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+                for p in rest[names[:6]].itertuples(index=False, name=None):
+                    packer.add_whole(p)
+                for n, (_, placed) in enumerate([*packer.open, *packer.done]):
+                    offset = 0
+                    for p in placed:
+                        out.append((*p, first + serial, offset, group if n < still else None))
+                        offset += p[2]
+                    serial += 1
             return pd.DataFrame(out, columns=names).astype({"left_by": "Int64"})
 
         return merged
@@ -263,11 +278,12 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
     pieces = stored(rows.withColumn("size", F.octet_length("body")).mapInArrow(tidy(pack), schema))
     packed = pieces.where("left_by is null")
     leaving, level = pieces.where("left_by is not null"), 0
+    bucket = F.pmod(F.xxhash64("by"), F.lit(BUCKETS)).alias("bucket")
     most = leaving.agg(F.max("left_by")).first()[0]
     while most is not None:
         level, most = level + 1, most // MERGED_TOGETHER
         group = F.floor(F.col("left_by") / MERGED_TOGETHER).alias("g")
-        level_pieces = stored(leaving.groupBy(group).applyInPandas(merge(level, most == 0), schema))
+        level_pieces = stored(leaving.groupBy(bucket, group).applyInPandas(merge(level, most == 0), schema))
         packed, leaving = packed.unionByName(level_pieces.where("left_by is null")), level_pieces.where("left_by is not null")
         most = most or None
-    return packed.drop("left_by")
+    return packed.select(*names[:5], "sequence_id", "offset", *([F.col("by").alias(by_col)] if by_col else []))

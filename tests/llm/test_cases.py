@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -304,6 +305,43 @@ def test_pipeline_edges(spark, tmp_path, labelled, items):
     assert sorted(r.doc_id or 0 for r in got) == [0, 2] + [6] * (1 - items)
 
 
+def test_languages_found_in_the_first_stage_reach_packing(spark, tmp_path):
+    """A third of the texts has no label, a few have a wrong one, one has a language of too few rows to learn."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = {x: ["".join(rng.choice(abc) for _ in range(5)) for _ in range(200)] for x, abc in (("aa", "abcdefg"), ("bb", "mnopqrs"))}
+    true = {i: ("aa", "bb")[i % 2] for i in range(240)}
+    labels = {i: None if i % 3 == 0 else "bb" if i in (1, 2, 50) else "aa" if i in (5, 7) else x for i, x in true.items()}
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 == 2)
+    true[held] = labels[held] = "rare"
+    rows = [(i, " ".join(rng.choices(words.get(x, ["odd", "other"]), k=60)), labels[i], "s", 1) for i, x in true.items()]
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert dict(zip(got.doc_id, got.lang)) == true
+    assert got.groupby("sequence_id").lang.nunique().eq(1).all() and got.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_packing_by_a_column(spark, monkeypatch):
+    """Groups and null apart, through three levels of merging; no token is lost and no id given twice."""
+    monkeypatch.setattr(packing, "MERGED_TOGETHER", 2)
+    monkeypatch.setattr(packing, "BUCKETS", 2)
+    rng = random.Random(9)
+    rows = [(i, " ".join("".join(rng.choices("abcdefg", k=4)) for _ in range(rng.choice([3, 40, 300]))), rng.choice(["x", "y", "z", None])) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string").repartition(7)
+    got = packing.pack_tokens(docs, WORD_BPE, windows=2, by_col="kind").toPandas()
+    alone = packing.pack_tokens(docs, WORD_BPE).toPandas()
+    assert list(got.columns) == [*alone.columns, "kind"]
+    assert got.groupby("doc_id").length.sum().to_dict() == alone.groupby("doc_id").length.sum().to_dict()
+    kinds = {i: x for i, _, x in rows}
+    assert all((x if isinstance(x, str) else None) == kinds[i] for i, x in zip(got.doc_id, got.kind))
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 2048 and g.kind.nunique(dropna=False) == 1
+    for _, g in got.groupby("kind", dropna=False):
+        assert g.sequence_id.nunique() <= g.length.sum() / 2048 * 1.25 + 2
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
