@@ -1,10 +1,11 @@
 """Operators whose work or memory grew faster than their input: the same rows as by force, and plans that deal the work."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import evidence
+from marlstone.operators import evidence, objects
 from marlstone.plans import catalog
 
 
@@ -38,3 +39,39 @@ def test_depth_core_by_force(spark, monkeypatch, radius):
     for given, together in ((rows.repartition(5), False), (rows.coalesce(1), True)):
         assert {(r.frame_id, r.row, r.col) for r in evidence.depth_core(given, radius, together=together).collect()} == core_by_force(cells, radius)
     assert "Generate" not in evidence.depth_core(rows, radius)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merging_looks_at_few_pairs(spark, monkeypatch):
+    """Fragments at one place, four a frame: few groups, each of which meets each fragment once."""
+    random = np.random.default_rng(3)
+    n = 200
+    points = [(random.uniform(-0.05, 0.05, (30, 3)) + random.normal(0, 0.1, 3)).ravel() for _ in range(n)]
+    table = pa.table({"object_id": range(n), "label": ["cup"] * n, "points": pa.array(points, pa.list_(pa.float64())), "frames": [[i // 4] for i in range(n)], "hints": [[str(i % 2)] for i in range(n)], "look": pa.nulls(n, pa.list_(pa.float64()))})
+    looked, plain = [], objects.near_enough
+    monkeypatch.setattr(objects, "near_enough", lambda *a: looked.append(1) or plain(*a))
+    root = objects.united(table, 0.2, 0.5, 0.5)
+    groups = {i: {i} for i in range(n)}
+    for i in range(n):
+        for j in range(i + 1, n):
+            small = [x.reshape(-1, 3) for x in (points[i], points[j])]
+            if i % 2 == j % 2 and groups[i] is not groups[j] and not {k // 4 for k in groups[i]} & {k // 4 for k in groups[j]} and objects.near_fraction(*small, 0.2) >= 0.5:
+                both = groups[i] | groups[j]
+                groups |= dict.fromkeys(both, both)
+    assert root.tolist() == [min(groups[i]) for i in range(n)]
+    assert len(looked) < n * 10 < n * (n - 1) / 4
+
+
+def test_association_streams_frames(spark, monkeypatch):
+    """A scene of many frames comes in several batches, and none of them is a whole scene; scenes of one task do not mix."""
+    cube = [[0.06 * i, 0.06 * j, 0.06 * k] for i in range(8) for j in range(8) for k in range(8)]
+    rows = [(s, i // 2, i, "cup", None, [[x + 5.0 * (i % 2), y, z] for x, y, z in cube]) for s in range(3) for i in range(24)]
+    lifted = spark.createDataFrame(rows, "scene long, position long, observation_id long, label string, hint string, points array<array<double>>")
+    monkeypatch.setattr(objects, "SCENE_TASKS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = objects.associate(lifted)
+        got = {(r.scene, r.observation_id): (r.decision, r.object) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(s, i): ("match" if i > 1 else "new", i % 2) for s in range(3) for i in range(24)}
+    assert "FlatMapGroupsIn" not in found._jdf.queryExecution().executedPlan().toString()
