@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import evidence, objects
+from marlstone.operators import evidence, objects, scoring, spatial
 from marlstone.plans import catalog
 
 
@@ -75,3 +75,38 @@ def test_association_streams_frames(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {(s, i): ("match" if i > 1 else "new", i % 2) for s in range(3) for i in range(24)}
     assert "FlatMapGroupsIn" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [1, 5, 12])
+def test_nearest_rows_by_force(monkeypatch, most):
+    """Crowds within crowds, repeated places, far points; blocks of few pairs."""
+    random = np.random.default_rng(most)
+    monkeypatch.setattr(spatial, "PAIRS", 500)
+    others = np.concatenate([random.normal(0, 1, (150, 3)), random.normal(3, 1e-3, (150, 3)), np.repeat(random.normal(0, 1, (3, 3)), 4, 0), [[900.0, 0, 0]]])
+    points, ids = np.concatenate([others, random.normal(0, 300, (20, 3))]), random.permutation(len(others))
+    own = np.concatenate([ids, -1 - np.arange(20)])
+    got = [[] for _ in points]
+    for i, j in zip(*spatial.nearest_rows(points, others, own, ids, most)):
+        got[i].append(int(ids[j]))
+    for i, p in enumerate(points):
+        gaps = sorted((((p - q) ** 2).sum(), k) for q, k in zip(others, ids.tolist()) if k != own[i])
+        assert got[i] == [k for _, k in gaps[:most]]
+    assert len(spatial.nearest_rows(points, others[:0], own, ids[:0], most)[0]) == 0
+
+
+def test_nearest_join_makes_only_its_pairs(spark, monkeypatch):
+    """A crowded key is searched in blocks, and no other pair leaves them."""
+    monkeypatch.setattr(spatial, "BLOCK", 16)
+    random = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i % 2, i, *map(float, random.normal(0, 0.1, 3))) for i in range(300)], "room int, object_id long, cx double, cy double, cz double")
+    pairs = spatial.nearest_join(rows, rows, ["room"], 3, "object_id")
+    assert pairs.count() == 900 and pairs.select("a.object_id").distinct().count() == 300
+
+
+def test_positions_meet_no_pairs_of_a_room(spark):
+    things = spark.createDataFrame([(0, i, "cup" if i % 2 else "Lamp", i * 0.01, 0.0, 0.0) for i in range(40)], "room int, object_id long, label string, cx double, cy double, cz double")
+    said = spark.createDataFrame([(1, 1, "day 1 | lamp | [0.10, 0, 0]"), (2, 1, "day 1 | lamp | [0.11, 0, 0]"), (3, 1, "day 1 | stool | [0.07, 0, 0]"), (4, 1, "day 1 | cup | [9, 0, 0]"), (5, 1, "day 2 | cup | [0, 0, 0]")], "query_id long, episode int, pred string")
+    sessions = spark.createDataFrame([(1, 1, 0)], "episode int, day long, room int")
+    found = scoring.resolved_positions(said, sessions, things)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 10), (2, 0, 10), (3, 0, 7)]
+    assert "FlatMapCoGroups" in found._jdf.queryExecution().executedPlan().toString()
