@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from .spatial import iou_or_distance
 
 # Fixed values.
 LEAST_SHARED_POSES, POSE_DECIMALS = 10, 5
+#: Tasks that rooms are dealt to, and pairs of boxes that are compared at once, but for those of one box.
+ROOM_TASKS, AT_ONCE = 256, 1 << 16
 
 
 def shared_poses(recon: DataFrame, truth: DataFrame, decimals: int = POSE_DECIMALS) -> DataFrame:
@@ -111,3 +116,79 @@ def greedy_assignment(pairs: DataFrame, order: list[str], key: str = "room") ->
             rounds = [settled(reduce(DataFrame.unionByName, rounds))]
         left = settled(left.join(mutual.select(key, "i"), [key, "i"], "left_anti").join(mutual.select(key, "j"), [key, "j"], "left_anti"))
     return reduce(DataFrame.unionByName, rounds) if rounds else pairs.select(key, "i", "j").where("false")
+
+
+def best_first(left: np.ndarray, right: np.ndarray, radius: float, most: int = 32) -> list[tuple[int, int]]:
+    """Row numbers i, j of boxes (x0 y0 z0 x1 y1 z1 cx cy cz) of two sides, taken in order if both are free.
+
+    The order is: intersecting ones by falling IoU, then others within the radius; then by distance, i, j. Each row of
+    the left keeps its next `most` pairs, and gets as many again, of what is free, when these are taken. The left row
+    whose next pair comes first is served first, so pairs are never all held.
+    """
+    columns, free = np.ascontiguousarray(right.T), np.ones(len(right), bool)
+    volume = (columns[3] - columns[0]) * (columns[4] - columns[1]) * (columns[5] - columns[2])
+
+    def following(rows: np.ndarray, at: np.ndarray) -> list[list[tuple]]:
+        """The next pairs of some left rows among the right rows `at`, last one first."""
+        a, b = left[rows].T[:, :, None], columns[:, at]
+        x, y, z = (np.maximum(0.0, np.minimum(a[k + 3], b[k + 3]) - np.maximum(a[k], b[k])) for k in range(3))
+        shared = x * y * z
+        with np.errstate(divide="ignore", invalid="ignore"):
+            iou = shared / ((a[3] - a[0]) * (a[4] - a[1]) * (a[5] - a[2]) + volume[at] - shared)
+        dx, dy, dz = (a[k] - b[k] for k in (6, 7, 8))
+        square = dx * dx + dy * dy + dz * dz
+        touching = (shared > 0) & (iou > 0)
+        rank = np.where(touching, -iou, np.where(square <= radius * radius, np.sqrt(square), np.inf))
+        last = np.partition(rank, most - 1, axis=1)[:, most - 1] if rank.shape[1] > most else np.full(len(rows), np.inf)
+        out = []
+        for k, i in enumerate(rows.tolist()):
+            own = np.flatnonzero((rank[k] <= last[k]) & (rank[k] < np.inf))
+            gap = np.sqrt(square[k, own])
+            own, gap = (v[np.lexsort((at[own], gap, rank[k, own]))[::-1]] for v in (own, gap))
+            out.append(list(zip(rank[k, own].tolist(), gap.tolist(), [i] * len(own), at[own].tolist())))
+        return out
+
+    everything, step = np.arange(len(right)), max(1, AT_ONCE // max(1, len(right)))
+    lists = [x for at in range(0, len(left), step) for x in following(np.arange(at, min(at + step, len(left))), everything)]
+    heap = [x.pop() for x in lists if x]
+    heapq.heapify(heap)
+    taken, held, here = [], 0, everything
+    while heap:
+        _, _, i, j = heap[0]
+        if free[j]:
+            heapq.heappop(heap)
+            free[j] = False
+            taken.append((i, j))
+            lists[i] = []
+            continue
+        while lists[i] and not free[lists[i][-1][3]]:
+            lists[i].pop()
+        if not lists[i]:
+            if len(taken) > held:
+                here, held = here[free[here]], len(taken)
+            lists[i] = following(np.array([i]), here)[0] if len(here) else []
+        if lists[i]:
+            heapq.heapreplace(heap, lists[i].pop())
+        else:
+            heapq.heappop(heap)
+    return taken
+
+
+def assigned(left: DataFrame, right: DataFrame, radius: float = 1.0) -> DataFrame:
+    """room, i, j: greedy_assignment of candidate_pairs by tier, falling IoU and distance, without making all pairs.
+
+    A room's boxes are in one task, as numbers; the time grows with the product of its sides, the memory with their sum.
+    """
+    names = [f"{a}{i}" for i in (0, 1) for a in "xyz"] + ["cx", "cy", "cz"]
+    sides = [side.select(F.col("room").alias(f"_{n}"), "object_id", *names).dropna().repartition(ROOM_TASKS, f"_{n}").groupBy(f"_{n}") for n, side in enumerate((left, right))]
+
+    def room(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = [t.take(pc.sort_indices(t, [("object_id", "ascending")])) for t in (left, right)]
+        boxes = [np.stack([t[n].to_numpy().astype(float) for n in names], 1) for t in sides]
+        pairs = best_first(*boxes, radius) if min(map(len, sides)) else []
+        i, j = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+        room = pa.array(sides[0]["_0"].to_pylist()[:1] * len(pairs), sides[0].schema.field("_0").type)
+        return pa.table({"room": room, "i": sides[0]["object_id"].take(i), "j": sides[1]["object_id"].take(j)})
+
+    kinds = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, df, c in (("room", left, "room"), ("i", left, "object_id"), ("j", right, "object_id")))
+    return sides[0].cogroup(sides[1]).applyInArrow(room, kinds)

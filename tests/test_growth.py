@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import evidence, objects, scoring, spatial
+from marlstone.operators import align, evidence, objects, scoring, spatial
 from marlstone.plans import catalog
 
 
@@ -110,3 +110,23 @@ def test_positions_meet_no_pairs_of_a_room(spark):
     found = scoring.resolved_positions(said, sessions, things)
     assert sorted(map(tuple, found.collect())) == [(1, 0, 10), (2, 0, 10), (3, 0, 7)]
     assert "FlatMapCoGroups" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_assignment_without_all_pairs(spark, monkeypatch):
+    """The same pairs as in rounds over all candidates; equal boxes, lists that run out, a side that is longer."""
+    monkeypatch.setattr(align, "AT_ONCE", 50)
+    random = np.random.default_rng(4)
+
+    def side(n):
+        rows = [(int(random.integers(2)), i, *map(float, random.integers(0, 8, 3) / 8), *map(float, random.integers(1, 5, 3) / 8)) for i in range(n)]
+        df = spark.createDataFrame(rows, "room long, object_id long, cx double, cy double, cz double, hx double, hy double, hz double")
+        return df.select("room", "object_id", "cx", "cy", "cz", *((F.col(f"c{a}") - F.col(f"h{a}")).alias(f"{a}0") for a in "xyz"), *((F.col(f"c{a}") + F.col(f"h{a}")).alias(f"{a}1") for a in "xyz"))
+
+    left, right = side(40).cache(), side(55).cache()
+    rounds = align.greedy_assignment(align.candidate_pairs(left, right, 0.6).withColumn("closer", -F.col("iou")), ["tier", "closer", "distance"])
+    expected = sorted((r.room, r.i, r.j) for r in rounds.collect())
+    for most in (1, 3, 32):
+        monkeypatch.setattr(align.best_first, "__defaults__", (most,))
+        found = align.assigned(left, right, 0.6)
+        assert sorted((r.room, r.i, r.j) for r in found.collect()) == expected
+    assert len(expected) > 30
