@@ -5,7 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import align, evidence, objects, scoring, spatial
+from marlstone.functions import text
+from marlstone.operators import align, evidence, links, objects, scoring, spatial
 from marlstone.plans import catalog
 
 
@@ -130,3 +131,51 @@ def test_assignment_without_all_pairs(spark, monkeypatch):
         found = align.assigned(left, right, 0.6)
         assert sorted((r.room, r.i, r.j) for r in found.collect()) == expected
     assert len(expected) > 30
+
+
+def test_turns_are_searched_once(spark, monkeypatch):
+    turns = spark.createDataFrame([(1, k, k % 2, said) for k, said in enumerate(["a Cup here", "two boxes", "the table.", "cupboard", "C++ and cups", None, "a box"])], "episode long, turn long, room int, text string")
+    things = spark.createDataFrame([(0, "cup"), (0, "table"), (0, None), (0, "C++"), (1, "box"), (1, "lamp"), (1, "boxe")], "room int, label string")
+    pairs = turns.join(things.distinct(), "room").where(text.names_class(F.col("text"), F.col("label"))).select("episode", "turn").distinct()
+    expected = sorted(map(tuple, pairs.collect()))
+    monkeypatch.setattr(links, "names_class", None)  # no pair of turn and class is searched
+    assert sorted(map(tuple, links.mentioned(turns, things).collect())) == expected and len(expected) >= 4
+
+
+def test_look_alikes_by_force(spark, monkeypatch):
+    """Products that rounding alone puts on either side of the threshold are summed in order."""
+    random = np.random.default_rng(6)
+    vectors = [[float(x) for x in random.choice([0.1, 0.2, 0.3, -0.1], 7)] for _ in range(90)] + [[1.0], [0.5], None]
+    rows = [(i % 2, i, v) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "room int, vec_id long, embedding array<double>")
+    plain = spatial.block_pairs
+    monkeypatch.setattr(spatial, "block_pairs", lambda *a: plain(*a, size=20))
+
+    def product(p, q):
+        total = 0.0
+        for x, y in zip(p, q):
+            total += x * y
+        return total
+
+    by_force = {(i, j) for k, i, p in rows for h, j, q in rows if k == h and i < j and p and q and len(p) == len(q) and product(p, q) >= 0.12}
+    assert {(r.a_object, r.b_object) for r in evidence.look_alikes(df, 0.12).collect()} == by_force and by_force
+
+
+def test_smaller_counts_by_force(spark, monkeypatch):
+    plain = spatial.block_pairs
+    monkeypatch.setattr(spatial, "block_pairs", lambda *a: plain(*a, size=10))
+    random = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i % 2, i, 0.0, 0.0, 0.0, *map(float, random.integers(1, 9, 3))) for i in range(70)], "room int, object_id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    counts = spatial.smaller_counts(rows, rows)
+    expected = spatial.smaller_than(rows, rows).groupBy("reference_id").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, expected.collect()))
+    assert "FlatMapCoGroups" in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_apart_pairs_by_force(spark):
+    objects_ = spark.createDataFrame([(i % 2, i) for i in range(30)], "room int, object_id long")
+    seen = spark.createDataFrame([(i % 2, i, f) for i in range(30) for f in range(5) if i * 7 % 5 == f], "room int, object_id long, frame int")
+    found = evidence.apart_pairs(objects_, seen, size=4)
+    pairs = spatial.same_room(objects_, objects_, F.col("a.object_id") < F.col("b.object_id")).select(F.col("a.object_id").alias("a_object"), F.col("b.object_id").alias("b_object"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, evidence.never_together(pairs, seen).collect()))
+    assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()
