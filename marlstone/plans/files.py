@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from ..sources import bridge, readers, segmentation
 from ..sources.shared import new_place, written
 from .catalog import query
 
+#: Bytes of JSON in a file that holds a list of rows, but for a longer row.
+LIST_BYTES = 4 << 20
+
 
 def as_files(df: DataFrame, under: str = "") -> str:
     """One JSON file for each row, in a new folder of the shared place."""
@@ -18,6 +24,25 @@ def as_files(df: DataFrame, under: str = "") -> str:
     return path
 
 
+def as_lists(df: DataFrame) -> str:
+    """JSON files, each a list of rows of about LIST_BYTES, in a new folder of the shared place: so that files don't grow in number with small rows."""
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in batch["value"].to_pylist():
+                if held and size + len(row) > LIST_BYTES:
+                    yield pa.RecordBatch.from_pydict({"value": [f"[{','.join(held)}]"]})
+                    held, size = [], 0
+                held.append(row)
+                size += len(row)
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": [f"[{','.join(held)}]"]})
+
+    path = new_place(df.sparkSession)
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(lists, "value string").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @query("SELECT 'mcep_1' AS episode, episode || ':' || turn AS global_turn_id, turn AS global_turn_index, frame AS local_frame, role AS speaker, md5(text) AS text_md5 FROM b_turns")
 def transcript_turns(spark, sf_dir):
     t = bridge.turns(spark, sf_dir)
@@ -56,7 +81,7 @@ def manifest_frames(spark, sf_dir):
     f = bridge.frames(spark, sf_dir)
     frame = F.struct("position", F.struct(F.col("frame_id").cast("string").alias("frame_id"), (F.col("position") * 6).cast("long").alias("source_frame_index"), (F.col("position") / 5).alias("timestamp_seconds")).alias("f"))
     whole = f.groupBy(F.col("sequence_id").cast("string").alias("sequence_id")).agg(F.transform(F.sort_array(F.collect_list(frame)), lambda x: x["f"]).alias("frames")).withColumn("schema_version", F.lit(1))
-    return readers.read_manifest(spark, as_files(whole)).select("sequence_id", F.col("position").cast("long").alias("position"), "frame_id", "source_frame_index")
+    return readers.read_manifest(spark, as_lists(whole)).select("sequence_id", F.col("position").cast("long").alias("position"), "frame_id", "source_frame_index")
 
 
 @query("SELECT object_id, CASE WHEN label IN ('class_0', 'class_1') THEN 'furniture' ELSE label END AS label, label IN ('class_0', 'class_1') AS mapped FROM b_objects")
