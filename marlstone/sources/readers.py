@@ -278,7 +278,7 @@ def parse_masks(path: str, data: bytes) -> pd.DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """sequence_id, position, frame_id, source_frame_index, timestamp_seconds of a version 1 manifest."""
+    """sequence_id, position, frame_id, source_frame_index, timestamp_seconds of version 1 manifests; a file has one, or a list of them."""
     schema = "schema_version long, sequence_id string, frames array<struct<frame_id string, source_frame_index long, timestamp_seconds double>>"
     whole = spark.read.option("multiLine", True).schema(schema).json(path)
     version = F.when(F.col("schema_version") == 1, F.col("sequence_id")).otherwise(F.raise_error(F.lit("unknown manifest version")))
@@ -325,11 +325,15 @@ def write_once(df: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def write_links(links: DataFrame, path: str) -> None:
-    """One JSON line a link (LINKS), in folders shard, task and episode; read_links reads them back."""
-    links.repartition("shard", "task", "episode").sortWithinPartitions("shard", "task", "episode", "turn", "object").write.mode("errorifexists").partitionBy("shard", "task", "episode").json(path)
+    """One JSON line a link (LINKS, episode), in folders shard and task, an episode's in one file; read_links reads them back.
+
+    Episodes are no folders: their number would be that of the files.
+    """
+    links.repartition("shard", "task", "episode").sortWithinPartitions("shard", "task", "episode", "turn", "object").write.mode("errorifexists").partitionBy("shard", "task").json(path)
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
+    """Links of write_links; episodes may be folders too."""
     return spark.read.schema(f"{LINKS}, shard string, task string, episode string").json(path)
 
 
