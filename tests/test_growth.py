@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text
 from marlstone.operators import align, evidence, links, objects, scoring, spatial
-from marlstone.plans import catalog
+from marlstone.plans import catalog, files
+from marlstone.sources import readers
 
 
 def masks(random, frames):
@@ -179,3 +180,35 @@ def test_apart_pairs_by_force(spark):
     pairs = spatial.same_room(objects_, objects_, F.col("a.object_id") < F.col("b.object_id")).select(F.col("a.object_id").alias("a_object"), F.col("b.object_id").alias("b_object"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, evidence.never_together(pairs, seen).collect()))
     assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coverage_by_force(spark):
+    """Cells in any order and of many frames in a batch; coarser and finer grids than the mask's."""
+    random = np.random.default_rng(8)
+    cells = [(f, r, c) for f in range(30) for r in range(6) for c in range(5) if random.random() < 0.7]
+    df = spark.createDataFrame([cells[i] for i in random.permutation(len(cells))], "frame_id long, row int, col int")
+    for rows, cols in ((2, 3), (4, 4), (9, 7)):
+        share = lambda x, n, i, m: max(0.0, min((i + 1) * n / m, x + 1) - max(i * n / m, x)) / (n / m)
+        full = {(f, i, j): sum(share(r, 6, i, rows) * share(c, 5, j, cols) for g, r, c in cells if g == f) for f in range(30) for i in range(rows) for j in range(cols)}
+        found = evidence.coverage(df, 6, 5, rows, cols, 0.3001)
+        got = {(r.frame_id, r.row, r.col): r.share for r in found.collect()}
+        assert got == pytest.approx({k: v for k, v in full.items() if v >= 0.3001})
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_do_not_grow_with_rows(spark, tmp_path):
+    whole = spark.range(40).select(F.lit(1).alias("schema_version"), F.format_string("s%d", "id").alias("sequence_id"), F.array(F.struct(F.lit('a"]').alias("frame_id"), F.lit(3).alias("source_frame_index"), F.lit(0.5).alias("timestamp_seconds"))).alias("frames"))
+    path = files.as_lists(whole)
+    assert readers.read_manifest(spark, path).select("sequence_id", "frame_id").distinct().count() == 40
+    assert spark.read.format("binaryFile").load(path).count() <= whole.rdd.getNumPartitions()
+    rows = spark.range(120).select(F.lit("x").alias("shard"), F.lit("t").alias("task"), F.format_string("e%d", F.col("id") % 60).alias("episode"), F.col("id").cast("string").alias("turn"), F.lit("s").alias("scene"), F.col("id").alias("object"), F.lit("p").alias("phrase"), F.lit(True).alias("fact_bearing"), F.lit("log").alias("source"))
+    readers.write_links(rows, f"{tmp_path}/links")
+    assert sorted(map(tuple, readers.read_links(spark, f"{tmp_path}/links").select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    assert len(list((tmp_path / "links").rglob("*.json"))) <= 4
+
+
+def test_near_pairs_are_dealt(spark):
+    rows = spark.createDataFrame([(0, i, i * 0.01, 0.0, 0.0) for i in range(200)], "room int, object_id long, cx double, cy double, cz double")
+    pairs = spatial.near_pairs(rows, 1.5)
+    assert {(r.a_id, r.b_id) for r in pairs.collect()} == {(i, j) for i in range(200) for j in range(200) if i != j and (i * 0.01 - j * 0.01) ** 2 <= 2.25}
+    assert pairs.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).filter(bool).count() > 4
